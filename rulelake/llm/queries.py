@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, telephony
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mixing": mixing.op1_pareto_mixing,
+    "op2_telephony": telephony.op2_telephony,
 }
 
 ORACLE_SQL: dict[str, str] = {
