@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, telephony
+from . import chat, mixing, telephony
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mixing": mixing.op1_pareto_mixing,
     "op2_telephony": telephony.op2_telephony,
+    "op10_chat_parts": chat.op10_chat_parts,
 }
 
 ORACLE_SQL: dict[str, str] = {
