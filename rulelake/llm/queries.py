@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, telephony, warc
+from . import chat, compaction, mixing, telephony, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mixing": mixing.op1_pareto_mixing,
     "op2_telephony": telephony.op2_telephony,
+    "op3_size_tiered": compaction.op3_size_tiered,
     "op4_chunked_warc": warc.op4_chunked_warc,
     "op10_chat_parts": chat.op10_chat_parts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_pareto_mixing": mixing.OP1_SQL,
+    "op3_size_tiered": compaction.OP3_SQL,
     "op4_chunked_warc": warc.OP4_SQL,
 }
