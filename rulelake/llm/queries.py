@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, compaction, mixing, telephony, warc
+from . import chat, compaction, mixing, telephony, token_records, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mixing": mixing.op1_pareto_mixing,
     "op2_telephony": telephony.op2_telephony,
     "op3_size_tiered": compaction.op3_size_tiered,
     "op4_chunked_warc": warc.op4_chunked_warc,
+    "op6_token_records": token_records.op6_token_records,
     "op10_chat_parts": chat.op10_chat_parts,
 }
 
