@@ -178,7 +178,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return checkpointed(ordered.mapInArrow(write, "file string, part int, roll int, records long, ids long"))
+    return checkpointed(ordered.mapInArrow(write, "file string, part long, roll long, records long, ids long"))
 
 
 def read_token_files(manifest: DataFrame, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
