@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, compaction, mixing, telephony, token_records, warc
+from . import chat, compaction, minhash, mixing, telephony, token_records, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mixing": mixing.op1_pareto_mixing,
     "op2_telephony": telephony.op2_telephony,
     "op3_size_tiered": compaction.op3_size_tiered,
     "op4_chunked_warc": warc.op4_chunked_warc,
+    "op5_circulant_minhash": minhash.op5_circulant_minhash,
     "op6_token_records": token_records.op6_token_records,
     "op10_chat_parts": chat.op10_chat_parts,
 }
@@ -20,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_pareto_mixing": mixing.OP1_SQL,
     "op3_size_tiered": compaction.OP3_SQL,
+    "op5_circulant_minhash": minhash.OP5_SQL,
     "op4_chunked_warc": warc.OP4_SQL,
 }
