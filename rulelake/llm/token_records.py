@@ -1,6 +1,7 @@
 """Token ids as length-delimited binary records with an offset index.
 
-A record frames one document's ids (little-endian unsigned 32-bit):
+A file starts with a magic string and the width of an id, 2 bytes where the vocabulary allows it and else 4. A record
+frames one document's ids (little-endian unsigned numbers of that width):
 
     length (8 bytes) | masked CRC-32 of the length (4) | ids | masked CRC-32 of the ids (4)
 
@@ -12,10 +13,7 @@ Documents are put in the order of their ids by range partitioning of the raw row
 size under temporary names and renames them when whole. The manifest (one row per file) gives the running start of each
 file, and files are read back independently.
 
-Tokens: a text's pieces are encoded by the tokenizers library once per distinct piece and joined. Texts are cut only
-where the tokenizer's own pre-tokenizer always cuts (between white space and what precedes it, and between a Latin letter
-and an ASCII digit or sign), so the ids are those of the whole text; ``whole_text_ids`` is the plain call that tests hold
-this against. The cache is bounded.
+Tokens come from the tokenizers library through ``PieceEncoder``, which gives the ids of whole texts.
 
 Results for odd input: null and empty texts have the end id alone; a null id comes first; rows that repeat an id are
 ordered by text; an empty table gives no files; other columns are not read.
@@ -23,7 +21,6 @@ ordered by text; an empty table gives no files; other columns are not read.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -37,20 +34,11 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .common import checkpointed, committed_file, opened, staging_path
+from .piece_encoder import PieceEncoder
 
 END_ID = 0
 FILE_BYTES = 512 << 20
-CACHE_PIECES = 500_000
-JOINED_PIECES = 2_000
-ROWS_AT_ONCE = 256
-
-_SPACE = r"\t-\r \x85\xa0  -     　"
-_SIGN = r"\x21-\x40\x5b-\x60\x7b-\x7e"
-_LATIN = r"A-Za-zÀ-ÖØ-öø-ÿ"
-#: Pieces of a text: a Latin word before a sign, a space or the end; another run of non-spaces; white space.
-PIECE = re.compile(rf" ?[^{_SPACE}{_SIGN}]*[{_LATIN}](?=[{_SPACE}{_SIGN}]|\Z)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
-#: Pieces that are one word to the pre-tokenizer wherever they stand, as each begins with its own space.
-WORD_PIECE = re.compile(rf" [{_LATIN}]+\Z")
+MAGIC, HEAD_BYTES = b"TOKREC1\0", 12
 
 #: An index entry: document id, byte offset, number of ids.
 ENTRY, ENTRY_BYTES = "<qQQ", 24
@@ -85,45 +73,6 @@ def unframe(stream, offset: int | None = None) -> bytes | None:
     return ids
 
 
-class PieceEncoder:
-    """Encodes texts with a tokenizers file, each distinct piece once while it stays in the cache."""
-
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cache_pieces, self.known = cache_pieces, {}
-
-    def whole_text_ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [PIECE.findall(text) for text in texts]
-        needed = set().union(*cut)
-        if len(self.known) + len(needed) > self.cache_pieces:
-            self.known = {}
-        known = self.known
-        new = [piece for piece in needed if piece not in known]
-        words = [piece for piece in new if WORD_PIECE.match(piece)]
-        for k in range(0, len(words), JOINED_PIECES):
-            self._learn_words(words[k : k + JOINED_PIECES])
-        rest = [piece for piece in new if piece not in known]
-        for piece, made in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[piece] = np.array(made.ids, "<u4").tobytes()
-        return [b"".join([known[piece] for piece in pieces]) for pieces in cut]
-
-    def _learn_words(self, words: list[str]) -> None:
-        """Words side by side in one call, told apart by the word numbers that the library returns."""
-        made = self.tokenizer.encode("".join(words), add_special_tokens=False)
-        cuts = (np.flatnonzero(np.diff(np.array(made.word_ids))) + 1).tolist()
-        data = np.array(made.ids, "<u4").tobytes()
-        starts, ends = [0, *cuts], [*cuts, len(made.ids)]
-        if len(starts) == len(words):
-            for word, a, b in zip(words, starts, ends, strict=True):
-                self.known[word] = data[4 * a : 4 * b]
-
-
 _ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 
 
@@ -145,28 +94,27 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
 
     ``tokenizer`` is a path on every executor.
     """
-    path, end = tokenizer or default_tokenizer(), struct.pack("<I", end_id)
+    path = tokenizer or default_tokenizer()
 
     def encoded(batches) -> Iterator[tuple[int | None, bytes]]:
         coder = encoder(path)
+        end = np.array([end_id], f"<u{coder.width}").tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(k, ROWS_AT_ONCE)
-                texts = ["" if text is None else text for text in part.column(1).to_pylist()]
-                yield from zip(part.column(0).to_pylist(), (ids + end for ids in coder.encode(texts)), strict=True)
+            for k, ids in enumerate(coder.encode(batch.column(1))):
+                yield batch.column(0)[k].as_py(), ids.tobytes() + end
 
     def write(batches):
         from pyspark import TaskContext
 
-        part, roll = TaskContext.get().partitionId(), 0
+        part, roll, width = TaskContext.get().partitionId(), 0, encoder(path).width
         rows = encoded(batches)
         row = next(rows, None)
         while row is not None:
-            uri, offset, ids = f"{folder}/{part:08d}-{roll:05d}-{uuid.uuid4().hex}", 0, 0
+            uri, offset, ids, count = f"{folder}/{part:08d}-{roll:05d}-{uuid.uuid4().hex}", HEAD_BYTES, 0, 0
             with committed_file(f"{uri}.idx") as entries, committed_file(f"{uri}.rec") as out:
-                count = 0
+                out.write(MAGIC + struct.pack("<I", width))
                 while row is not None and offset < file_bytes:
-                    n = len(row[1]) // 4
+                    n = len(row[1]) // width
                     entries.write(struct.pack(ENTRY, NULL_ID if row[0] is None else row[0], offset, n))
                     record = frame(row[1])
                     out.write(record)
@@ -182,7 +130,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
 
 
 def read_token_files(manifest: DataFrame, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
-    """Documents from the files, through their indexes: (id, start, n_tokens, ids_crc32) and the ids themselves."""
+    """Documents from the files, through their indexes: (id, start, n_tokens, ids_crc32), and the ids as 32-bit numbers."""
     ahead = F.coalesce(F.sum("ids").over(W.orderBy("part", "roll").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     files = manifest.select("file", ahead.cast("long").alias("start"))  # one row per file
     names = ["id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
@@ -193,15 +141,20 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id", with_ids: bool
             for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held, size = [], 0
                 with opened(f"{uri}.idx") as entries, opened(f"{uri}.rec") as stream:
-                    expected = 0
+                    head = stream.read(HEAD_BYTES)
+                    if head[: len(MAGIC)] != MAGIC:
+                        raise ValueError(f"{uri} is not a token file")
+                    width, expected = struct.unpack("<I", head[len(MAGIC) :])[0], HEAD_BYTES
                     while entry := entries.read(ENTRY_BYTES):
                         key, offset, n = struct.unpack(ENTRY, entry)
                         ids = unframe(stream, offset if offset != expected else None)
-                        if ids is None or len(ids) != 4 * n:
+                        if ids is None or len(ids) != width * n:
                             raise ValueError(f"the index of {uri} differs from its records")
+                        expected = offset + len(ids) + 16
+                        ids = np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
                         row = (None if key == NULL_ID else key, start, n, zlib.crc32(ids))
                         held.append((*row, ids) if with_ids else row)
-                        start, size, expected = start + n, size + (len(ids) if with_ids else 64), offset + len(ids) + 16
+                        start, size = start + n, size + (len(ids) if with_ids else 64)
                         if size >= 4 << 20:
                             yield _batch(held, names, types)
                             held, size = [], 0
