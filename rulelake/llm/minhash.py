@@ -4,11 +4,12 @@ Two permutations of the 32-bit numbers give the whole signature: the first scatt
 is the least value of the second one, shifted circularly by k. Bands of ``ROWS`` coordinates are bucket keys.
 
 Texts with equal shingle sets form a class, whose node is its smallest document id; everything after works on classes.
-In each bucket all members are first held against its smallest one, which takes as many checks as members, not pairs.
+In each bucket all members are first held against one of them, the one that shares buckets with most others (of copies
+that derive from one text, that is the text), which takes as many checks as members, not pairs.
 Links are confirmed on full shingle sets and joined into components. A bucket whose members then lie in one component is
-done. In the others, further members become pivots in turn, the number of pivots growing fourfold a round, and are
-checked against the members of other components only, until every pair of a bucket is confirmed, denied or joined
-through others: large groups of copies close in the first round, and no cap cuts a bucket short.
+done. The members of the others take part in a prefix-filtered join of their sets, which finds every pair of different
+components that may reach the similarity: large groups of copies close in the first round, passages that many documents
+share are last in the order of rarity and bring no pairs, and no cap cuts a bucket short.
 
 A pair at exactly the threshold shares no bucket with a chance of (1 - 0.75^4)^32, about 5 in a million.
 
@@ -26,7 +27,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -37,6 +37,10 @@ from .shingles import SPACED, mix64, shingle_set, text_blocks, word_hashes
 SHINGLE, BANDS, ROWS, PERCENT = 5, 32, 4, 75
 #: A list of so many node ids at most is broadcast; beyond it the join decides by itself.
 BROADCAST_NODES = 1_000_000
+#: Bins of the shingle counts that order a prefix-filtered join.
+BINS = 1 << 18
+#: 64-bit words of the one-bit sketches that pairs must pass before their sets are compared.
+SKETCH_WORDS = 32
 _SLICE = 256
 
 
@@ -137,6 +141,78 @@ def _labelled(members: DataFrame, components: DataFrame) -> DataFrame:
     return joined.withColumn("component", F.coalesce("component", "node"))
 
 
+def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may reach the similarity: a prefix-filtered set join.
+
+    In one order of all shingles, rarest first, two such sets share a shingle among the first n - ceil(t n) + 1 of each.
+    The order is by a count of fixed-size bins, so any number of shingles needs the same memory. Components rather than
+    their members meet at a shingle, and only those that met are expanded; pairs are made only where one-bit signatures
+    do not rule the similarity out.
+    """
+    wide = nodes.join(sets, "node")
+
+    def count(batches):
+        total = np.zeros(BINS, np.int64)
+        for batch in batches:
+            for value in batch.column(0):
+                total += np.bincount(np.frombuffer(value.as_buffer(), np.uint64) & np.uint64(BINS - 1), minlength=BINS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bin", "n"])
+
+    frequency = np.zeros(BINS, np.int64)
+    counted = wide.select("shingles").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    for row in counted.toLocalIterator():  # at most BINS rows
+        frequency[row["bin"]] = row["n"]
+
+    names = [f"w{k}" for k in range(SKETCH_WORDS)]
+
+    def prefixes(batches):
+        for batch in batches:
+            tokens, words = [], []
+            for value in batch.column(0):
+                shingles = np.frombuffer(value.as_buffer(), np.uint64)
+                n = len(shingles) - -(-percent * len(shingles) // 100) + 1
+                order = np.lexsort((shingles, frequency[(shingles & np.uint64(BINS - 1)).astype(np.int64)]))[:n]
+                tokens.append(shingles[order].view(np.int64))
+                bits = (signature(shingles, 64 * SKETCH_WORDS) & np.uint32(1)).astype(np.uint8)
+                words.append(np.packbits(bits).view(np.int64))
+            words = np.array(words).reshape(-1, SKETCH_WORDS)
+            arrays = [batch.column(1), batch.column(2), batch.column(3), pa.array(tokens, pa.list_(pa.int64())), *[pa.array(words[:, k]) for k in range(SKETCH_WORDS)]]
+            yield pa.RecordBatch.from_arrays(arrays, ["node", "n", "component", "tokens", *names])
+
+    schema = "node long, n long, component long, tokens array<long>, " + ", ".join(f"{name} long" for name in names)
+    sketched = staged(wide.select("shingles", "node", "n", "component").mapInArrow(prefixes, schema), "prefixes")
+    nodes = sketched.drop("tokens")
+    rare = sketched.select("node", "component", F.explode("tokens").alias("token"))
+    shared = rare.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
+    rare = rare.join(shared, "token").groupBy("token", "component")
+    units = rare.agg((F.count(F.lit(1)) > 1).alias("many"), F.min("node").alias("node"))
+    units = checkpointed(units.join(nodes.drop("component"), "node"))
+
+    def side(frame, mark):
+        return frame.select(*[F.col(c).alias(c if c == "token" else f"{c}_{mark}") for c in frame.columns])
+
+    similar = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    differing = sum((F.bit_count(F.col(f"{name}_a").bitwiseXOR(F.col(f"{name}_b"))) for name in names), F.lit(0))
+    similar &= differing <= _most_differing(percent)
+    one, two = side(units, "a"), side(units, "b")
+    meet = one.join(two, (one.token == two.token) & (F.col("component_a") < F.col("component_b")) & (F.col("many_a") | F.col("many_b") | similar))
+    meet = checkpointed(meet.select("component_a", "component_b", "many_a", "many_b", "node_a", "node_b").distinct())
+    single = meet.where("not many_a and not many_b").select("node_a", "node_b")
+    # The side of one member is expanded first, so that only what passes the sketch is made.
+    turn = F.col("many_a") & ~F.col("many_b")
+    groups = meet.where("many_a or many_b").select(F.when(turn, F.col("component_b")).otherwise(F.col("component_a")).alias("few"), F.when(turn, F.col("component_a")).otherwise(F.col("component_b")).alias("lots")).distinct()
+    few = groups.join(side(nodes, "a"), F.col("few") == F.col("component_a"))
+    lots = few.join(side(nodes, "b"), (F.col("lots") == F.col("component_b")) & similar).select("node_a", "node_b")
+    return single.union(lots).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def _most_differing(percent: int) -> int:
+    """Bits in which the sketches of a pair at the threshold differ at most, but for a chance of about 3 in 10 million."""
+    bits, expected = 64 * SKETCH_WORDS, (100 - percent) / 200
+    return int(bits * expected + 5 * (bits * expected * (1 - expected)) ** 0.5) + 1
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT
 ) -> DataFrame:
@@ -146,30 +222,30 @@ def near_duplicates(
     classes = staged(classes, "classes")
 
     members = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = staged(members.join(buckets, "bucket"), "members")  # of buckets with company only
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = staged(members.join(shared, "bucket"), "shared")  # of buckets with company only
+    company = members.groupBy("node").agg(F.sum("members").alias("company"))
+    members = members.join(company, "node")
+    centers = members.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("node")).alias("least"))).alias("best"))
+    members = members.join(centers.select("bucket", (-F.col("best.least")).alias("center")), "bucket")
+    members = staged(members.select("bucket", "node", "n", "members", "center"), "members")
 
     nodes = checkpointed(members.select("node").distinct())
     sets = staged(shingle_sets(docs, nodes, size, id_col, text_col), "sets")
-    links = confirmed(members.where("node > center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), sets, percent)
+    links = confirmed(members.where("node != center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct(), sets, percent)
     components = connected_components(links)
 
-    done, pivots = 1, 4
-    while True:
-        labelled = _labelled(members.where("members > 2").select("bucket", "node", "n"), components)
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
-        mixed = mixed.where((F.col("low") != F.col("high")) & (F.col("size") > done + 1)).select("bucket")
-        numbered = labelled.join(mixed, "bucket").withColumn("place", F.row_number().over(W.partitionBy("bucket").orderBy("node")))
-        numbered = checkpointed(numbered)
-        if not numbered.limit(1).count():
-            break
-        ahead = numbered.where((F.col("place") > done) & (F.col("place") <= done + pivots))
-        ahead = ahead.select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"), F.col("place").alias("place_a"))
-        pairs = numbered.join(ahead, "bucket").where("place > place_a and component != component_a")
-        pairs = pairs.where(100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
-        links = links.union(confirmed(pairs.select("a", F.col("node").alias("b")).distinct(), sets, percent))
-        components = connected_components(links)
-        done, pivots = done + pivots, pivots * 4
+    labelled = _labelled(members.where("members > 2").select("bucket", "node", "n"), components)
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
+    opened = checkpointed(labelled.join(mixed, "bucket").select("node", "n", "component").distinct())
+    late = confirmed(_rare_pairs(opened, sets, percent), sets, percent)
+    if late.limit(1).count():
+        over = late.join(opened.select(F.col("node").alias("a"), F.col("component").alias("c_a")), "a")
+        over = over.join(opened.select(F.col("node").alias("b"), F.col("component").alias("c_b")), "b")
+        joined = connected_components(over.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct())
+        joined = joined.select(F.col("node").alias("root"), F.col("component").alias("above"))
+        alone = joined.join(components, joined.root == components.node, "left_anti").select(F.col("root").alias("node"), F.col("above").alias("component"))
+        components = components.join(joined, components.component == joined.root, "left").select("node", F.coalesce("above", "component").alias("component")).union(alone)
 
     node_of = classes.select("key", "node").join(components, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     result = sketched.select("id", "key", "n").join(node_of, "key", "left")
