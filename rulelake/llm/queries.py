@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, compaction, decontam, minhash, mixing, telephony, token_records, warc
+from . import chat, compaction, decontam, minhash, mixing, telephony, token_records, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mixing": mixing.op1_pareto_mixing,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chunked_warc": warc.op4_chunked_warc,
     "op5_circulant_minhash": minhash.op5_circulant_minhash,
     "op6_token_records": token_records.op6_token_records,
+    "op7_lexicon_toxicity": toxicity.op7_lexicon_toxicity,
     "op8_prefix_decontamination": decontam.op8_prefix_decontamination,
     "op10_chat_parts": chat.op10_chat_parts,
 }
@@ -23,6 +24,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_pareto_mixing": mixing.OP1_SQL,
     "op3_size_tiered": compaction.OP3_SQL,
     "op5_circulant_minhash": minhash.OP5_SQL,
+    "op7_lexicon_toxicity": toxicity.op7_lexicon_toxicity,
     "op8_prefix_decontamination": decontam.OP8_SQL,
     "op4_chunked_warc": warc.OP4_SQL,
 }
