@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, compaction, decontam, minhash, mixing, telephony, token_records, toxicity, warc
+from . import bradley_terry, chat, compaction, decontam, minhash, mixing, telephony, token_records, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mixing": mixing.op1_pareto_mixing,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_records": token_records.op6_token_records,
     "op7_lexicon_toxicity": toxicity.op7_lexicon_toxicity,
     "op8_prefix_decontamination": decontam.op8_prefix_decontamination,
+    "op9_bradley_terry_quality": bradley_terry.op9_bradley_terry_quality,
     "op10_chat_parts": chat.op10_chat_parts,
 }
 
