@@ -8,12 +8,13 @@ gets the rank key ``odds(u) / odds(p)``, where ``p`` is its inclusion probabilit
 
 The plan reads the text once. The head of each order is found without sorting a source: rank keys are mapped
 monotonically onto ``slices`` slices, words are summed by source and slice with map-side combining, a running sum over
-those bounded rows names the one slice in which the head ends, and only that slice is ranked row by row.
+those bounded rows names the one slice in which the head ends, and only that slice is ranked row by row. What is decided
+is one row per source, which any copy of the documents can be held against.
 
 Results for odd input: null or empty text has size 0, target 0 and takes nothing; a null source is a source of its own
 and comes last; rows that repeat an id are documents of their own and share their draw (ties go by size, then by the
-text's digest, and equal rows are interchangeable); an empty table gives an empty result; columns of the input that are
-called like one of the result are replaced.
+text's digest, and equal rows are interchangeable); an empty table gives an empty result; other columns may
+have any names.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SLICES = 4096
 SEED = "mix-1"
+#: Decisions of so many sources at most are broadcast; beyond it the join decides by itself.
+BROADCAST_SOURCES = 50_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -66,6 +69,67 @@ def uniform(key: Column, seed: str = SEED) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, importance: str | None, seed: str) -> dict[str, Column]:
+    """What the mix needs to know of a row."""
+    weight = F.lit(1.0) if importance is None else F.greatest(F.coalesce(F.col(importance).cast("double"), F.lit(1.0)), F.lit(1e-9))
+    return {
+        "mix_id": F.col(id_col),
+        "mix_source": F.col(source_col).cast("string"),
+        "mix_size": word_count(F.col(text_col)),
+        "mix_tie": F.xxhash64(F.col(text_col)),
+        "mix_importance": weight,
+        "mix_u": uniform(F.col(id_col), seed),
+    }
+
+
+def _keyed(rows: DataFrame, decisions: DataFrame, slices: int) -> DataFrame:
+    """Rows with their source's decisions, rank key and slice."""
+    few = decisions.count() <= BROADCAST_SOURCES
+    joined = rows.join(F.broadcast(decisions) if few else decisions, F.col("mix_source").eqNullSafe(F.col("at_source")), "left")
+    odds = F.col("mix_p") * F.col("mix_importance") / (1 - F.col("mix_p"))
+    joined = joined.withColumn("mix_key", F.when(F.col("mix_p") > 0, F.col("mix_u") / (1 - F.col("mix_u")) / odds))
+    return joined.withColumn("mix_slice", F.least(F.floor(F.col("mix_key") / (1 + F.col("mix_key")) * slices), F.lit(slices - 1)))
+
+
+def decide(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, weights: Sequence[int], max_repeat: int, importance: str | None, slices: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """The narrow rows of all documents, and one row of decisions per source: target, certain copies, and where the
+    head of its order ends (the end slice, and the last place taken in it)."""
+    rows = checkpointed(docs.select(*[c.alias(name) for name, c in _drawn(docs, id_col, text_col, source_col, importance, seed).items()]))  # the text is read once
+
+    targets = source_targets(rows.groupBy(F.col("mix_source").alias("source")).agg(F.sum("mix_size").alias("source_size")), weights, max_repeat)
+    filled = F.col("source_size") > 0
+    targets = targets.withColumn("mix_certain", F.when(filled, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    targets = targets.withColumn("mix_owed", F.col("target") - (F.col("mix_certain") * F.col("source_size")).cast("double"))
+    targets = targets.withColumn("mix_p", F.when(filled, F.least(F.col("mix_owed") / F.col("source_size"), F.lit(1 - 1e-12))).otherwise(F.lit(0.0)))
+    targets = checkpointed(targets.withColumnRenamed("source", "at_source"))
+
+    keyed = _keyed(rows, targets, slices)
+    sums = keyed.where("mix_key is not null").groupBy("mix_source", "mix_slice").agg(F.sum("mix_size").alias("words"), F.first("mix_owed").alias("owed"))
+    before = F.coalesce(F.sum("words").over(W.partitionBy("mix_source").orderBy("mix_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ends = sums.withColumn("words_before", before).where("words_before < owed and words_before + words >= owed")
+    ends = checkpointed(ends.select(F.col("mix_source").alias("end_source"), F.col("mix_slice").alias("end_slice"), "words_before"))
+
+    at_end = F.col("mix_source").eqNullSafe(F.col("end_source")) & (F.col("mix_slice") == F.col("end_slice"))
+    last = keyed.join(ends, at_end)
+    head = W.partitionBy("mix_source").orderBy("mix_key", "mix_id", "mix_size", "mix_tie").rowsBetween(W.unboundedPreceding, -1)
+    ahead = F.col("words_before") + F.coalesce(F.sum("mix_size").over(head), F.lit(0))
+    # The head goes on while it comes nearer to what is owed.
+    last = last.withColumn("ahead", ahead).where(2 * F.col("ahead") + F.col("mix_size") <= 2 * F.col("mix_owed"))
+    last = last.groupBy("mix_source").agg(F.max(F.struct("mix_key", "mix_id", "mix_size", "mix_tie")).alias("mix_last")).withColumnRenamed("mix_source", "last_source")
+
+    decisions = targets.join(ends.select("end_source", F.col("end_slice").alias("mix_end")), F.col("at_source").eqNullSafe(F.col("end_source")), "left")
+    decisions = decisions.join(last, F.col("at_source").eqNullSafe(F.col("last_source")), "left")
+    return rows, checkpointed(decisions.select("at_source", "source_size", "target", "mix_certain", "mix_p", "mix_end", "mix_last"))
+
+
+def _copies() -> Column:
+    place = F.struct("mix_key", "mix_id", "mix_size", "mix_tie")
+    # Only an order that falls short of what is owed (by rounding) has no end slice.
+    head = F.when(F.col("mix_end").isNull(), F.lit(True)).when(F.col("mix_slice") == F.col("mix_end"), F.col("mix_last").isNotNull() & (place <= F.col("mix_last"))).otherwise(F.col("mix_slice") < F.col("mix_end"))
+    extra = F.when(F.col("mix_key").isNotNull() & head, 1).otherwise(0)
+    return F.when(F.col("mix_size") > 0, F.col("mix_certain") + extra).otherwise(F.lit(0)).cast("long")
+
+
 def mix_sources(
     docs: DataFrame,
     *,
@@ -79,51 +143,23 @@ def mix_sources(
     seed: str = SEED,
 ) -> DataFrame:
     """Per document: id, size, source, source_size, target, copies and taken (copies times size)."""
-    weight = F.lit(1.0) if importance is None else F.greatest(F.coalesce(F.col(importance).cast("double"), F.lit(1.0)), F.lit(1e-9))
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size"),
-        F.xxhash64(F.col(text_col)).alias("tie"),
-        weight.alias("importance"),
-        uniform(F.col(id_col), seed).alias("u"),
-    )
-    rows = checkpointed(rows)  # narrow rows: the text is read once
-
-    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat)
-    certain = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    targets = targets.withColumn("certain", certain)
-    targets = targets.withColumn("owed", F.col("target") - (F.col("certain") * F.col("source_size")).cast("double"))
-    targets = targets.withColumn("p", F.when(F.col("source_size") > 0, F.least(F.col("owed") / F.col("source_size"), F.lit(1 - 1e-12))).otherwise(F.lit(0.0)))
-    targets = checkpointed(targets)
-
-    same = F.col("r.source").eqNullSafe(F.col("t.source"))
-    keyed = rows.alias("r").join(targets.alias("t"), same, "left").drop(F.col("t.source"))
-    odds = F.col("p") * F.col("importance") / (1 - F.col("p"))
-    rank_key = F.when(F.col("p") > 0, F.col("u") / (1 - F.col("u")) / odds)
-    keyed = keyed.withColumn("rank_key", rank_key)
-    keyed = keyed.withColumn("slice", F.least(F.floor(F.col("rank_key") / (1 + F.col("rank_key")) * slices), F.lit(slices - 1)))
-
-    sums = keyed.where("rank_key is not null").groupBy("source", "slice").agg(F.sum("size").alias("slice_words"), F.first("owed").alias("owed"))
-    before = F.coalesce(F.sum("slice_words").over(W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ends = sums.withColumn("words_before", before)
-    ends = ends.where((F.col("words_before") < F.col("owed")) & (F.col("words_before") + F.col("slice_words") > F.col("owed")))
-    ends = checkpointed(ends.select("source", F.col("slice").alias("end_slice"), "words_before"))
-
-    keyed = keyed.alias("k").join(ends.alias("e"), F.col("k.source").eqNullSafe(F.col("e.source")), "left").drop(F.col("e.source"))
-    at_end = F.col("slice") == F.col("end_slice")
-    head = W.partitionBy("source").orderBy("rank_key", "id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
-    ranked = keyed.where(at_end).withColumn("ahead", F.col("words_before") + F.coalesce(F.sum("size").over(head), F.lit(0)))
-    # The head goes on while it comes nearer to what is owed.
-    ranked = ranked.withColumn("extra", F.when(2 * F.col("ahead") + F.col("size") <= 2 * F.col("owed"), 1).otherwise(0)).drop("ahead")
-    # Without an end slice every slice lies on one side: the whole order is owed, or nothing is.
-    whole = F.when(F.col("end_slice").isNull(), F.col("p") > 0).otherwise(F.col("slice") < F.col("end_slice"))
-    others = keyed.where(~F.coalesce(at_end, F.lit(False))).withColumn("extra", F.when(whole & F.col("rank_key").isNotNull(), 1).otherwise(0))
-
-    result = ranked.unionByName(others)
-    copies = F.when(F.col("size") > 0, F.col("certain") + F.col("extra")).otherwise(F.lit(0)).cast("long")
-    result = result.withColumn("copies", copies)
-    return result.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    rows, decisions = decide(docs, id_col=id_col, text_col=text_col, source_col=source_col, weights=weights, max_repeat=max_repeat, importance=importance, slices=slices, seed=seed)
+    result = _keyed(rows, decisions, slices).withColumn("copies", _copies())
+    return result.select(F.col("mix_id").alias(id_col), F.col("mix_size").alias("size"), F.col("mix_source").alias(source_col), "source_size", "target", "copies", (F.col("copies") * F.col("mix_size")).alias("taken"))
+
+
+def mixed_documents(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT, importance: str | None = None, slices: int = SLICES, seed: str = SEED
+) -> DataFrame:
+    """The documents themselves, each as often as the mix takes it.
+
+    A row's copies follow from its draw and its source's decisions, so the texts are not shuffled.
+    """
+    _, decisions = decide(docs, id_col=id_col, text_col=text_col, source_col=source_col, weights=weights, max_repeat=max_repeat, importance=importance, slices=slices, seed=seed)
+    drawn = _drawn(docs, id_col, text_col, source_col, importance, seed)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("mix_row"), *[c.alias(name) for name, c in drawn.items()])
+    taken = _keyed(rows, decisions, slices).withColumn("mix_copies", _copies()).where("mix_copies > 0")
+    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select("mix_row.*")
 
 
 def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
