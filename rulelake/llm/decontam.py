@@ -158,13 +158,8 @@ def match(words: np.ndarray, windows: Windows, index: dict[int, dict[str, np.nda
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: (id, n_words, spans, items); spans are (start, end) word ranges that windows cover, items sorted ids."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // (2 * block_words)))  # a word has a letter and a space at least
-    made = []
-    for k in range(blocks):
-        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).toLocalIterator()]
-        made.append(_one_pass(docs, rows, id_col, text_col, window))
+    made = [_one_pass(docs, rows, id_col, text_col, window) for rows in _blocks(benchmark, item_col, item_text_col, block_words)]
+    blocks = len(made)
     if blocks == 1:
         return made[0].drop("digest").withColumnRenamed("id", id_col)
     # Hits of the passes meet by document; equal documents have equal hits, and each of them keeps its row.
@@ -180,11 +175,43 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     return merged.select(F.col("id").alias(id_col), "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
 
 
-def _one_pass(docs: DataFrame, items: list[tuple], id_col: str, text_col: str, window: int) -> DataFrame:
+def _prepared(docs: DataFrame, items: list[tuple], text_col: str, window: int):
+    """A block's windows and their prefix index, sent to the executors; ``block_words`` bounds it."""
     windows = cut_windows(items, window)
     wanted = {size: np.unique(shingles) for size, (_, shingles) in _window_shingles(windows).items()}
     counts = count_shingles(docs, text_col, wanted) if wanted else {}
-    shared = docs.sparkSession.sparkContext.broadcast((windows, prefix_index(windows, counts, wanted)))  # bounded by block_words
+    return docs.sparkSession.sparkContext.broadcast((windows, prefix_index(windows, counts, wanted)))
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_words: int):
+    """The benchmark's (item, text) rows, in blocks of bounded size."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // (2 * block_words)))  # a word has a letter and a space at least
+    for k in range(blocks):
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).toLocalIterator()]
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents that contain no window, with all their columns; texts stay where they are."""
+    from pyspark.sql.functions import pandas_udf
+
+    for items in _blocks(benchmark, item_col, item_text_col, block_words):
+        shared = _prepared(docs, items, text_col, window)
+
+        @pandas_udf("boolean")
+        def hit(texts, shared=shared):
+            import pandas as pd
+
+            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["text"])
+            return pd.Series([bool(match(words, *shared.value)[0].any()) for _, _, words in _document_batches([batch])], dtype="bool")
+
+        docs = docs.where(~hit(F.col(text_col)))
+    return docs
+
+
+def _one_pass(docs: DataFrame, items: list[tuple], id_col: str, text_col: str, window: int) -> DataFrame:
+    shared = _prepared(docs, items, text_col, window)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
