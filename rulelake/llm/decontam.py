@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import checkpointed
+from .common import bounded_batches, checkpointed
 from .shingles import ALNUM, shingle_hashes, text_blocks, word_hashes
 
 WINDOW, SHINGLE = 10, 5
@@ -177,6 +177,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
 def _prepared(docs: DataFrame, items: list[tuple], text_col: str, window: int):
     """A block's windows and their prefix index, sent to the executors; ``block_words`` bounds it."""
+    bounded_batches(docs.sparkSession)
     windows = cut_windows(items, window)
     wanted = {size: np.unique(shingles) for size, (_, shingles) in _window_shingles(windows).items()}
     counts = count_shingles(docs, text_col, wanted) if wanted else {}

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import checkpointed, staged
+from .common import bounded_batches, checkpointed, staged
 from .components import connected_components
 from .shingles import SPACED, mix64, shingle_set, text_blocks, word_hashes
 
@@ -217,6 +217,7 @@ def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT
 ) -> DataFrame:
     """Per document: id, n_shingles, component_id (smallest id reachable over links), kept."""
+    bounded_batches(docs.sparkSession)
     sketched = staged(sketches(docs, id_col, text_col, size, bands, rows), "sketches")
     classes = sketched.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = staged(classes, "classes")

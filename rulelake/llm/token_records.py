@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import checkpointed, committed_file, opened, staging_path
+from .common import bounded_batches, checkpointed, committed_file, opened, staging_path
 from .piece_encoder import PieceEncoder
 
 END_ID = 0
@@ -94,6 +94,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
 
     ``tokenizer`` is a path on every executor.
     """
+    bounded_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
 
     def encoded(batches) -> Iterator[tuple[int | None, bytes]]:

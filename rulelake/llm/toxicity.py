@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .common import bounded_batches
 from .labelled import fold, logistic, sigmoid, training_sample
 
 THRESHOLD = 0.5
@@ -169,6 +170,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     """The documents with a score; the input's columns are kept as they are, but for one of the score's name."""
     from pyspark.sql.functions import pandas_udf
 
+    bounded_batches(docs.sparkSession)
     held = {}
 
     @pandas_udf("double")
