@@ -50,7 +50,7 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     )
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
     shared = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    shared = shared.where("n > 1").drop("n")
+    shared = checkpointed(shared.where("n > 1").drop("n"))  # apart from the join, so that a digest of very many pages can be split there
     rows = rows.join(shared, "payload_digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
