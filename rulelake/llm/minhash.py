@@ -184,7 +184,7 @@ def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sketched = staged(wide.select("shingles", "node", "n", "component").mapInArrow(prefixes, schema), "prefixes")
     nodes = sketched.drop("tokens")
     rare = sketched.select("node", "component", F.explode("tokens").alias("token"))
-    shared = rare.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
+    shared = checkpointed(rare.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token"))
     rare = rare.join(shared, "token").groupBy("token", "component")
     units = rare.agg((F.count(F.lit(1)) > 1).alias("many"), F.min("node").alias("node"))
     units = checkpointed(units.join(nodes.drop("component"), "node"))
@@ -223,12 +223,13 @@ def near_duplicates(
     classes = staged(classes, "classes")
 
     members = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    # What is known of buckets is found apart from the joins with their members, which can then split a hot bucket.
+    shared = checkpointed(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     members = staged(members.join(shared, "bucket"), "shared")  # of buckets with company only
     company = members.groupBy("node").agg(F.sum("members").alias("company"))
     members = members.join(company, "node")
     centers = members.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("node")).alias("least"))).alias("best"))
-    members = members.join(centers.select("bucket", (-F.col("best.least")).alias("center")), "bucket")
+    members = members.join(checkpointed(centers.select("bucket", (-F.col("best.least")).alias("center"))), "bucket")
     members = staged(members.select("bucket", "node", "n", "members", "center"), "members")
 
     nodes = checkpointed(members.select("node").distinct())
@@ -238,6 +239,7 @@ def near_duplicates(
 
     labelled = _labelled(members.where("members > 2").select("bucket", "node", "n"), components)
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
+    mixed = checkpointed(mixed)
     opened = checkpointed(labelled.join(mixed, "bucket").select("node", "n", "component").distinct())
     late = confirmed(_rare_pairs(opened, sets, percent), sets, percent)
     if late.limit(1).count():
