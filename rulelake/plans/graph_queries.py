@@ -207,7 +207,11 @@ def exact_calc(spark, sf_dir):
 
 
 def unit_convert(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 254).alias("tenth_mm"), F.lit("tenth_mm").alias("unit"))
+    """Sizes in inches as exact millimetres."""
+    size = exact.rational(F.col("p_size").cast("long"), F.lit(1))
+    rate = exact.rational(F.lit(254), F.lit(10))
+    rows = table(spark, sf_dir, "part").select("p_partkey", exact.multiply(size, rate).alias("mm"))
+    return rows.select("p_partkey", F.col("mm.num").cast("long").alias("num"), F.col("mm.den").cast("long").alias("den"))
 
 
 def canonical_cbor_hash(spark, sf_dir):
@@ -311,7 +315,7 @@ ORACLE_SQL = {
     "exact_calc": """
         WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 3 + l_linenumber * 2 AS n FROM lineitem WHERE l_orderkey % 50 = 1)
         SELECT l_orderkey, l_linenumber, n // gcd(n, 12) AS num, 12 // gcd(n, 12) AS den, n > 60 AS over FROM x""",
-    "unit_convert": "SELECT p_partkey, p_size * 254 AS tenth_mm, 'tenth_mm' AS unit FROM part",
+    "unit_convert": "SELECT p_partkey, CAST(p_size * 254 // gcd(p_size * 254, 10) AS BIGINT) AS num, CAST(10 // gcd(p_size * 254, 10) AS BIGINT) AS den FROM part",
     "stream_dedup_events": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type",
     "stream_latest_status": "SELECT event_type, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM events GROUP BY event_type",
 }
