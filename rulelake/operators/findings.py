@@ -136,7 +136,7 @@ class Binding:
     params: dict[str, Any] = field(default_factory=dict)
 
     def order(self) -> tuple:
-        return self.rule_id, SEVERITIES.index(self.severity), self.scope_id, self.predicate, json.dumps(self.params, sort_keys=True)
+        return self.rule_id, SEVERITIES.index(self.severity), self.scope_id, self.predicate, json.dumps(self.params, sort_keys=True, default=str)
 
 
 @dataclass(frozen=True)
