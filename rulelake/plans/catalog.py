@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import document_queries, graph_queries, rule_queries
+from . import document_queries, graph_queries, rule_queries, selection_queries
 
-QUERIES = {**rule_queries.QUERIES, **document_queries.QUERIES, **graph_queries.QUERIES}
-ORACLE_SQL = {**rule_queries.ORACLE_SQL, **document_queries.ORACLE_SQL, **graph_queries.ORACLE_SQL}
+QUERIES = {**rule_queries.QUERIES, **document_queries.QUERIES, **graph_queries.QUERIES, **selection_queries.QUERIES}
+ORACLE_SQL = {**rule_queries.ORACLE_SQL, **document_queries.ORACLE_SQL, **graph_queries.ORACLE_SQL, **selection_queries.ORACLE_SQL}
