@@ -237,3 +237,18 @@ def op10_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.createDataFrame([(-7, 0, "user", HOSTILE), (-7, 1, ASSISTANT, HOSTILE)], "conv_id long, turn long, role string, text string")
     turns = rows.unionByName(planted).select("conv_id", "turn", "role", text_parts(F.col("text")).alias("parts"))
     return conversation_digests(format_conversations(turns))
+
+
+OP10_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), turns AS (
+  SELECT *, regexp_replace(text, '(\\|</?turn|<part[ >])', '\\\1', 'g') AS escaped FROM rows
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<turn role="">' || chr(10) || '</turn>' || chr(10)) + length(role) + length(escaped)) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
