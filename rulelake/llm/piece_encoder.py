@@ -10,6 +10,7 @@ not met before reach the library. A text with a space beyond ASCII is given to t
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 
 from .shingles import mix64, text_blocks
 
-CAPACITY = 1 << 20
+CAPACITY = 1 << 19
 JOINED_WORDS = 2_000
 BLOCK_BYTES = 1 << 20
 
@@ -90,6 +91,7 @@ class PieceEncoder:
     """Encodes blocks of texts with a tokenizers file."""
 
     def __init__(self, path: str, capacity: int = CAPACITY):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already, and threads hold memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
