@@ -60,9 +60,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def word_hashes(data: np.ndarray, offsets: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the offsets of each text's words in them."""
     if len(data) > 2 * BLOCK_BYTES and len(offsets) == 2:
-        parts = [word_hashes(part, np.array([0, len(part)]), tables)[0] for part in _pieces(data, tables[0])]
+        parts = [_block_hashes(part, np.array([0, len(part)]), tables)[0] for part in _pieces(data, tables[0])]
         words = np.concatenate(parts)
         return words, np.array([0, len(words)])
+    return _block_hashes(data, offsets, tables)
+
+
+def _block_hashes(data: np.ndarray, offsets: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     inside = tables[0][data]
