@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import checkpointed, committed_file, opened, staging_path
+from .common import bounded_batches, checkpointed, committed_file, opened, staging_path
 
 CHUNK = 1 << 18
 REVISIT_BYTES = 100
@@ -99,6 +99,7 @@ def write_archives(chunks: DataFrame, folder: str, archive_bytes: int = ARCHIVE_
                     row = next(rows, None)
             yield pa.RecordBatch.from_pylist([{"archive": uri, "records": count, "bytes": size}])
 
+    bounded_batches(chunks.sparkSession)
     return checkpointed(chunks.mapInArrow(write, "archive string, records long, bytes long"))
 
 
