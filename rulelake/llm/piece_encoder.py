@@ -20,7 +20,7 @@ from .shingles import mix64, text_blocks
 
 CAPACITY = 1 << 19
 JOINED_WORDS = 2_000
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
@@ -123,6 +123,24 @@ class PieceEncoder:
         if not len(data):
             return [self.pool[:0]] * texts
         starts = piece_starts(data, offsets)
+        edges = np.unique(np.searchsorted(starts, np.arange(0, len(data), BLOCK_BYTES)))  # of a very long text, parts
+        edges = [*edges[edges < len(starts)].tolist(), len(starts)]
+        parts = []
+        for a, b in zip(edges, edges[1:], strict=False):
+            low, high = int(starts[a]), int(starts[b]) if b < len(starts) else len(data)
+            parts.append(self._pieces(data[low:high], starts[a:b] - low))
+        ids, size, known = (np.concatenate(column) for column in zip(*parts, strict=True))
+        total = np.concatenate([[0], np.cumsum(size)])
+        cut = total[np.searchsorted(starts, offsets)]
+        made = [ids[cut[k] : cut[k + 1]] for k in range(texts)]
+        # Texts that the table can't answer for go to the library as a whole.
+        odd = np.concatenate([starts[~known], far_spaces(data)])
+        for k in np.unique(np.searchsorted(offsets, odd, "right") - 1).tolist():
+            made[k] = self.whole_text(data[offsets[k] : offsets[k + 1]].tobytes().decode())
+        return made
+
+    def _pieces(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces side by side, the number of each piece's ids, and whether the table knows it."""
         ends = np.append(starts[1:], len(data))
         keys, checks = self._hashes(data, starts)
         slot = self._find(keys, checks)
@@ -137,16 +155,8 @@ class PieceEncoder:
             self._learn(data, starts[new], ends[new], keys[new], checks[new])
             slot = self._find(keys, checks)
         size = np.where(slot < 0, 0, self.size[slot])
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.pool[np.repeat(self.begin[slot] - total[:-1], size) + np.arange(total[-1])]
-        at = np.searchsorted(starts, offsets)
-        cut = total[at]
-        made = [ids[cut[k] : cut[k + 1]] for k in range(texts)]
-        # Texts that the table can't answer for go to the library as a whole.
-        odd = np.concatenate([starts[np.flatnonzero(slot < 0)], far_spaces(data)])
-        for k in np.unique(np.searchsorted(offsets, odd, "right") - 1).tolist():
-            made[k] = self.whole_text(data[offsets[k] : offsets[k + 1]].tobytes().decode())
-        return made
+        before = np.cumsum(size) - size
+        return self.pool[np.repeat(self.begin[slot] - before, size) + np.arange(size.sum())], size, slot >= 0
 
     def _hashes(self, data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         out = []
