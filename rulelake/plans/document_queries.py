@@ -75,7 +75,7 @@ def _vault(spark, sf_dir):
     first = F.regexp_extract("text", r"^([A-Za-z]+)", 1)
     docs = _docs(spark, sf_dir).select(F.concat(F.lit("docs/"), "doc_id", F.lit(".md")).alias("path"), first.alias("title"))
     links = link_extract(spark, sf_dir).where(F.startswith("target", F.lit("/")))
-    extra = _docs(spark, sf_dir).where("doc_id % 10 = 0").select(F.col("doc_id").alias("page_id"), F.lit(-1).alias("position"), F.concat(F.lit("./docs/"), "doc_id").alias("target"))
+    extra = _docs(spark, sf_dir).select(F.col("doc_id").alias("page_id"), F.lit(-1).alias("position"), F.concat(F.lit("./docs/"), "doc_id").alias("target"))
     return links.unionByName(extra), docs
 
 
@@ -235,7 +235,7 @@ WITH docs AS (
   SELECT page_id, regexp_extract_all(coalesce(html, ''), 'href="([^"]*)"', 1) AS h FROM pages
 ), links AS (
   SELECT page_id, CAST(i - 1 AS INT) AS position, h[i] AS target FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS i FROM hrefs) WHERE h[i] LIKE '/%'
-  UNION ALL SELECT doc_id, -1, './docs/' || doc_id FROM documents WHERE doc_id % 10 = 0
+  UNION ALL SELECT doc_id, -1, './docs/' || doc_id FROM documents
 ), norm AS (
   SELECT *, regexp_replace(regexp_replace(trim(target), '^(\\./)+', ''), '^/+', '') AS n FROM links
 ), keyed AS (

@@ -14,13 +14,13 @@ from . import projection
 
 
 def _graph(spark, sf_dir):
-    """Regions, nations, customers and orders as nodes, and what belongs to what as edges."""
+    """Regions, nations, customers (of no debt) and orders as nodes, and what belongs to what as edges."""
     nation, customer, orders = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
     node = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     edges = nation.select(node("r", F.col("n_regionkey")).alias("src"), node("n", F.col("n_nationkey")).alias("dst"))
-    edges = edges.unionByName(customer.select(node("n", F.col("c_nationkey")).alias("src"), node("c", F.col("c_custkey")).alias("dst")))
+    edges = edges.unionByName(customer.where("c_acctbal >= 0").select(node("n", F.col("c_nationkey")).alias("src"), node("c", F.col("c_custkey")).alias("dst")))
     edges = edges.unionByName(orders.select(node("c", F.col("o_custkey")).alias("src"), node("o", F.col("o_orderkey")).alias("dst")))
-    return edges.where("dst not like 'c%7'")
+    return edges
 
 
 def dependency_closure(spark, sf_dir):
@@ -38,8 +38,8 @@ def authority_reachability(spark, sf_dir):
 
 
 def dag_missing_refs(spark, sf_dir):
-    nodes = table(spark, sf_dir, "customer").where("c_custkey % 5 != 0").select(F.col("c_custkey").alias("id"))
-    edges = table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + 1).alias("dst"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey") + 2).alias("witness_ref"))
+    nodes = table(spark, sf_dir, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("id"))
+    edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + 1).alias("dst"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey") + 2).alias("witness_ref"))
     return dag.missing_references(nodes, edges).groupBy("missing").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
 
 
@@ -80,7 +80,7 @@ def _events(spark, sf_dir):
     """Events as a ledger: numbered in order of time, some referring to an event before or after them."""
     events = table(spark, sf_dir, "events")
     kind = F.concat(F.col("event_type"), F.lit("."), F.when(F.col("value") > 50, "checked").otherwise("executed"))
-    return events.select("event_id", F.col("ts").alias("timestamp"), F.col("event_id").alias("line"), kind.alias("event_type"), "user_id", F.col("value"), F.when(F.col("event_id") % 10 == 0, F.floor("value").cast("long") * 200).alias("reference_id"))
+    return events.select("event_id", F.col("ts").alias("timestamp"), F.col("event_id").alias("line"), kind.alias("event_type"), "user_id", F.col("value"), (F.floor("value").cast("long") * 200).alias("reference_id"))
 
 
 def ledger_status_latest(spark, sf_dir):
@@ -125,7 +125,7 @@ def lens_delta(spark, sf_dir):
 
 def plan_path_sets(spark, sf_dir):
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    expected = orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("path"))
+    expected = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("path"))
     claimed = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("path"))
     observed = lines.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("path"))
     return ledger.path_sets(expected, claimed, observed).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("least"), F.sum("path").alias("total"))
@@ -157,7 +157,7 @@ def latest_complete_run(spark, sf_dir):
 
 def projection_vacuum(spark, sf_dir):
     rows = _phases(spark, sf_dir)
-    old = ledger.run_status(rows).where("status != 'complete' and run_id % 2 = 0").select("run_id")
+    old = ledger.run_status(rows).where("status = 'failed'").select("run_id")
     return projection.without_runs(rows, old, "run_id").groupBy("phase").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("run_id").alias("runs"))
 
 
@@ -168,7 +168,7 @@ def projection_latest_rows(spark, sf_dir):
 
 def projection_upsert(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    new = orders.where("o_orderkey % 4 = 0").withColumn("o_totalprice", F.lit(0.0))
+    new = orders.where("o_totalprice > 100000").withColumn("o_totalprice", F.lit(0.0))
     return projection.upsert(orders, new, ["o_orderkey"]).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_totalprice") == 0).alias("zero"))
 
 
@@ -195,7 +195,7 @@ def json_select_path(spark, sf_dir):
 
 def exact_calc(spark, sf_dir):
     """(quantity / 4 + line number / 6) in lowest terms, and whether it exceeds 5."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 1")
+    lines = table(spark, sf_dir, "lineitem")
     q = exact.rational(F.col("l_quantity").cast("long"), F.lit(4))
     n = exact.rational(F.col("l_linenumber").cast("long"), F.lit(6))
     tree = {"op": "add", "left": {"op": "input_ref", "name": "q"}, "right": {"op": "input_ref", "name": "n"}}
@@ -232,14 +232,14 @@ QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and get
 
 _EDGES_SQL = """
 WITH RECURSIVE edges AS (
-  SELECT * FROM (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
-                 UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders) WHERE dst NOT LIKE 'c%7'
+  SELECT * FROM (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer WHERE c_acctbal >= 0
+                 UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)
 )
 """
 _LEDGER_SQL = """
 WITH e AS (
   SELECT event_id, ts AS timestamp, event_id AS line, event_type || '.' || CASE WHEN value > 50 THEN 'checked' ELSE 'executed' END AS event_type, user_id, value,
-         CASE WHEN event_id % 10 = 0 THEN CAST(floor(value) AS BIGINT) * 200 END AS reference_id FROM events
+         CAST(floor(value) AS BIGINT) * 200 AS reference_id FROM events
 )
 """
 _PHASES_SQL = """
@@ -257,8 +257,8 @@ ORACLE_SQL = {
         SELECT 'n' || n_nationkey AS id, 'scope:fs.write' AS scope FROM nation WHERE n_regionkey <> 1
         UNION ALL SELECT 'c' || c_custkey, 'scope:external.mail' FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 3 <> 0 AND n_regionkey <> 1""",
     "dag_missing_refs": """
-        WITH n AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 5 <> 0),
-        e AS (SELECT o_custkey AS src, o_custkey + 1 AS dst, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey + 2 END AS w FROM orders WHERE o_orderkey % 11 = 0),
+        WITH n AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal >= 0),
+        e AS (SELECT o_custkey AS src, o_custkey + 1 AS dst, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey + 2 END AS w FROM orders),
         r AS (SELECT 'src' AS missing, src AS id FROM e UNION ALL SELECT 'dst', dst FROM e UNION ALL SELECT 'witness_ref', w FROM e WHERE w IS NOT NULL)
         SELECT missing, count(*) AS n, count(DISTINCT id) AS ids FROM r WHERE id NOT IN (SELECT id FROM n) GROUP BY missing""",
     "dag_cycle_residual": """
@@ -295,7 +295,7 @@ ORACLE_SQL = {
         SELECT user_id, event_type, a.n AS n_before, b.n AS n_after, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'changed' END AS change
         FROM a FULL JOIN b USING (user_id, event_type) WHERE a.n IS DISTINCT FROM b.n""",
     "plan_path_sets": """
-        WITH e AS (SELECT o_orderkey AS p FROM orders WHERE o_orderkey % 3 = 0), c AS (SELECT o_orderkey AS p FROM orders WHERE o_orderstatus = 'F'), o AS (SELECT DISTINCT l_orderkey AS p FROM lineitem WHERE l_returnflag = 'R'),
+        WITH e AS (SELECT o_orderkey AS p FROM orders WHERE o_orderpriority = '1-URGENT'), c AS (SELECT o_orderkey AS p FROM orders WHERE o_orderstatus = 'F'), o AS (SELECT DISTINCT l_orderkey AS p FROM lineitem WHERE l_returnflag = 'R'),
         d AS (SELECT 'observed_not_claimed' AS kind, p FROM (FROM o EXCEPT FROM c) UNION ALL SELECT 'claimed_not_observed', p FROM (FROM c EXCEPT FROM o)
               UNION ALL SELECT 'observed_not_expected', p FROM (FROM o EXCEPT FROM e) UNION ALL SELECT 'expected_not_observed', p FROM (FROM e EXCEPT FROM o))
         SELECT kind, count(*) AS n, min(p) AS least, CAST(sum(p) AS BIGINT) AS total FROM d GROUP BY kind""",
@@ -305,15 +305,15 @@ ORACLE_SQL = {
                WHEN o_custkey % 2 = 0 AND day >= '1997-01-01' THEN 'expired' ELSE 'valid' END AS verdict FROM r""",
     "run_status": _PHASES_SQL + "SELECT run_id, status, phases FROM s",
     "latest_complete_run": "SELECT event_type AS trace, event_id AS run_id FROM events WHERE value > 50 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1",
-    "projection_vacuum": _PHASES_SQL + "SELECT phase, count(*) AS rows, count(DISTINCT run_id) AS runs FROM p WHERE run_id NOT IN (SELECT run_id FROM s WHERE status <> 'complete' AND run_id % 2 = 0) GROUP BY phase",
+    "projection_vacuum": _PHASES_SQL + "SELECT phase, count(*) AS rows, count(DISTINCT run_id) AS runs FROM p WHERE run_id NOT IN (SELECT run_id FROM s WHERE status = 'failed') GROUP BY phase",
     "projection_latest_rows": "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY ALL",
-    "projection_upsert": "SELECT count(*) AS n, count(*) FILTER (o_orderkey % 4 = 0 OR o_totalprice = 0) AS zero FROM orders",
+    "projection_upsert": "SELECT count(*) AS n, count(*) FILTER (o_totalprice > 100000 OR o_totalprice = 0) AS zero FROM orders",
     "run_scoped_ids": "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN sha256('run' || c_nationkey || '|' || sha256(c_name)) ELSE sha256(c_name) END AS id FROM customer",
     "batch_hashes": "SELECT c_custkey % 16 AS batch, count(*) AS items, sha256('nodes|run-1|' || string_agg(CAST(c_custkey AS VARCHAR), '' ORDER BY CAST(c_custkey AS VARCHAR))) AS batch_hash FROM customer GROUP BY 1",
     "retry_backoff": "SELECT r_regionkey, CAST(CASE WHEN r_regionkey = 0 THEN 0 ELSE least(5000, 100 * pow(2, r_regionkey * 2 - 1)) END AS BIGINT) AS delay_ms FROM region",
     "json_select_path": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, TRY_CAST(json_extract_string(props, '$.none') AS BIGINT) AS none FROM events",
     "exact_calc": """
-        WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 3 + l_linenumber * 2 AS n FROM lineitem WHERE l_orderkey % 50 = 1)
+        WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 3 + l_linenumber * 2 AS n FROM lineitem)
         SELECT l_orderkey, l_linenumber, n // gcd(n, 12) AS num, 12 // gcd(n, 12) AS den, n > 60 AS over FROM x""",
     "unit_convert": "SELECT p_partkey, CAST(p_size * 254 // gcd(p_size * 254, 10) AS BIGINT) AS num, CAST(10 // gcd(p_size * 254, 10) AS BIGINT) AS den FROM part",
     "stream_dedup_events": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type",

@@ -36,9 +36,12 @@ def title_search(spark, sf_dir):
 
 
 def unresolved_suggestions(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").withColumn("block", F.col("label"))
-    links = vectors.where("vec_id % 5 = 0").select("vec_id", "block", "embedding", F.when(F.col("vec_id") % 20 == 0, F.concat(F.lit("kept"), "vec_id")).alias("resolved"))
-    targets = vectors.where("vec_id % 5 = 1").select("block", F.concat(F.lit("d"), "vec_id").alias("path"), "embedding")
+    """Vectors that begin above zero are links, the others targets; a block is a label and the signs of four dimensions."""
+    signs = F.transform(F.slice("embedding", 3, 4), lambda v: F.when(v > 0, "+").otherwise("-"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("block", F.concat("label", F.array_join(signs, "")))
+    above = lambda k: F.element_at("embedding", k) > 0
+    links = vectors.where(above(1)).select("vec_id", "block", "embedding", F.when(above(2), F.concat(F.lit("kept"), "vec_id")).alias("resolved"))
+    targets = vectors.where(~above(1)).select("block", F.concat(F.lit("d"), "vec_id").alias("path"), "embedding")
     return S.suggestions(links, targets, "vec_id").select("vec_id", "candidate", F.round("similarity", 6).alias("similarity"))
 
 
@@ -70,7 +73,7 @@ def run_duration(spark, sf_dir):
 
 
 def delegation_issue(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    orders = table(spark, sf_dir, "orders")
     rows = orders.select(F.col("o_custkey").cast("string").alias("delegator"), F.col("o_orderkey").cast("string").alias("delegate"), F.array("o_orderpriority", F.lit("base"), F.lit("base")).alias("scopes"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("issued_at"), F.lit(None).cast("string").alias("expires_at"))
     return S.delegation_records(rows).select("record_id", "delegate", "scopes")
 
@@ -88,8 +91,8 @@ def scope_listing(spark, sf_dir):
 def incremental_file_changes(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     state = lambda rows: rows.select(F.col("o_orderkey").alias("path"), F.length("o_orderpriority").alias("size"), F.col("o_custkey").alias("mtime"))
-    now = state(orders.where("o_orderkey % 7 != 0")).withColumn("mtime", F.when(F.col("path") % 5 == 0, -1).otherwise(F.col("mtime")))
-    return D.classify_files(now, state(orders.where("o_orderkey % 3 != 0"))).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    now = state(orders.where("o_orderstatus != 'O'").withColumn("o_custkey", F.when(F.col("o_totalprice") > 200000, -1).otherwise(F.col("o_custkey"))))
+    return D.classify_files(now, state(orders.where("o_orderpriority != '1-URGENT'"))).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
 def documents_to_resolve_again(spark, sf_dir):
@@ -102,7 +105,7 @@ def per_document_replacement(spark, sf_dir):
     from . import projection
 
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    new = lines.where("l_orderkey % 4 = 0 and l_linenumber = 1").withColumn("l_quantity", F.lit(-1.0))
+    new = lines.where("l_quantity > 40 and l_linenumber = 1").withColumn("l_quantity", F.lit(-1.0))
     return projection.replace_documents(lines, new, "l_orderkey").groupBy((F.col("l_quantity") < 0).alias("new")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -138,10 +141,11 @@ ORACLE_SQL = {
         WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 1), s AS (SELECT 't' || label || '/' || vec_id AS path, {_COSINE.format("embedding", "q")} AS s FROM embeddings, q WHERE vec_id % 2 = 0)
         SELECT path, round(s, 6) AS similarity FROM s ORDER BY s DESC, path LIMIT 15""",
     "unresolved_suggestions": f"""
-        WITH l AS (SELECT * FROM embeddings WHERE vec_id % 5 = 0), t AS (SELECT * FROM embeddings WHERE vec_id % 5 = 1),
-        s AS (SELECT l.vec_id, 'd' || t.vec_id AS candidate, {_COSINE.format("l.embedding", "t.embedding")} AS s FROM l JOIN t ON t.label = l.label WHERE l.vec_id % 20 <> 0)
+        WITH e AS (SELECT *, label || array_to_string(list_transform(embedding[3:6], lambda v: CASE WHEN v > 0 THEN '+' ELSE '-' END), '') AS block FROM embeddings),
+        l AS (SELECT * FROM e WHERE embedding[1] > 0), t AS (SELECT * FROM e WHERE embedding[1] <= 0),
+        s AS (SELECT l.vec_id, 'd' || t.vec_id AS candidate, {_COSINE.format("l.embedding", "t.embedding")} AS s FROM l JOIN t ON t.block = l.block WHERE l.embedding[2] <= 0)
         SELECT vec_id, candidate, round(s, 6) AS similarity FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, candidate) = 1)
-        UNION ALL SELECT vec_id, 'kept' || vec_id, 1.0 FROM l WHERE vec_id % 20 = 0""",
+        UNION ALL SELECT vec_id, 'kept' || vec_id, 1.0 FROM l WHERE embedding[2] > 0""",
     "ingest_coverage": """
         SELECT 'files' AS kind, count(*) AS n FROM documents UNION ALL SELECT 'bytes', CAST(sum(strlen(text)) AS BIGINT) FROM documents
         UNION ALL SELECT 'warning:' || CASE WHEN n_chars > 5000 THEN 'long' ELSE 'short' END, count(*) FROM documents WHERE n_chars > 5000 OR n_chars < 50 GROUP BY 1""",
@@ -152,17 +156,17 @@ ORACLE_SQL = {
     "ci_snapshot_hash": "SELECT sha256(string_agg(r, chr(10) ORDER BY r)) AS snapshot_hash FROM (SELECT n_name || '=' || sha256(CAST(n_regionkey AS VARCHAR)) AS r FROM nation)",
     "run_duration": "SELECT user_id, CAST((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS BIGINT) AS duration_ms FROM events GROUP BY user_id",
     "delegation_issue": """
-        WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS a, CAST(o_orderkey AS VARCHAR) AS delegate, array_to_string(list_sort(list_distinct([o_orderpriority, 'base'])), ',') AS scopes, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderkey % 10 = 0)
+        WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS a, CAST(o_orderkey AS VARCHAR) AS delegate, array_to_string(list_sort(list_distinct([o_orderpriority, 'base'])), ',') AS scopes, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)
         SELECT sha256(a || '|' || delegate || '|' || scopes || '|' || day || '|') AS record_id, delegate, scopes FROM r""",
     "lens_update_costs": "SELECT l_returnflag AS bucket, 'usd' AS unit, round(sum(l_quantity), 2) AS total, sha256('lens|payload') AS derived_hash FROM lineitem GROUP BY 1",
     "scope_listing": "SELECT 'scope:s' || s_suppkey AS scope_id, 'LIVE' AS phase, 'Source' AS role FROM supplier WHERE s_suppkey % 2 <> 0 AND s_nationkey > 10",
     "incremental_file_changes": """
-        SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'added' WHEN o_orderkey % 7 = 0 THEN 'removed' WHEN o_orderkey % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS change, count(*) AS n
-        FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderkey % 7 = 0) GROUP BY 1""",
+        SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'added' WHEN o_orderstatus = 'O' THEN 'removed' WHEN o_totalprice > 200000 THEN 'changed' ELSE 'unchanged' END AS change, count(*) AS n
+        FROM orders WHERE NOT (o_orderpriority = '1-URGENT' AND o_orderstatus = 'O') GROUP BY 1""",
     "documents_to_resolve_again": "SELECT DISTINCT l_orderkey AS path FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 1",
     "per_document_replacement": """
-        WITH d AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 4 = 0 AND l_linenumber = 1)
-        SELECT true AS new, count(*) AS n FROM lineitem WHERE l_orderkey % 4 = 0 AND l_linenumber = 1 UNION ALL SELECT false, count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM d)""",
+        WITH d AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 40 AND l_linenumber = 1)
+        SELECT true AS new, count(*) AS n FROM lineitem WHERE l_quantity > 40 AND l_linenumber = 1 UNION ALL SELECT false, count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM d)""",
     "windowed_event_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "grouping_extra": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "source_kinds": """
