@@ -212,9 +212,12 @@ def term_mentions(docs: DataFrame, id_col: str, text: Column, terms: DataFrame,
     a term do not overlap in practice, as a term that repeats itself within its own length is not a name.
     """
     words = docs.select(F.col(id_col), F.split(T.mention_text(F.coalesce(text, F.lit(""))), " ").alias("w"))
-    size = F.size("w")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>")), lambda k: F.array_join(F.slice("w", k, n), " "))))
-    exploded = words.select(id_col, F.explode(runs).alias("term"))
+    run, runs = F.col("w"), [F.col("w")]
+    for n in range(2, longest + 1):
+        shorter = F.slice(run, 1, F.greatest(F.size(run) - 1, F.lit(0)))
+        run = F.zip_with(shorter, F.slice("w", n, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))
+        runs.append(run)
+    exploded = words.select(id_col, F.explode(F.concat(*runs)).alias("term"))
     hits = exploded.join(terms.select("target", "term"), "term")
     return hits.groupBy(id_col, "target", "term").agg(F.count(F.lit(1)).alias("mentions"))
 
