@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 MOST_ROWS = 100_000
+#: Rows of links or targets that are scored at once.
+PACK = 2048
 
 
 def has_prefix(path: Column, prefixes: list[str]) -> Column:
@@ -50,17 +55,84 @@ def search_titles(titles: DataFrame, query: Column, *, prefix: str, model: str,
     return rows.select("path", T.cosine(F.col("embedding"), query).alias("similarity")).orderBy(F.desc("similarity"), "path").limit(min(50, max(1, k)))
 
 
-def suggestions(links: DataFrame, targets: DataFrame, link_id: str, k: int = 1) -> DataFrame:
-    """For each unresolved link (embedding, candidate bucket ``block``) the k best targets of its block; missing vectors
-    count as 0. A link that only lacks its heading keeps the document it resolved to."""
-    paired = links.where("resolved is null").join(targets.select("block", F.col("path").alias("candidate"), F.col("embedding").alias("vector")), "block")
-    scored = paired.withColumn("similarity", F.coalesce(T.cosine(F.col("embedding"), F.col("vector")), F.lit(0.0)))
-    order = W.partitionBy(link_id).orderBy(F.desc("similarity"), "candidate")
-    best = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(link_id, "candidate", "similarity", "place")
+def suggestions(links: DataFrame, targets: DataFrame, link_id: str, k: int = 1, pack: int = PACK) -> DataFrame:
+    """For each unresolved link (embedding, ``block`` to search in) the k best of all targets of its block; missing vectors
+    count as 0. A link that only lacks its heading keeps the document it resolved to; one whose block has no target keeps
+    a row without a candidate.
+
+    Links and targets of a block are dealt into packs of about ``pack`` rows, and each pair of packs is scored by itself
+    and hands on k rows a link, so that a hot block is spread over tasks and no pair of rows is made in the plan.
+    """
+    wanted = links.where("resolved is null").select(F.col(link_id).alias("id"), F.col("block").alias("link_block"), F.col("embedding").cast("array<double>").alias("vector"))
+    found = targets.where("block is not null").select(F.col("block").alias("target_block"), F.col("path").alias("candidate"), F.col("embedding").cast("array<double>").alias("vector"))
+    packs = lambda rows, side: rows.groupBy(F.col(f"{side}_block").alias("block")).agg(F.ceil(F.count(F.lit(1)) / pack).alias(f"{side}_packs"))
+    of_links, of_targets = packs(wanted, "link"), packs(found, "target")
+    dealt = lambda name, count: F.pmod(F.xxhash64(name, "vector"), F.coalesce(count, F.lit(1)))
+    copies = lambda count: F.explode(F.sequence(F.lit(0), (F.coalesce(count, F.lit(1)) - 1).cast("int")))
+    sizes = of_links.join(of_targets, "block", "left")
+    one = wanted.join(sizes, F.col("link_block") == F.col("block"), "left")
+    one = one.select("link_block", "id", "vector", dealt("id", F.col("link_packs")).cast("int").alias("a"), copies(F.col("target_packs")).alias("b"))
+    two = found.join(sizes, F.col("target_block") == F.col("block"))
+    two = two.select("target_block", "candidate", "vector", copies(F.col("link_packs")).alias("c"), dealt("candidate", F.col("target_packs")).cast("int").alias("d"))
+    kinds = f"id {wanted.schema['id'].dataType.simpleString()}, candidate string, similarity double"
+    best = one.groupBy("link_block", "a", "b").cogroup(two.groupBy("target_block", "c", "d")).applyInArrow(_best_of_packs(k), kinds)
+    order = W.partitionBy("id").orderBy(F.desc("similarity"), "candidate")  # nulls, of packs without a target, come last
+    best = best.withColumn("place", F.row_number().over(order)).where((F.col("place") <= k) & (F.col("candidate").isNotNull() | (F.col("place") == 1)))
+    best = best.select(F.col("id").alias(link_id), "candidate", "similarity", "place")
     kept = links.where("resolved is not null").select(link_id, F.col("resolved").alias("candidate"), F.lit(1.0).alias("similarity"), F.lit(1).alias("place"))
     return best.unionByName(kept)
 
 
+def _best_of_packs(k: int):
+    """The k best targets of a pack for each link of a pack, with sums in the order of ``text.cosine``."""
+
+    def matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
+        """Vectors of ``size`` numbers as rows; others, which have no cosine, are zeros."""
+        out = np.zeros((len(column), size))
+        for i, vector in enumerate(column):
+            if vector.is_valid and len(vector.values) == size and not vector.values.null_count:
+                out[i] = vector.values.to_numpy()
+        return out
+
+    def squares(rows: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(rows))
+        for d in range(rows.shape[1]):
+            total += rows[:, d] * rows[:, d]
+        return np.sqrt(total)
+
+    def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        dots = np.zeros((len(a), len(b)))
+        for d in range(a.shape[1]):
+            dots += np.multiply.outer(a[:, d], b[:, d])
+        size = np.multiply.outer(squares(a), squares(b))
+        return np.where(size == 0, 0.0, dots / np.where(size == 0, 1.0, size))
+
+    def best(links: pa.Table, targets: pa.Table) -> pa.Table:
+        ids, names, values = [], [], []
+        lengths = pc.list_value_length(links["vector"])
+        targets = targets.sort_by("candidate")  # so that the first of equals is the first in order
+        for size in set(lengths.to_pylist()):
+            some = links.filter(pc.is_null(lengths) if size is None else pc.equal(lengths, size))
+            there = matrix(targets["vector"], size or 0)
+            for start in range(0, some.num_rows, 128):
+                part = some.slice(start, 128)
+                score = scores(matrix(part["vector"], size or 0), there)
+                top = np.argsort(-np.where(np.isnan(score), np.inf, score), axis=1, kind="stable")[:, :k] if k > 1 else score.argmax(axis=1, keepdims=True) if there.shape[0] else np.zeros((part.num_rows, 0), int)
+                if not top.shape[1]:
+                    ids, names, values = [*ids, part["id"]], [*names, pa.nulls(part.num_rows, pa.string())], [*values, np.full(part.num_rows, np.nan)]
+                    continue
+                ids.append(part["id"].take(pa.array(np.repeat(np.arange(part.num_rows), top.shape[1]))))
+                names.append(targets["candidate"].take(pa.array(top.ravel())))
+                values.append(np.take_along_axis(score, top, axis=1).ravel())
+        empty = [pa.chunked_array([], t) for t in (links.schema.field("id").type, pa.string())]
+        flat = lambda parts, none: pa.concat_arrays([c for p in parts for c in (p.chunks if isinstance(p, pa.ChunkedArray) else [p])]) if parts else none
+        found = flat(names, empty[1])
+        score = pa.array(np.concatenate(values) if values else np.zeros(0))
+        return pa.table({"id": flat(ids, empty[0]), "candidate": found, "similarity": pc.if_else(pc.is_valid(found), score, None)})
+
+    return best
+
+
 def ingest_coverage(files: DataFrame, warnings: DataFrame) -> DataFrame:
     """(kind, n): files, bytes, and warnings by kind."""
     totals = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))

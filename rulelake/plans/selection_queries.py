@@ -36,9 +36,8 @@ def title_search(spark, sf_dir):
 
 
 def unresolved_suggestions(spark, sf_dir):
-    """Vectors that begin above zero are links, the others targets; a block is a label and the signs of four dimensions."""
-    signs = F.transform(F.slice("embedding", 3, 4), lambda v: F.when(v > 0, "+").otherwise("-"))
-    vectors = table(spark, sf_dir, "embeddings").withColumn("block", F.concat("label", F.array_join(signs, "")))
+    """Vectors that begin above zero are links, the others targets; a label is a vault, all of whose targets are ranked."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn("block", F.col("label"))
     above = lambda k: F.element_at("embedding", k) > 0
     links = vectors.where(above(1)).select("vec_id", "block", "embedding", F.when(above(2), F.concat(F.lit("kept"), "vec_id")).alias("resolved"))
     targets = vectors.where(~above(1)).select("block", F.concat(F.lit("d"), "vec_id").alias("path"), "embedding")
