@@ -37,7 +37,7 @@ def chunk_paragraphs(spark, sf_dir):
 def chunk_markdown_headings(spark, sf_dir):
     """Sections of documents whose lines become headings by their position."""
     lines = T.lines(F.col("text"))
-    marked = F.transform(lines, lambda line, k: F.when(k % 7 == 0, F.concat(F.lit("# "), F.substring(line, 1, 12))).when(k % 3 == 0, F.concat(F.lit("## "), F.substring(line, 1, 12))).otherwise(line))
+    marked = F.transform(lines, lambda line, k: F.when(k % 7 == 0, F.concat(F.lit("# "), line)).when(k % 3 == 0, F.concat(F.lit("## "), line)).otherwise(line))
     docs = _docs(spark, sf_dir).select("doc_id", F.array_join(marked, "\n").alias("text"))
     out = D.heading_sections(docs, "doc_id", F.col("text"))
     return out.select("doc_id", "start_line", "end_line", F.size("heading_path").alias("depth"), F.sha2("chunk", 256).alias("chunk_sha256"))

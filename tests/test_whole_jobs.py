@@ -51,3 +51,9 @@ def test_suggestions_by_packs_keep_ties_and_links_without_a_target(spark):
             want += [(key, p, -s, n + 1) for n, (s, p) in enumerate(ranked)] or [(key, None, None, 1)] if resolved is None else []
         for pack in (5, 2048):
             assert sorted(map(tuple, S.suggestions(one, two, "id", k, pack).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_heading_sections_cover_whole_lines(spark):
+    """The SQL without its cut of headings to 12 characters."""
+    sql = changed(catalog.ORACLE_SQL["chunk_markdown_headings"], ("substr(a[i], 1, 12)", "a[i]"))
+    assert agrees(catalog.QUERIES["chunk_markdown_headings"](spark, SF), sql)
