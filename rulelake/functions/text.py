@@ -45,7 +45,7 @@ def collapse_space(text: Column) -> Column:
 
 def simple_tokens(text: Column) -> Column:
     """Runs of letters, digits and underscores, and every other sign by itself."""
-    return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+|[^\s\p{L}\p{N}_])"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(r"([\p{IsAlphabetic}\p{N}_]+|[^\p{IsWhite_Space}\p{IsAlphabetic}\p{N}_])"), F.lit(1))
 
 
 def sha(*parts: Column) -> Column:

@@ -49,8 +49,7 @@ def chunk_repr_hashes(spark, sf_dir):
 
 
 def chunk_token_hashes(spark, sf_dir):
-    ascii_only = F.regexp_replace("text", r"[^\x09\x0A\x20-\x7E]", "")
-    out = D.chunk_digests(_docs(spark, sf_dir).select("doc_id", ascii_only.alias("chunk")))
+    out = D.chunk_digests(_docs(spark, sf_dir).select("doc_id", F.col("text").alias("chunk")))
     return out.select("doc_id", "token_sha256")
 
 
@@ -128,11 +127,17 @@ def _terms(spark, sf_dir):
     return one.unionByName(two).distinct()
 
 
+def _plain(text):
+    """Text with all but ASCII blanked: to mentions no other letter is part of a word."""
+    return F.regexp_replace(text, r"[^\x00-\x7F]", " ")
+
+
 def _mentions(spark, sf_dir):
-    # the same plain text on both engines: letters of ASCII only
-    docs = _docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"[^A-Za-z0-9_ \n]", " ").alias("text"))
-    terms = _terms(spark, sf_dir).where(F.col("term").rlike("^[a-z0-9_ ]+$"))
-    return D.term_mentions(docs, "doc_id", F.col("text"), terms, 2)
+    docs = _docs(spark, sf_dir).select("doc_id", _plain(F.col("text")).alias("text"))
+    # a term is made plain as texts are, which may divide one of its words into several
+    terms = _terms(spark, sf_dir).select("target", T.mention_text(_plain(F.col("term"))).alias("term")).where("term != ''").distinct()
+    longest = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
+    return D.term_mentions(docs, "doc_id", F.col("text"), terms, longest)
 
 
 def term_mentions(spark, sf_dir):

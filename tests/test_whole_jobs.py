@@ -1,10 +1,12 @@
 """Queries over whole tables, where the registered SQL takes a part of them: against SQL and brute force of the whole."""
 
+import hashlib
+
 import numpy as np
 from oracle import connect, rows_of
 
 from rulelake.operators import selection as S
-from rulelake.plans import catalog
+from rulelake.plans import catalog, document_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +59,30 @@ def test_heading_sections_cover_whole_lines(spark):
     """The SQL without its cut of headings to 12 characters."""
     sql = changed(catalog.ORACLE_SQL["chunk_markdown_headings"], ("substr(a[i], 1, 12)", "a[i]"))
     assert agrees(catalog.QUERIES["chunk_markdown_headings"](spark, SF), sql)
+
+
+#: Terms are made ASCII as texts are, and may so be of more than two words.
+ALL_TERMS = (
+    ("SELECT DISTINCT * FROM (", "SELECT DISTINCT target, trim(regexp_replace(term, '[^a-z0-9_]+', ' ', 'g')) AS term FROM ("),
+    ("WHERE regexp_full_match(term, '[a-z0-9_ ]+')", "WHERE regexp_matches(term, '[a-z0-9_]')"),
+    ("w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM words)", "array_to_string(w[i:i + n - 1], ' ') FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, (SELECT unnest(range(2, 7)) AS n))"),
+)
+
+
+def test_mentions_search_all_terms(spark):
+    for name in ("term_mentions", "backlinks"):
+        assert agrees(catalog.QUERIES[name](spark, SF), changed(catalog.ORACLE_SQL[name], *ALL_TERMS))
+
+
+def test_terms_with_other_letters_and_texts_with_code(spark, tmp_path):
+    spark.createDataFrame([(1, "Ciónñ x ci n. `ci n` [[ci n]]\n```\nci n\n```\nstteä"), (2, "stte")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "ciónñ"), (8, "stteä"), (9, "éç")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {tuple(r) for r in document_queries.term_mentions(spark, str(tmp_path)).select("doc_id", "target", "term", "mentions").collect()}
+    assert got == {(1, 7, "ci n", 2), (1, 8, "stte", 1), (2, 8, "stte", 1)}
+
+
+def test_token_hashes_cover_all_letters(spark, tmp_path):
+    rows = {1: ("caf\u00e9\u00a0x_1\u2014\u4e2d\u6587", ["caf\u00e9", "x_1", "\u2014", "\u4e2d\u6587"]), 2: ("caf", ["caf"]), 3: ("\u0915\u093f \u00b2\u3000!", ["\u0915\u093f", "\u00b2", "!"]), 4: ("\U0001f389a", ["\U0001f389", "a"])}
+    spark.createDataFrame([(k, t) for k, (t, _) in rows.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.token_sha256 for r in document_queries.chunk_token_hashes(spark, str(tmp_path)).collect()}
+    assert got == {k: hashlib.sha256("\n".join(words).encode()).hexdigest() for k, (_, words) in rows.items()}
