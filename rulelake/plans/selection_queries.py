@@ -16,8 +16,8 @@ def select_doc_files(spark, sf_dir):
 
 
 def select_unresolved_links(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("from_path"), F.col("event_id").alias("line"), F.when(F.col("event_id") % 9 != 0, F.col("event_type")).alias("target"), F.when(F.col("value") > 50, "missing").otherwise("ambiguous").alias("kind"), (F.col("event_id") % 3).cast("string").alias("run_id"))
-    return S.select_unresolved(rows, ["u1", "u22"], ["missing"], run="1", limit=500).select("from_path", "line", "target")
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("from_path"), F.col("event_id").alias("line"), F.when(F.col("event_id") % 9 != 0, F.col("event_type")).alias("target"), F.when(F.col("value") > 50, "missing").otherwise("ambiguous").alias("kind"))
+    return S.select_unresolved(rows, ["u1", "u22"], ["missing"]).select("from_path", "line", "target")
 
 
 def effective_vault_prefixes(spark, sf_dir):
@@ -29,8 +29,7 @@ def effective_vault_prefixes(spark, sf_dir):
 def title_search(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     query = vectors.where("vec_id = 1").select(F.col("embedding").alias("q"))
-    model = F.when(F.col("vec_id") % 2 == 0, "m1").otherwise("m2")
-    titles = vectors.select(F.concat(F.lit("t"), "label", F.lit("/"), "vec_id").alias("path"), model.alias("model"), F.size("embedding").alias("dim"), "embedding").crossJoin(F.broadcast(query))
+    titles = vectors.select(F.concat(F.lit("t"), "label", F.lit("/"), "vec_id").alias("path"), F.lit("m1").alias("model"), F.size("embedding").alias("dim"), "embedding").crossJoin(F.broadcast(query))
     dim = titles.select("dim").first()[0]
     return S.search_titles(titles, F.col("q"), prefix="t", model="m1", dim=dim, k=15).select("path", F.round("similarity", 6).alias("similarity"))
 

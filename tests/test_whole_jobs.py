@@ -86,3 +86,9 @@ def test_token_hashes_cover_all_letters(spark, tmp_path):
     spark.createDataFrame([(k, t) for k, (t, _) in rows.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.token_sha256 for r in document_queries.chunk_token_hashes(spark, str(tmp_path)).collect()}
     assert got == {k: hashlib.sha256("\n".join(words).encode()).hexdigest() for k, (_, words) in rows.items()}
+
+
+def test_selections_are_of_all_rows(spark):
+    """The SQL without remainders of ids and without a limit."""
+    for name, cut in (("select_unresolved_links", " AND event_id % 3 = 1 ORDER BY 1, 2, 3 LIMIT 500"), ("title_search", " WHERE vec_id % 2 = 0")):
+        assert agrees(catalog.QUERIES[name](spark, SF), changed(catalog.ORACLE_SQL[name], (cut, "")))
