@@ -5,7 +5,8 @@ run of non-spaces starts a piece (together with one space before it), such a run
 and the first ASCII digit or sign in it, and white space apart from that is pieces of its own. So the ids of the pieces
 side by side are those of the whole text. Pieces are found with numpy in the UTF-8 bytes of a block of texts, known by
 two independent 64-bit hashes of their bytes, and looked up in an open-addressing table of bounded size; only pieces
-not met before reach the library. A text with a space beyond ASCII is given to the library as a whole.
+not met before reach the library. A text with a space beyond ASCII, or with the string of an added token (which the
+library cuts out before all else), is given to the library as a whole.
 """
 
 from __future__ import annotations
@@ -95,7 +96,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
+        self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content)
+        self.added_bytes = re.compile(b"|".join(re.escape(t.encode()) for t in self.added)) if self.added else None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.capacity, self.slots = capacity, 1 << (2 * capacity - 1).bit_length()
         self._forget()
@@ -134,11 +136,15 @@ class PieceEncoder:
         cut = total[np.searchsorted(starts, offsets)]
         made = [ids[cut[k] : cut[k + 1]] for k in range(texts)]
         # Texts that the table can't answer for go to the library as a whole.
-        odd = np.concatenate([starts[~known], far_spaces(data)])
+        odd = np.concatenate([starts[~known], far_spaces(data), self._added_tokens(data)])
         for k in np.unique(np.searchsorted(offsets, odd, "right") - 1).tolist():
             made[k] = self.whole_text(data[offsets[k] : offsets[k + 1]].tobytes().decode())
         return made
 
+    def _added_tokens(self, data: np.ndarray) -> np.ndarray:
+        """Where strings of added tokens begin; one that runs on into the next text does no harm."""
+        return np.array([m.start() for m in self.added_bytes.finditer(data)] if self.added_bytes else [], np.int64)
+
     def _pieces(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of pieces side by side, the number of each piece's ids, and whether the table knows it."""
         ends = np.append(starts[1:], len(data))
@@ -187,7 +193,10 @@ class PieceEncoder:
         words = [k for k, piece in enumerate(pieces) if _WORD.match(piece)]
         for j in range(0, len(words), JOINED_WORDS):
             some = words[j : j + JOINED_WORDS]
-            made = self.tokenizer.encode("".join([pieces[k] for k in some]), add_special_tokens=False)
+            joined = "".join([pieces[k] for k in some])
+            if any(t in joined for t in self.added):
+                continue
+            made = self.tokenizer.encode(joined, add_special_tokens=False)
             cuts = np.flatnonzero(np.diff(np.array(made.word_ids))) + 1
             if len(cuts) + 1 == len(some):
                 order += some

@@ -1,10 +1,23 @@
 """Whole jobs of the training-data operators."""
 
+import pyarrow as pa
+
 from rulelake.llm import telephony
+from rulelake.llm import token_records as tr
 
 SF = "/root/testdata/sf0.001"
 
 
+def test_ids_are_those_of_the_unmodified_tokenizer():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tr.default_tokenizer())
+    texts = ["a <|endoftext|> b", "a b", "<|endoftext|>", "x<|endoftext|>y z", "<|endof", "text|>", "", "<|endoftext |>"]
+    got = tr.PieceEncoder(tr.default_tokenizer()).encode(pa.array(texts))
+    assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0].tolist() == [64, 220, 50256, 275]
+
+
 def test_query_stores_resampled_sound(spark, monkeypatch):
     frames = []
     monkeypatch.setattr(telephony, "staged", lambda df, name, staged=telephony.staged: frames.append(staged(df, name)) or frames[-1])
