@@ -47,7 +47,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents, read back from compacted shards under a committed manifest."""
     store = compaction.ShardStore(spark, staging_path(spark, "corpus"))
-    store.append(docs)
+    for arrival in compaction.arrivals(spark, docs):
+        store.append(arrival)
     store.compact()
     store.vacuum()
     return store.read()

@@ -217,17 +217,19 @@ def _kinds(schema: str) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in StructType.fromJson(json.loads(schema)).fields]
 
 
-def arrivals(spark: SparkSession, df: DataFrame, count: int) -> list[DataFrame]:
-    """A table read from files as up to ``count`` frames of whole files, so that each file is read once."""
-    files = sorted(df.inputFiles())
-    if len(files) < 2:
-        return [df]
-    return [spark.read.schema(df.schema).parquet(*files[k::count]) for k in range(min(count, len(files)))]
+def arrivals(spark: SparkSession, df: DataFrame, count: int = 2 * FAN_IN) -> list[DataFrame]:
+    """A table as ``count`` frames, so that some tier fills even where they fall into two: whole files where it is read
+    from so many, so that each file is read once, else its rows by their digest."""
+    scan = df._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LogicalRelation"
+    files = sorted(df.inputFiles()) if scan else []
+    if len(files) >= count:
+        return [spark.read.schema(df.schema).parquet(*files[k::count]) for k in range(count)]
+    return [df.where(F.pmod(F.xxhash64(*[f"`{c.replace('`', '``')}`" for c in df.columns]), F.lit(count)) == k) for k in range(count)]
 
 
 def op3_size_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = ShardStore(spark, staging_path(spark, "shards"))
-    for arrival in arrivals(spark, table(spark, sf_dir, "documents"), 8):
+    for arrival in arrivals(spark, table(spark, sf_dir, "documents")):
         store.append(arrival)
     store.compact()
     store.vacuum()

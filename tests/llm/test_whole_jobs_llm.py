@@ -1,8 +1,10 @@
 """Whole jobs of the training-data operators."""
 
+import corpus_pipeline as cp
 import pyarrow as pa
+from oracle import rows_of
 
-from rulelake.llm import telephony
+from rulelake.llm import compaction, telephony
 from rulelake.llm import token_records as tr
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +28,14 @@ def test_query_stores_resampled_sound(spark, monkeypatch):
     for row in frames[-1].select("pcm", "feature").limit(5).collect():
         codec, rate, _, data = telephony.parse_wav(bytes(row.pcm))
         assert codec == telephony.PCM and rate == telephony.TARGET_RATE and f"n={len(data) // 2};" in row.feature
+
+
+def test_tiers_are_merged(spark, monkeypatch):
+    docs, taken = spark.read.parquet(f"{SF}/documents.parquet"), []
+    monkeypatch.setattr(compaction.ShardStore, "pending", lambda self, m, pending=compaction.ShardStore.pending: taken.append(pending(self, m)) or taken[-1])
+    for run in (lambda: compaction.op3_size_tiered(spark, SF), lambda: cp.shard(spark, docs, SF), lambda: cp.shard(spark, docs.where("doc_id % 2 = 0").repartition(9), SF)):
+        taken.clear()
+        out = run()
+        assert any(len(runs) >= compaction.FAN_IN for runs in taken)
+        assert out.count() in (docs.count(), docs.where("doc_id % 2 = 0").count())
+    assert rows_of(docs.columns, cp.shard(spark, docs, SF).collect()) == rows_of(docs.columns, docs.collect())
