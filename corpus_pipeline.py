@@ -25,13 +25,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id; rows without an id stay, and rows that
-    repeat an id stay or go together. Ids to drop are broadcast where there are few enough of them."""
-    groups = minhash.near_duplicates(docs.select("doc_id", "text"))
-    dropped = staged(groups.where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
+    """Of each component of near duplicates the document with the smallest id; rows without an id stay. Rows that repeat an
+    id go by their own texts, and of those that repeat id and text one stays. What goes is broadcast where it is little."""
+    groups = minhash.near_duplicates(docs.select("doc_id", "text"), with_digest=True)
+    dropped = staged(groups.where("not kept").select(F.col("doc_id").alias("dropped_id"), F.col("text_sha256").alias("dropped_text")).distinct(), "dropped")
     few = dropped.count() <= minhash.BROADCAST_NODES
     dropped = F.broadcast(dropped) if few else dropped
-    return docs.join(dropped, docs.doc_id == dropped["dropped_id"], "left_anti").select(docs.columns)
+    clean = docs.join(dropped, (docs.doc_id == dropped["dropped_id"]) & (F.sha2(docs.text, 256) == dropped["dropped_text"]), "left_anti").select(docs.columns)
+    repeated = staged(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("repeated_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("repeated_id"), "repeated")
+    if not repeated.limit(1).count():
+        return clean
+    again = F.broadcast(repeated) if repeated.count() <= minhash.BROADCAST_NODES else repeated
+    of_repeated = clean.doc_id == again["repeated_id"]
+    return clean.join(again, of_repeated, "left_anti").unionByName(clean.join(again, of_repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,7 +86,8 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """(id, key, n, bands): digest of the shingle set (null without shingles), its size, and its bucket keys."""
+    """(id, key, n, bands, text_sha256): digest of the shingle set (null without shingles), its size, its bucket keys, and
+    the digest of the text."""
 
     def run(batches):
         for batch in batches:
@@ -95,10 +96,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int,
                 counts.append(len(shingles))
                 keys.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
                 buckets.append(band_keys(signature(shingles, bands * rows), bands) if len(shingles) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], ["id", "key", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(buckets, pa.list_(pa.int64())), batch.column(2)], ["id", "key", "n", "bands", "text_sha256"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "id long, key binary, n long, bands array<long>")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.sha2(F.col(text_col), 256).alias("text_sha256"))
+    return source.mapInArrow(run, "id long, key binary, n long, bands array<long>, text_sha256 string")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -214,9 +215,9 @@ def _most_differing(percent: int) -> int:
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, with_digest: bool = False
 ) -> DataFrame:
-    """Per document: id, n_shingles, component_id (smallest id reachable over links), kept."""
+    """Per document: id, n_shingles, component_id (smallest id reachable over links), kept; with the digest of its text where asked."""
     bounded_batches(docs.sparkSession)
     sketched = staged(sketches(docs, id_col, text_col, size, bands, rows), "sketches")
     classes = sketched.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -251,9 +252,9 @@ def near_duplicates(
         components = components.join(joined, components.component == joined.root, "left").select("node", F.coalesce("above", "component").alias("component")).union(alone)
 
     node_of = classes.select("key", "node").join(components, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    result = sketched.select("id", "key", "n").join(node_of, "key", "left")
+    result = sketched.select("id", "key", "n", *(["text_sha256"] if with_digest else [])).join(node_of, "key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    result = result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    result = result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), *(["text_sha256"] if with_digest else []))
     return result.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 

@@ -39,3 +39,11 @@ def test_tiers_are_merged(spark, monkeypatch):
         assert any(len(runs) >= compaction.FAN_IN for runs in taken)
         assert out.count() in (docs.count(), docs.where("doc_id % 2 = 0").count())
     assert rows_of(docs.columns, cp.shard(spark, docs, SF).collect()) == rows_of(docs.columns, docs.collect())
+
+
+def test_rows_that_repeat_an_id_go_by_their_texts(spark):
+    one, two, three = (" ".join(f"{w}{k}" for k in range(40)) for w in "abc")
+    rows = [(1, one), (5, one), (5, two), (5, two), (7, three), (7, three), (None, one), (None, one), (9, None), (9, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, cp.drop_near_duplicates(spark, docs, SF).collect()), key=repr)
+    assert got == sorted([(1, one), (5, two), (7, three), (None, one), (None, one), (9, None), (8, "")], key=repr)
