@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,16 +14,18 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Used only where the session names no shared folder (single-machine tests).
+#: Used only where the session names no shared folder and runs on one machine (tests).
 LOCAL_STAGING = "/tmp/checkpoints/rulelake"
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder of the session (spark.checkpoint.dir); a local one only where that is unset."""
+    """The shared folder of the session (spark.checkpoint.dir); a local one only where that is unset on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext._jsc.sc()
         known = context.getCheckpointDir()
+        if not known.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = known.get() if known.isDefined() else LOCAL_STAGING
         if not known.isDefined():
             spark.sparkContext.setCheckpointDir(root)
@@ -34,7 +37,11 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/rulelake/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Writer's settings for tables of media: more work for zstd, over pages that hold many rows.
+DENSE = {"parquet.compression.codec.zstd.level": "12", "parquet.page.size": str(8 << 20), "parquet.page.row.count.limit": "1000000"}
+
+
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks it ran, never a recomputation of what came before, and
@@ -42,7 +49,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = staging_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,12 +59,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Hand at most ``rows`` rows at once to Python. Spark's default of 10,000 whole texts takes hundreds of MB per task,
-    in the worker and in the executor's buffers; a smaller setting of the session's own stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+BATCH_ROWS, BATCH_TEXT_BYTES = 1024, 16 << 20
+_ROWS_KEY, _BYTES_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def lower_batches(spark: SparkSession) -> dict[str, str]:
+    """Hand at most BATCH_ROWS rows and about BATCH_TEXT_BYTES bytes at once to Python; smaller settings of the session's
+    own stay. Spark's defaults (10,000 rows, 64 MB) take hundreds of MB per task with whole texts, in the worker and in
+    the executor's buffers. Returns what the settings were. They last: a lazy frame is planned when it is run, so only
+    operators that return one call this alone."""
+    was = {}
+    for key, most in ((_ROWS_KEY, BATCH_ROWS), (_BYTES_KEY, BATCH_TEXT_BYTES)):
+        was[key] = spark.conf.get(key)
+        value = re.fullmatch(r"(-?\d+)[bB]?", was[key])
+        if not value or not 0 < int(value[1]) <= most:
+            spark.conf.set(key, str(most))
+    return was
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """``lower_batches`` around work that is done inside; the session's settings come back after it."""
+    was = lower_batches(spark)
+    try:
+        yield
+    finally:
+        for key, value in was.items():
+            spark.conf.set(key, value)
 
 
 def word_count(text: Column) -> Column:

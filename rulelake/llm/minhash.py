@@ -218,7 +218,11 @@ def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, with_digest: bool = False
 ) -> DataFrame:
     """Per document: id, n_shingles, component_id (smallest id reachable over links), kept; with the digest of its text where asked."""
-    bounded_batches(docs.sparkSession)
+    with bounded_batches(docs.sparkSession):  # all that runs in Python is staged
+        return _near_duplicates(docs, id_col, text_col, size, bands, rows, percent, with_digest)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int, percent: int, with_digest: bool) -> DataFrame:
     sketched = staged(sketches(docs, id_col, text_col, size, bands, rows), "sketches")
     classes = sketched.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = staged(classes, "classes")
