@@ -18,18 +18,21 @@ the documents are no input. Texts of any length are matched whole, in one pass.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from array import array
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import bounded_batches
+from .common import bounded_batches, lower_batches, staged
 from .labelled import fold, logistic, sigmoid, training_sample
 
 THRESHOLD = 0.5
@@ -43,7 +46,6 @@ _SUBSTITUTES = str.maketrans("013457@$", "oieastas")
 # Letters of other scripts that look like Latin ones.
 _LOOKALIKES = str.maketrans("абеорсухікѕјԁԛԝһνοαερτυχιкмтнвгіӏ", "abeopcyxiksjdqwhvoaeptuxikmthbril")
 _BETWEEN = re.compile(r"[\W_]+")
-_PLAIN = re.compile(r"[^\W_]+")
 
 
 def fold_text(text: str) -> str:
@@ -74,26 +76,41 @@ class ToxicityModel:
         return machine
 
     def evidence(self, folded: str, machine) -> float:
-        """Sum over the distinct words that carry a term outside exceptions of their heaviest term's weight."""
-        carried: dict[int, float] = {}
-        free: list[tuple[int, int]] = []
+        """Sum over the distinct words that carry a term outside exceptions of their heaviest term's weight.
+
+        Hits are kept as arrays of places, and exceptions as the furthest end reached so far, so that a text takes time
+        and memory in proportion to its length.
+        """
+        at, weights, opens, shuts = array("q"), array("d"), array("q"), array("q")
         for end, (size, weight) in machine.iter(folded):
             start = end - size + 1
             if weight is None:
-                free.append((start, end))
+                opens.append(start)
+                shuts.append(end)
             # a beginning is no whole word: more of the word must follow
-            elif (folded[end] == " " or folded[end + 1] != " ") and weight > carried.get(start, 0.0):
-                carried[start] = weight
-        if free and carried:
-            carried = {k: v for k, v in carried.items() if not any(a <= k < b for a, b in free)}
+            elif folded[end] == " " or folded[end + 1] != " ":
+                at.append(start)
+                weights.append(weight)
+        if not at:
+            return 0.0
+        starts, heavy = np.frombuffer(at, np.int64), np.frombuffer(weights, np.float64)
+        if opens:
+            order = np.argsort(np.frombuffer(opens, np.int64), kind="stable")
+            begins, reach = np.frombuffer(opens, np.int64)[order], np.maximum.accumulate(np.frombuffer(shuts, np.int64)[order])
+            before = np.searchsorted(begins, starts, "right") - 1
+            free = (before < 0) | (reach[np.maximum(before, 0)] <= starts)
+            starts, heavy = starts[free], heavy[free]
         best: dict[str, float] = {}
-        for start, weight in carried.items():
+        for start, weight in zip(starts.tolist(), heavy.tolist(), strict=True):
             word = folded[start + 1 : folded.index(" ", start + 1)]
-            best[word] = max(weight, best.get(word, 0.0))
-        return sum(best.values())
+            if weight > best.get(word, 0.0):
+                best[word] = weight
+        return math.fsum(best.values())
 
     def features(self, text: str, machine) -> tuple[float, float]:
-        folded = fold_text(text)
+        return self.folded_features(fold_text(text), machine)
+
+    def folded_features(self, folded: str, machine) -> tuple[float, float]:
         found = self.evidence(folded, machine) if machine is not None and len(machine) else 0.0
         words = max(1, folded.count(" ") - 1)
         return float(np.log1p(found)), float(np.log1p(100 * found / words))
@@ -103,12 +120,18 @@ class ToxicityModel:
         return float(sigmoid(self.curve[0] * a + self.curve[1] * b + self.curve[2]))
 
 
-def _terms_of(text: str) -> set[str]:
-    out = set()
-    for word in set(_PLAIN.findall(fold_text(text))):
-        out.add(word + " ")
-        out.update(word[:k] for k in BEGINNINGS if len(word) > k)
-    return out
+def _words_of(text: str) -> list[str]:
+    return fold_text(text).split()
+
+
+@lru_cache(maxsize=1 << 17)
+def _terms_of(word: str) -> tuple[str, ...]:
+    """A word itself and its beginnings, as terms."""
+    return (word + " ", *(word[:k] for k in BEGINNINGS if len(word) > k))
+
+
+def _terms(words: Iterable[str]) -> set[str]:
+    return {term for word in set(words) for term in _terms_of(word)}
 
 
 def _weight(toxic: int, all_toxic: int, clean: int, all_clean: int) -> float:
@@ -119,16 +142,16 @@ def _weight(toxic: int, all_toxic: int, clean: int, all_clean: int) -> float:
 
 def learn(sample: list[tuple[str, int]], support: float = SUPPORT, least_weight: float = LEAST_WEIGHT) -> ToxicityModel:
     """A model from (text, label) rows; the built-in one where a class is missing."""
-    sides = {1: [t for t, y in sample if y == 1], 0: [t for t, y in sample if y == 0]}
+    sides = {1: [_words_of(t) for t, y in sample if y == 1], 0: [_words_of(t) for t, y in sample if y == 0]}
     if not sides[0] or not sides[1]:
         return ToxicityModel()
     toxic, clean = Counter(), Counter()
-    for text in sides[1]:
-        toxic.update(_terms_of(text))
+    for words in sides[1]:
+        toxic.update(_terms(words))
     enough = max(3, support * len(sides[1]))
     toxic = Counter({term: n for term, n in toxic.items() if n >= enough})
-    for text in sides[0]:
-        clean.update(_terms_of(text) & toxic.keys())
+    for words in sides[0]:
+        clean.update(_terms(words) & toxic.keys())
     weighed = {term: _weight(n, len(sides[1]), clean[term], len(sides[0])) for term, n in toxic.items()}
     chosen: dict[str, float] = {}
     for term in sorted(weighed, key=lambda t: (len(t), t)):
@@ -142,20 +165,24 @@ def learn(sample: list[tuple[str, int]], support: float = SUPPORT, least_weight:
     model = ToxicityModel(chosen, BASE_EXCEPTIONS)
     model.exceptions = (*BASE_EXCEPTIONS, *_learn_exceptions(model, sides))
     machine = model.automaton()
-    x = np.array([model.features(t, machine) for y in (1, 0) for t in sides[y]])
+    x = np.array([model.folded_features(f" {' '.join(words)} ", machine) for y in (1, 0) for words in sides[y]])
     y = np.array([1.0] * len(sides[1]) + [0.0] * len(sides[0]))
     model.curve = tuple(float(v) for v in logistic(x, y, ridge=1.0, intercept=True))
     return model
 
 
-def _learn_exceptions(model: ToxicityModel, sides: dict[int, list[str]]) -> list[str]:
+def _learn_exceptions(model: ToxicityModel, sides: dict[int, list[list[str]]]) -> list[str]:
     """Two-word phrases around a term that clean documents use and toxic ones do not."""
-    counts = {}
+    counts, carries = {}, {}
     for y, texts in sides.items():
         counts[y] = Counter()
-        for text in texts:
-            words = fold_text(text).split()
-            hit = [k for k, w in enumerate(words) if f"{w} " in model.terms or any(w[:j] in model.terms for j in BEGINNINGS if len(w) > j)]
+        for words in texts:
+            hit = []
+            for k, word in enumerate(words):
+                if (found := carries.get(word)) is None:
+                    found = carries[word] = any(term in model.terms for term in _terms_of(word))
+                if found:
+                    hit.append(k)
             counts[y].update({" ".join(words[max(0, a) : a + 2]) for k in hit for a in (k - 1, k)})
     least = max(3, 0.002 * len(sides[0]))
     return sorted(p for p, n in counts[0].items() if n >= least and " " in p and counts[1][p] * 20 < n)
@@ -167,10 +194,11 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic") ->
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
-    """The documents with a score; the input's columns are kept as they are, but for one of the score's name."""
+    """The documents with a score; the input's columns are kept as they are, but for one of the score's name. The frame is
+    lazy, so the session's Arrow batches stay lowered."""
     from pyspark.sql.functions import pandas_udf
 
-    bounded_batches(docs.sparkSession)
+    lower_batches(docs.sparkSession)
     held = {}
 
     @pandas_udf("double")
@@ -184,6 +212,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
 
 def op7_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    scored = score_toxicity(docs.select("doc_id", "text"), model, score_col="score")
+    with bounded_batches(spark):
+        model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+        scored = staged(score_toxicity(docs.select("doc_id", "text"), model, score_col="score").drop("text"), "toxicity")
     return scored.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

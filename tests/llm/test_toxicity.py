@@ -1,3 +1,6 @@
+import math
+import random
+import time
 import zlib
 
 import pytest
@@ -57,3 +60,59 @@ def test_held_out_accuracy(spark):
     out = tx.op7_lexicon_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
     got = {(r.toxic, r.predicted): r["count"] for r in out.groupBy("toxic", "predicted").count().collect()}
     assert got[1, 1] >= 0.9 * (got[1, 1] + got.get((1, 0), 0)) and got.get((0, 1), 0) <= 0.01 * got[0, 0]
+
+
+def naive(model, text):
+    """Evidence of a text by trying every term at every word and every exception at every place."""
+    folded = tx.fold_text(text)
+    words, at, place = folded.split(), [], 0
+    for word in words:
+        place = folded.index(word, place)
+        at.append(place)
+        place += len(word)
+    covered = set()
+    for phrase in {tx.fold_text(p) for p in model.exceptions}:
+        place = folded.find(phrase)
+        while place >= 0:
+            covered.update(range(place + 1, place + len(phrase)))
+            place = folded.find(phrase, place + 1)
+    best = {}
+    for word, start in zip(words, at, strict=True):
+        weights = [w for t, w in model.terms.items() if (t == word + " " if t.endswith(" ") else word.startswith(t) and word != t)]
+        if weights and start not in covered:
+            best[word] = max(max(weights), best.get(word, 0.0))
+    return sum(best.values())
+
+
+def test_evidence_against_a_naive_matcher():
+    rng = random.Random(4)
+    terms = {"idiot ": 3.0, "idio": 1.0, "scum ": 2.5, "trash ": 1.5, "tra": 0.75, "can ": 0.5, "o ": 0.25}
+    model = tx.ToxicityModel(terms, ("trash can", "can trash can", "idiot o", "can", "scum of"))
+    machine = model.automaton()
+    for _ in range(400):
+        text = " ".join(rng.choice(["idiot", "idiots", "1d10t", "trash", "can", "o", "scum", "of", "trance", "x", "tra", "canny"]) for _ in range(rng.randrange(14)))
+        assert model.evidence(tx.fold_text(text), machine) == pytest.approx(naive(model, text))
+
+
+def test_query_against_a_naive_matcher(spark):
+    """Every score of the query is the curve of what the naive matcher finds with the learned model."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = tx.toxicity_model(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    out = tx.op7_lexicon_toxicity(spark, sf).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        found, words = naive(model, texts[r.doc_id]), max(1, len(tx.fold_text(texts[r.doc_id]).split()))
+        z = model.curve[0] * math.log1p(found) + model.curve[1] * math.log1p(100 * found / words) + model.curve[2]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z))) and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_very_long_texts_take_time_in_proportion():
+    model = tx.ToxicityModel()
+    machine = model.automaton()
+    text = "you idiot trash can " * 1_000_000  # 20 MB, a million exceptions
+    began = time.perf_counter()
+    assert model.evidence(tx.fold_text(text), machine) == 3.0
+    assert time.perf_counter() - began < 30
