@@ -60,7 +60,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def word_hashes(data: np.ndarray, offsets: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the offsets of each text's words in them."""
     if len(data) > 2 * BLOCK_BYTES and len(offsets) == 2:
-        parts = [_block_hashes(part, np.array([0, len(part)]), tables)[0] for part in _pieces(data, tables[0])]
+        parts = [_block_hashes(part, np.array([0, len(part)]), tables)[0] for part in long_pieces(data, tables[0])]
         words = np.concatenate(parts)
         return words, np.array([0, len(words)])
     return _block_hashes(data, offsets, tables)
@@ -82,7 +82,7 @@ def _block_hashes(data: np.ndarray, offsets: np.ndarray, tables: tuple[np.ndarra
     return mix64(sums * down[starts]), np.searchsorted(starts, offsets)
 
 
-def _pieces(data: np.ndarray, word: np.ndarray) -> Iterator[np.ndarray]:
+def long_pieces(data: np.ndarray, word: np.ndarray) -> Iterator[np.ndarray]:
     """A very long text cut between words into pieces of about a block (a longer word stays whole)."""
     a = 0
     while a < len(data):
