@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from oracle import difference
 from pyspark.sql import functions as F
 
 from rulelake.llm import chat
@@ -57,6 +58,20 @@ def test_conversations_against_brute_force(spark):
     assert chat.conversation_digests(made.limit(0)).collect() == []
 
 
+def test_equal_turns_go_by_text_and_links_become_parts(spark, tmp_path):
+    """Escapes and closing tags don't count in the order, and the query agrees with its SQL on every kind of part."""
+    texts = ["ok then", "ok", "ok</turn>", "ok<", "ok<turnip", "ok\\", "ok\\a", "", None, 'see https://x.org/a.PNG and http://y.org/b.mp3, <https://z.org/c> "https://z.org/d.pdf"']
+    rows = [(c, 1, role, t) for c in (4, 5) for role in ("user", "assistant") for t in texts[:: 1 if c == 4 else -1]]
+    rows += [(6, 0, "system", "s" * n) for n in (0, 1800, 1801)] + [(6, 1, "user", " ".join(f"https://h.org/{k}" for k in range(12)))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = chat.op10_chat_parts(spark, str(tmp_path))
+    assert difference(out, chat.OP10_SQL, str(tmp_path)) == ""
+    got = {r.conv_id: r for r in out.collect()}
+    assert got[4].turns_sha256 == got[5].turns_sha256 and got[4].n_attachments == 4 and got[4].attachment_tokens == 1 + 1 + 512 + 512
+    assert got[6].n_attachments == 15 and got[6].attachment_tokens == 512 * (1 + 1 + 2 + 12)
+    assert {k: tuple(r)[1:5] for k, r in got.items()} == brute(rows + [(-7, 0, "user", chat.HOSTILE), (-7, 1, "assistant", chat.HOSTILE)])
+
+
 def test_query_over_all_conversations(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
