@@ -1,20 +1,22 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 A source's target is its weighted share of all words, held to ``max_repeat`` times its own size. ``target / size`` is
-the expected number of copies of each of its documents: the whole part is allocated to every document for certain, the
-rest is a fixed-size unequal-probability sample. Each document draws a uniform number ``u`` from a digest of its id and
-gets the rank key ``odds(u) / odds(p)``, where ``p`` is its inclusion probability (``importance`` multiplies the odds of
-``p``). The sample is the head of that order, as long as the words still owed to the source.
+the expected number of copies of its words: the whole part is allocated to every document for certain, the rest is a
+fixed-size unequal-probability sample. A document's inclusion odds are those of that rest times its size over the mean
+size of its source's documents (and times its ``importance``): a long document is the likelier to be taken once more.
+Each document draws a uniform number ``u`` from a digest of its id and gets the rank key ``odds(u) / odds(p)``, where
+``p`` is its inclusion probability. The sample is the head of that order, as long as the words still owed to the source.
 
 The plan reads the text once. The head of each order is found without sorting a source: rank keys are mapped
 monotonically onto ``slices`` slices, words are summed by source and slice with map-side combining, a running sum over
 those bounded rows names the one slice in which the head ends, and only that slice is ranked row by row. What is decided
-is one row per source, which any copy of the documents can be held against.
+is one row per source, which any copy of the documents can be held against. Sources themselves may be as many as rows:
+they are numbered in range partitions, and the level to which they are filled is found by aggregates of one row.
 
 Results for odd input: null or empty text has size 0, target 0 and takes nothing; a null source is a source of its own
 and comes last; rows that repeat an id are documents of their own and share their draw (ties go by size, then by the
-text's digest, and equal rows are interchangeable); an empty table gives an empty result; other columns may
-have any names.
+text's digest, and equal rows are interchangeable); a row without an id draws by its text; an empty table gives an empty
+result; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -36,31 +38,36 @@ SEED = "mix-1"
 BROADCAST_SOURCES = 50_000
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """Rows of (source, source_size) with the source's rank by code point, nulls last. Range partitions are numbered by
+    themselves, each after as many as the ones before it hold, of which there is one row per partition."""
+    order = [F.col("source").isNull(), F.col("source").cast("binary")]
+    placed = checkpointed(sizes.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    before = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    within = placed.withColumn("place", F.row_number().over(W.partitionBy("part").orderBy(*order)))
+    return within.join(F.broadcast(before.select("part", "before")), "part").select("source", "source_size", "docs", (F.col("before") + F.col("place")).alias("rank"))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """Targets of (source, source_size) rows: water-filling of all words by weight under each source's cap.
 
-    One row per source goes through a single sort, which its rank by code point needs in any case. Sources are filled in
-    the order of cap per weight; the level at which the rest of them stay under their caps is exact in one pass.
+    The level rises from an even share of everything: sources whose caps lie below it are full, what they leave is shared
+    by the others, which raises it again, until no more are full. Each round is an aggregate of one row.
     """
-    order = W.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
+    sizes = sizes if "docs" in sizes.columns else sizes.withColumn("docs", F.lit(1).cast("long"))
     pick = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
-    ranked = sizes.withColumn("rank", F.row_number().over(order)).withColumn("weight", pick.cast("long"))
-    ranked = ranked.withColumn("cap", F.col("source_size") * max_repeat)
-    filling = W.orderBy(F.col("cap") / F.col("weight"), "rank").rowsBetween(W.unboundedPreceding, -1)
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    left = ranked.select(
-        "*",
-        (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(filling), F.lit(0))).alias("words_left"),
-        (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(filling), F.lit(0))).alias("weight_left"),
-    )
-    # Sources before the level are full. The first whose share of what is left fits under its cap fixes the level.
-    fits = F.col("words_left") * F.col("weight") <= F.col("cap") * F.col("weight_left")
-    height = F.col("cap") / F.col("weight")
-    level = F.min(F.when(fits, F.struct(height.alias("height"), "rank", "words_left", "weight_left"))).over(everything)
-    left = left.withColumn("level", level)
-    full = F.col("level").isNull() | (height < F.col("level.height")) | ((height == F.col("level.height")) & (F.col("rank") < F.col("level.rank")))
-    share = F.col("level.words_left") * F.col("weight") / F.col("level.weight_left")
-    return left.select("source", "source_size", F.when(full, F.col("cap").cast("double")).otherwise(share).alias("target"))
+    ranked = checkpointed(_ranked(sizes).withColumn("weight", pick.cast("long")).withColumn("cap", F.col("source_size") * max_repeat))
+    total, weight = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    left, heavy, held = int(total), int(weight), -1
+    # Whole numbers on both sides: a source is full where its cap lies below its share at the level.
+    full = lambda: F.col("cap").cast("decimal(38,0)") * F.lit(heavy) < F.lit(left).cast("decimal(19,0)") * F.col("weight")
+    while heavy:
+        below = ranked.where(full()).agg(F.count(F.lit(1)), F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        if below[0] == held or below[2] == weight:
+            break
+        held, left, heavy = below[0], int(total - below[1]), int(weight - below[2])
+    share = F.lit(left) * F.col("weight") / F.lit(max(1, heavy))
+    return ranked.select("source", "source_size", "docs", F.when(full(), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
 def uniform(key: Column, seed: str = SEED) -> Column:
@@ -78,7 +85,7 @@ def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, importa
         "mix_size": word_count(F.col(text_col)),
         "mix_tie": F.xxhash64(F.col(text_col)),
         "mix_importance": weight,
-        "mix_u": uniform(F.col(id_col), seed),
+        "mix_u": uniform(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))), seed),
     }
 
 
@@ -86,7 +93,8 @@ def _keyed(rows: DataFrame, decisions: DataFrame, slices: int) -> DataFrame:
     """Rows with their source's decisions, rank key and slice."""
     few = decisions.count() <= BROADCAST_SOURCES
     joined = rows.join(F.broadcast(decisions) if few else decisions, F.col("mix_source").eqNullSafe(F.col("at_source")), "left")
-    odds = F.col("mix_p") * F.col("mix_importance") / (1 - F.col("mix_p"))
+    relative = (F.col("mix_size") * F.col("mix_docs")).cast("double") / F.col("source_size").cast("double")
+    odds = F.col("mix_p") / (1 - F.col("mix_p")) * F.greatest(relative, F.lit(1e-9)) * F.col("mix_importance")
     joined = joined.withColumn("mix_key", F.when(F.col("mix_p") > 0, F.col("mix_u") / (1 - F.col("mix_u")) / odds))
     return joined.withColumn("mix_slice", F.least(F.floor(F.col("mix_key") / (1 + F.col("mix_key")) * slices), F.lit(slices - 1)))
 
@@ -96,7 +104,8 @@ def decide(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, weig
     head of its order ends (the end slice, and the last place taken in it)."""
     rows = checkpointed(docs.select(*[c.alias(name) for name, c in _drawn(docs, id_col, text_col, source_col, importance, seed).items()]))  # the text is read once
 
-    targets = source_targets(rows.groupBy(F.col("mix_source").alias("source")).agg(F.sum("mix_size").alias("source_size")), weights, max_repeat)
+    by_source = rows.groupBy(F.col("mix_source").alias("source")).agg(F.sum("mix_size").alias("source_size"), F.count_if(F.col("mix_size") > 0).alias("docs"))
+    targets = source_targets(by_source, weights, max_repeat).withColumnRenamed("docs", "mix_docs")
     filled = F.col("source_size") > 0
     targets = targets.withColumn("mix_certain", F.when(filled, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     targets = targets.withColumn("mix_owed", F.col("target") - (F.col("mix_certain") * F.col("source_size")).cast("double"))
@@ -119,7 +128,7 @@ def decide(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, weig
 
     decisions = targets.join(ends.select("end_source", F.col("end_slice").alias("mix_end")), F.col("at_source").eqNullSafe(F.col("end_source")), "left")
     decisions = decisions.join(last, F.col("at_source").eqNullSafe(F.col("last_source")), "left")
-    return rows, checkpointed(decisions.select("at_source", "source_size", "target", "mix_certain", "mix_p", "mix_end", "mix_last"))
+    return rows, checkpointed(decisions.select("at_source", "source_size", "target", "mix_docs", "mix_certain", "mix_p", "mix_end", "mix_last"))
 
 
 def _copies() -> Column:
@@ -170,10 +179,10 @@ def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = """
 WITH rows AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-         (('0x' || substr(md5('mix-1|' || CAST(doc_id AS VARCHAR)), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+         (('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, '')))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
   FROM documents
 ), sizes AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) FILTER (size > 0) AS docs FROM rows GROUP BY source
 ), ranked AS (
   SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS rank, 3 * source_size AS cap FROM sizes
 ), weighted AS (
@@ -187,16 +196,19 @@ WITH rows AS (
   SELECT height AS level_height, rank AS level_rank, words_left AS level_words, weight_left AS level_weight FROM lefts
   WHERE words_left * weight <= cap * weight_left ORDER BY height, rank LIMIT 1
 ), targets AS (
-  SELECT source, source_size,
+  SELECT source, source_size, docs,
          CASE WHEN level_rank IS NULL OR height < level_height OR (height = level_height AND rank < level_rank) THEN cap::DOUBLE
               ELSE (level_words * weight)::DOUBLE / level_weight::DOUBLE END AS target
   FROM lefts LEFT JOIN levels ON true
 ), owing AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS certain FROM targets
+), odds AS (
+  SELECT *, target - (certain * source_size)::DOUBLE AS owed, least((target - (certain * source_size)::DOUBLE) / source_size, 1 - 1e-12::DOUBLE) AS p FROM owing
+), keyed AS (
+  SELECT r.doc_id, r.size, o.*, CASE WHEN p > 0 THEN u / (1 - u) / (p / (1 - p) * greatest((r.size * o.docs)::DOUBLE / o.source_size::DOUBLE, 1e-9::DOUBLE)) END AS key
+  FROM rows r JOIN odds o ON r.source IS NOT DISTINCT FROM o.source
 ), ordered AS (
-  SELECT r.doc_id, r.size, o.source_size, o.target, o.certain, o.target - (o.certain * o.source_size)::DOUBLE AS owed,
-         coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.u, r.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
-  FROM rows r JOIN owing o ON r.source IS NOT DISTINCT FROM o.source
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM keyed
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(size * (certain + CASE WHEN owed > 0 AND 2 * ahead + size <= 2 * owed THEN 1 ELSE 0 END) AS BIGINT) AS taken

@@ -1,4 +1,5 @@
 import collections
+import random
 
 from oracle import connect, difference, rows_of
 from pyspark.sql import functions as F
@@ -67,3 +68,32 @@ def test_sql_on_other_rows(spark, tmp_path):
     # equal ids draw equal numbers, and only here the SQL leaves their order open
     drop = lambda rows: [r for r in rows if r[0] not in (3, 7, 9, 11)]
     assert drop(rows_of(got.columns, got.collect())) == drop(rows_of(names, result.fetchall()))
+
+
+def test_long_documents_are_likelier(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.when(F.col("id") % 2 == 0, 8).otherwise(1)).alias("text"), F.when(F.col("id") < 2000, "a").otherwise("b").alias("source"))
+    out = mixing.mix_sources(df, weights=(1, 2)).where("source = 'a'")
+    target = out.first().target
+    shares = {r.size: r.share for r in out.groupBy("size").agg(F.avg(F.col("copies")).alias("share")).collect()}
+    assert 0 < shares[1] < 0.6 * shares[8] <= 1 and abs(out.agg(F.sum("taken")).first()[0] - target) <= 8
+    # inclusion probabilities are as the odds say, times the size over the mean
+    p = target / out.first().source_size
+    for size, share in shares.items():
+        odds = p / (1 - p) * size / 4.5
+        assert abs(share - odds / (1 + odds)) < 0.12
+
+
+def test_very_many_sources(spark):
+    """Targets of many sources are those of plain water-filling, wherever the range partitions cut them."""
+    rng = random.Random(8)
+    sizes = {f"s{k:05d}é" if k % 3 else f"S{k}": rng.choice([0, 1, 5, 300, 40_000]) * rng.randrange(1, 9) for k in range(700)}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(13)
+    got = {r.source: r.target for r in mixing.source_targets(df).collect()}
+    names = sorted(sizes, key=str.encode)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    low, high = 0.0, float(sum(sizes.values()))
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(3 * sizes[s], mid * weight[s]) for s in names) < sum(sizes.values()) else (low, mid)
+    assert all(abs(got[s] - min(3 * sizes[s], high * weight[s])) < 1e-6 * (1 + got[s]) for s in names)
+    assert abs(sum(got.values()) - sum(sizes.values())) < 1e-3
