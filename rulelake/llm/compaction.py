@@ -3,7 +3,8 @@
 An arrival is appended as a run: a folder of small shards, one per task, that never changes. Runs of similar size form a
 tier; once a tier holds ``fan_in`` runs they are merged into one run of target-sized files, which may fill the next tier.
 A merge reads whole runs and coalesces their partitions, so no row is shuffled. A single run whose files are far below
-the target is rewritten too.
+the target is rewritten too. A run whose files have grown to the target is done and is never rewritten, so the tiers end
+at target-sized files and each row is written a bounded number of times.
 
 A version of the store is a small JSON manifest that lists its runs. It is written under a temporary name and renamed to
 ``v<number>.json`` without overwriting: of two writers of the same version one fails, reads the new version and applies
@@ -151,11 +152,16 @@ class ShardStore:
         run = self._write(df)
         return self._change(lambda now: (now.schema or schema, (*now.runs, run)))
 
+    def done(self, run: Run) -> bool:
+        """Whether a run's files are of target size: what a merge makes of more than the target's bytes is."""
+        return 2 * run.bytes >= run.files * self.target_bytes
+
     def pending(self, manifest: Manifest) -> list[Run]:
         """The runs that the next merge takes: a full tier, the smallest first, else a run of undersized files."""
         tiers: dict[int, list[Run]] = {}
         for run in manifest.runs:
-            tiers.setdefault(run.tier(), []).append(run)
+            if not self.done(run):
+                tiers.setdefault(run.tier(), []).append(run)
         for tier in sorted(tiers):
             if len(tiers[tier]) >= self.fan_in:
                 return tiers[tier]

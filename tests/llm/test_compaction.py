@@ -62,3 +62,20 @@ def test_empty_table_and_orphans(spark):
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     assert difference(compaction.op3_size_tiered(spark, sf), compaction.OP3_SQL, sf) == ""
+
+
+def test_target_sized_files_are_never_rewritten(spark):
+    """However many arrivals come, a run of target-sized files stays as it is, and small ones go on being merged."""
+    store = ShardStore(spark, staging_path(spark, "store"), target_bytes=64 << 10, fan_in=3)
+    arrival = lambda k: spark.range(500 * k, 500 * k + 500).selectExpr("id as doc_id", "sha2(cast(id as string), 256) as text").coalesce(1)
+    settled, merges = {}, 0
+    for k in range(14):
+        store.append(arrival(k))
+        before = store.manifest()
+        after = store.compact()
+        merges += after.version - before.version
+        names = {r.name for r in after.runs}
+        assert set(settled) <= names
+        settled |= {r.name: r for r in after.runs if store.done(r)}
+        assert all(store.target_bytes / 2 <= r.bytes / r.files <= 1.5 * store.target_bytes for r in after.runs if store.done(r))
+    assert merges >= 2 and settled and store.read().count() == 500 * 14
