@@ -6,7 +6,8 @@ payload up to its end, so a record is checked and digested without ever being he
 
 Records of equal payloads of at least ``REVISIT_BYTES`` bytes are stored once: the one with the smallest id is a
 response, the others are revisits that name it and carry its digest. Equal payloads are found by digest with map-side
-aggregation, and only digests that occur more than once come back to the pages.
+aggregation, and only digests that occur more than once come back to the pages; up to a counted bound of them are
+broadcast, so that no payload is shuffled.
 
 Archives are written into the cluster's shared folder under temporary names and renamed when whole; the manifest names
 exactly the archives of the tasks that counted.
@@ -36,6 +37,8 @@ ARCHIVE_BYTES = 1 << 30
 READ_BYTES = 1 << 18
 BATCH_BYTES = 4 << 20
 LEVEL = 3
+#: Shared digests of so many payloads at most are broadcast (about 100 bytes each); beyond it the join decides by itself.
+BROADCAST_DIGESTS = 200_000
 
 CHUNKS_SCHEMA = "record_id string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, chunk_no int, n_chunks int, data binary"
 READ_SCHEMA = "record_id string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, chunk_no int, last boolean, chunk_bytes long, digest_so_far string"
@@ -51,7 +54,8 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
     shared = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     shared = checkpointed(shared.where("n > 1").drop("n"))  # apart from the join, so that a digest of very many pages can be split there
-    rows = rows.join(shared, "payload_digest", "left")
+    few = shared.count() <= BROADCAST_DIGESTS  # then the payloads stay where they are
+    rows = rows.join(F.broadcast(shared) if few else shared, "payload_digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
 
@@ -99,8 +103,8 @@ def write_archives(chunks: DataFrame, folder: str, archive_bytes: int = ARCHIVE_
                     row = next(rows, None)
             yield pa.RecordBatch.from_pylist([{"archive": uri, "records": count, "bytes": size}])
 
-    bounded_batches(chunks.sparkSession)
-    return checkpointed(chunks.mapInArrow(write, "archive string, records long, bytes long"))
+    with bounded_batches(chunks.sparkSession):
+        return checkpointed(chunks.mapInArrow(write, "archive string, records long, bytes long"))
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
