@@ -6,11 +6,13 @@ and the first ASCII digit or sign in it, and white space apart from that is piec
 side by side are those of the whole text. Pieces are found with numpy in the UTF-8 bytes of a block of texts, known by
 two independent 64-bit hashes of their bytes, and looked up in an open-addressing table of bounded size; only pieces
 not met before reach the library. A text with a space beyond ASCII, or with the string of an added token (which the
-library cuts out before all else), is given to the library as a whole.
+library cuts out before all else), is given to the library as a whole, and so is every text if the tokenizer file names
+another pre-tokenizer, a normalizer or a model with options (``cuts_as_assumed``).
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -88,6 +90,15 @@ def far_spaces(data: np.ndarray) -> np.ndarray:
     return np.array([k for k in leads.tolist() if data[k : k + 2].tobytes() in _FAR_SPACES or data[k : k + 3].tobytes() in _FAR_SPACES], np.int64) if len(leads) else leads
 
 
+def cuts_as_assumed(path: str) -> bool:
+    """Whether a tokenizer file is plain byte-level BPE with the pre-tokenizer that the cuts above rely on."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    cut, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not made.get("normalizer") and not made.get("truncation") and not made.get("padding")
+    return plain and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+
+
 class PieceEncoder:
     """Encodes blocks of texts with a tokenizers file."""
 
@@ -95,7 +106,7 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already, and threads hold memory of their own
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.by_pieces = Tokenizer.from_file(path), cuts_as_assumed(path)
         self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content)
         self.added_bytes = re.compile(b"|".join(re.escape(t.encode()) for t in self.added)) if self.added else None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
@@ -116,6 +127,8 @@ class PieceEncoder:
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of each text; null counts as empty."""
         out: list[np.ndarray] = []
+        if not self.by_pieces:
+            return [self.whole_text(text.as_py() or "") for text in column]
         for _, _, data, offsets in text_blocks(column, BLOCK_BYTES):
             out += self._block(data, offsets)
         return out

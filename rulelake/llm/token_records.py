@@ -9,9 +9,10 @@ The mask rotates a checksum and adds a constant, so that a checksum of data that
 each data file stands an index of fixed-size entries (document id, byte offset, number of ids), through which single
 records are read in any order.
 
-Documents are put in the order of their ids by range partitioning of the raw rows; each partition writes files of bounded
-size under temporary names and renames them when whole. The manifest (one row per file) gives the running start of each
-file, and files are read back independently.
+Documents are put in the order of their ids by range partitioning of the raw rows, into more partitions the larger the
+table; each partition writes files of bounded size under temporary names and renames them when whole. The manifest (one
+row per file) gives the running start of each file, and files are read back independently, in file order or, with a
+seed, in an order shuffled by the index.
 
 Tokens come from the tokenizers library through ``PieceEncoder``, which gives the ids of whole texts.
 
@@ -38,6 +39,8 @@ from .piece_encoder import PieceEncoder
 
 END_ID = 0
 FILE_BYTES = 512 << 20
+#: Bytes of a table, as its files have them, for each partition at least; and characters of a text that part equal ids.
+PART_BYTES, PREFIX = 256 << 20, 48
 MAGIC, HEAD_BYTES = b"TOKREC1\0", 12
 
 #: An index entry: document id, byte offset, number of ids.
@@ -94,7 +97,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
 
     ``tokenizer`` is a path on every executor.
     """
-    bounded_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
 
     def encoded(batches) -> Iterator[tuple[int | None, bytes]]:
@@ -125,13 +127,35 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             roll += 1
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return checkpointed(ordered.mapInArrow(write, "file string, part long, roll long, records long, ids long"))
-
-
-def read_token_files(manifest: DataFrame, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
-    """Documents from the files, through their indexes: (id, start, n_tokens, ids_crc32), and the ids as 32-bit numbers."""
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # Spark's estimate, from the files
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // PART_BYTES) if known < 1 << 60 else 1)
+    # the beginnings of texts part the rows of a very frequent id, in the order of the sort
+    bounds = [F.col("id").asc_nulls_first(), F.substring("text", 1, PREFIX).asc_nulls_first()]
+    ordered = rows.repartitionByRange(parts, *bounds).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    with bounded_batches(docs.sparkSession):
+        return checkpointed(ordered.mapInArrow(write, "file string, part long, roll long, records long, ids long"))
+
+
+def index_entries(uri: str, start: int) -> np.ndarray:
+    """The entries of a file's index: (id, offset, ids, start), where start counts the ids before each."""
+    with opened(f"{uri}.idx") as stream:
+        raw = stream.read()
+    if len(raw) % ENTRY_BYTES:
+        raise ValueError(f"the index of {uri} ends early")
+    entries = np.empty(len(raw) // ENTRY_BYTES, [("id", "<i8"), ("offset", "<u8"), ("n", "<u8"), ("start", "<i8")])
+    held = np.frombuffer(raw, [("id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
+    for name in held.dtype.names:
+        entries[name] = held[name]
+    entries["start"] = start + np.cumsum(held["n"].astype(np.int64)) - held["n"].astype(np.int64)
+    return entries
+
+
+def read_token_files(manifest: DataFrame, id_col: str = "doc_id", with_ids: bool = True, shuffle_seed: int | None = None) -> DataFrame:
+    """Documents from the files, through their indexes: (id, start, n_tokens, ids_crc32), and the ids as 32-bit numbers.
+
+    With a seed the records of a file are read in a shuffled order that only the seed and the file's place decide; an
+    index takes 24 bytes a record.
+    """
     ahead = F.coalesce(F.sum("ids").over(W.orderBy("part", "roll").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     files = manifest.select("file", ahead.cast("long").alias("start"))  # one row per file
     names = ["id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
@@ -140,14 +164,16 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id", with_ids: bool
     def read(batches):
         for batch in batches:
             for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held, size = [], 0
-                with opened(f"{uri}.idx") as entries, opened(f"{uri}.rec") as stream:
+                held, size, entries = [], 0, index_entries(uri, start)
+                if shuffle_seed is not None:
+                    entries = np.random.default_rng([shuffle_seed, start]).permutation(entries)
+                with opened(f"{uri}.rec") as stream:
                     head = stream.read(HEAD_BYTES)
                     if head[: len(MAGIC)] != MAGIC:
                         raise ValueError(f"{uri} is not a token file")
                     width, expected = struct.unpack("<I", head[len(MAGIC) :])[0], HEAD_BYTES
-                    while entry := entries.read(ENTRY_BYTES):
-                        key, offset, n = struct.unpack(ENTRY, entry)
+                    for entry in entries:
+                        key, offset, n, start = map(int, entry)
                         ids = unframe(stream, offset if offset != expected else None)
                         if ids is None or len(ids) != width * n:
                             raise ValueError(f"the index of {uri} differs from its records")
@@ -155,7 +181,7 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id", with_ids: bool
                         ids = np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
                         row = (None if key == NULL_ID else key, start, n, zlib.crc32(ids))
                         held.append((*row, ids) if with_ids else row)
-                        start, size = start + n, size + (len(ids) if with_ids else 64)
+                        size += len(ids) if with_ids else 64
                         if size >= 4 << 20:
                             yield _batch(held, names, types)
                             held, size = [], 0
@@ -173,4 +199,4 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_token_files(table(spark, sf_dir, "documents"), staging_path(spark, "tokens"))
-    return read_token_files(manifest, with_ids=False)
+    return read_token_files(manifest, with_ids=False, shuffle_seed=6)

@@ -58,6 +58,12 @@ def test_odd_rows_small_files_and_shuffled_reads(spark):
     with opened(f"{file}.idx") as index, opened(f"{file}.rec") as stream:
         entries = [struct.unpack(tr.ENTRY, e) for e in iter(lambda: index.read(tr.ENTRY_BYTES), b"")]
         assert [len(tr.unframe(stream, offset)) // 2 for _, offset, _ in reversed(entries)] == [n for _, _, n in reversed(entries)]
+    for seed in (1, 2):
+        again = tr.read_token_files(manifest, shuffle_seed=seed).collect()
+        assert sorted(map(tuple, again), key=lambda r: r[1]) == sorted(map(tuple, back), key=lambda r: r[1])
+    one = tr.write_token_files(df, staging_path(spark, "tokens")).repartition(1)
+    orders = [[r.start for r in tr.read_token_files(one, shuffle_seed=seed).collect()] for seed in (None, 1, 1)]
+    assert orders[0] != orders[1] == orders[2] and sorted(orders[0]) == sorted(orders[1])
     empty = tr.write_token_files(df.limit(0), staging_path(spark, "tokens"))
     assert tr.read_token_files(empty).collect() == []
 
@@ -66,3 +72,25 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(tuple(r) for r in tr.op6_token_records(spark, sf).collect()) == sorted(brute(rows))
+
+
+def test_other_tokenizers_get_whole_texts():
+    """A file with another pre-tokenizer, or with a normalizer, gives the ids of the library too."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, coder = Tokenizer.from_file(path), tr.PieceEncoder(path)
+    assert not coder.by_pieces and CODER.by_pieces
+    texts = ["Some Words, of a text's 1st line", "", None, "a  b\n<|endoftext|>"]
+    assert [x.tolist() for x in coder.encode(pa.array(texts))] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_rows_of_one_id_are_dealt_by_their_texts(spark, monkeypatch):
+    """A third of all rows with one id: they are spread, and the order is that of (id, text)."""
+    rows = [(7 if k % 3 == 0 else k, f"{k * 7919 % 1000:03d} text") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = tr.write_token_files(df, staging_path(spark, "tokens"))
+    assert sorted((tuple(r)[:4] for r in tr.read_token_files(manifest).collect()), key=lambda r: r[1]) == brute(rows)
+    sizes = [r.records for r in manifest.collect()]
+    assert max(sizes) < 200
