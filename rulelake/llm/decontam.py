@@ -7,7 +7,8 @@ documents, counted in a first pass with one counter per benchmark shingle.
 
 In the second pass a document's shingles are matched against the prefix shingles; a match at place p of a prefix that
 begins at word q of its window puts the window at p - q, which must lie inside the document (length and positional
-bounds), and there all words are compared by their 64-bit hashes. The matches are those of whole texts.
+bounds), and there all words are compared, first by their 64-bit hashes and then letter by letter. The matches are those
+of whole texts.
 
 The benchmark side is cut into blocks of at most ``BLOCK_WORDS`` words, which bounds what is sent to the executors and
 what the driver holds; a larger benchmark takes several passes, whose hits are merged per document.
@@ -29,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import bounded_batches, checkpointed
+from .common import bounded_batches, checkpointed, lower_batches
 from .shingles import ALNUM, shingle_hashes, text_blocks, word_hashes
 
 WINDOW, SHINGLE = 10, 5
 BLOCK_WORDS = 2_000_000
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
 
 
 @dataclass
@@ -45,6 +48,8 @@ class Windows:
     start: np.ndarray  # first word of each window in ``words``
     length: np.ndarray
     item: np.ndarray  # number of each window's item
+    letters: bytes  # all items' words in lower case, each followed by a space
+    edge: np.ndarray  # where each word begins in ``letters``, and the end
 
     def shingle_sizes(self) -> np.ndarray:
         return np.minimum(self.length, SHINGLE)
@@ -53,10 +58,13 @@ class Windows:
 def cut_windows(items: list[tuple], window: int) -> Windows:
     """Windows of (item_id, text) rows."""
     texts = pa.array([text for _, text in items], pa.string())
-    words, start, length, item, base = [], [], [], [], 0
+    words, start, length, item, base, letters, edge = [], [], [], [], 0, [], [np.zeros(1, np.int64)]
     for a, b, data, offsets in text_blocks(texts):
         hashes, at = word_hashes(data, offsets, ALNUM)
         words.append(hashes)
+        said, ends = plain_words(data, offsets)
+        letters.append(said)
+        edge.append(edge[-1][-1] + ends)
         for k in range(a, b):
             n = int(at[k - a + 1] - at[k - a])
             if n:
@@ -66,7 +74,23 @@ def cut_windows(items: list[tuple], window: int) -> Windows:
                 item.append(np.full(count, k))
         base += len(hashes)
     join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return Windows([key for key, _ in items], np.concatenate(words) if words else np.zeros(0, np.uint64), join(start), join(length), join(item))
+    return Windows([key for key, _ in items], np.concatenate(words) if words else np.zeros(0, np.uint64), join(start), join(length), join(item), b"".join(letters), np.concatenate(edge))
+
+
+def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The words of texts that lie end to end, in lower case and each followed by a space, and where each of them ends."""
+    inside = ALNUM[0][data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = offsets[:-1][offsets[:-1] < len(data)]
+    begins[first] = inside[first]
+    starts = np.flatnonzero(begins)
+    which = np.cumsum(begins)[inside] - 1  # the word of each letter
+    sizes = np.bincount(which, minlength=len(starts)) if len(starts) else np.zeros(0, np.int64)
+    ends = np.cumsum(sizes + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
+    out[np.arange(len(which)) + which] = _LOWER[data[inside]]
+    return out.tobytes(), ends
 
 
 def _window_shingles(windows: Windows) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -83,12 +107,12 @@ def _window_shingles(windows: Windows) -> dict[int, tuple[np.ndarray, np.ndarray
 
 
 def _document_batches(batches):
-    """Word hashes of each document: (batch, row, words)."""
+    """Each document's word hashes, and its bytes: (words, data)."""
     for batch in batches:
         for a, b, data, offsets in text_blocks(batch.column("text")):
             hashes, at = word_hashes(data, offsets, ALNUM)
             for k in range(b - a):
-                yield batch, a + k, hashes[at[k] : at[k + 1]]
+                yield hashes[at[k] : at[k + 1]], data[offsets[k] : offsets[k + 1]]
 
 
 def count_shingles(docs: DataFrame, text_col: str, wanted: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
@@ -129,10 +153,10 @@ def prefix_index(windows: Windows, counts, wanted) -> dict[int, dict[str, np.nda
     return out
 
 
-def match(words: np.ndarray, windows: Windows, index: dict[int, dict[str, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def match(words: np.ndarray, data: np.ndarray, windows: Windows, index: dict[int, dict[str, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Which words of a document lie in an occurrence of a window, and the numbers of the items that occur."""
     n = len(words)
-    edge, items = np.zeros(n + 1, np.int64), []
+    edge, items, said = np.zeros(n + 1, np.int64), [], None
     for size, part in index.items():
         made = shingle_hashes(words, size)
         low = np.searchsorted(part["token"], made, "left")
@@ -150,6 +174,15 @@ def match(words: np.ndarray, windows: Windows, index: dict[int, dict[str, np.nda
         for k in range(int(length.max()) if len(length) else 0):
             same = (k >= length) | (words[np.minimum(begin + k, n - 1)] == windows.words[np.minimum(windows.start[window] + k, len(windows.words) - 1)])
             begin, window, length = begin[same], window[same], length[same]
+        if not len(begin):
+            continue
+        if said is None:
+            said, ends = plain_words(data, np.array([0, len(data)]))
+            ends = np.concatenate([[0], ends])
+        theirs = windows.start[window]
+        spans = zip(ends[begin].tolist(), ends[begin + length].tolist(), windows.edge[theirs].tolist(), windows.edge[theirs + length].tolist(), strict=True)
+        same = np.array([said[a:b] == windows.letters[c:d] for a, b, c, d in spans])
+        begin, window, length = begin[same], window[same], length[same]
         np.add.at(edge, begin, 1)
         np.add.at(edge, begin + length, -1)
         items.append(np.unique(windows.item[window]))
@@ -158,7 +191,8 @@ def match(words: np.ndarray, windows: Windows, index: dict[int, dict[str, np.nda
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: (id, n_words, spans, items); spans are (start, end) word ranges that windows cover, items sorted ids."""
-    made = [_one_pass(docs, rows, id_col, text_col, window) for rows in _blocks(benchmark, item_col, item_text_col, block_words)]
+    with bounded_batches(docs.sparkSession):
+        made = [checkpointed(_one_pass(docs, rows, id_col, text_col, window)) for rows in _blocks(benchmark, item_col, item_text_col, block_words)]
     blocks = len(made)
     if blocks == 1:
         return made[0].drop("digest").withColumnRenamed("id", id_col)
@@ -166,7 +200,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     union = made[0]
     for one in made[1:]:
         union = union.unionByName(one)
-    merged = checkpointed(union).groupBy("id", "digest").agg(
+    merged = union.groupBy("id", "digest").agg(
         F.first("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -177,7 +211,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
 def _prepared(docs: DataFrame, items: list[tuple], text_col: str, window: int):
     """A block's windows and their prefix index, sent to the executors; ``block_words`` bounds it."""
-    bounded_batches(docs.sparkSession)
     windows = cut_windows(items, window)
     wanted = {size: np.unique(shingles) for size, (_, shingles) in _window_shingles(windows).items()}
     counts = count_shingles(docs, text_col, wanted) if wanted else {}
@@ -185,27 +218,32 @@ def _prepared(docs: DataFrame, items: list[tuple], text_col: str, window: int):
 
 
 def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_words: int):
-    """The benchmark's (item, text) rows, in blocks of bounded size."""
+    """The benchmark's (item, text) rows that hold words, in blocks of bounded size; equal texts are dealt by their items,
+    and equal rows are one."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
+    items = items.where(F.col("text").rlike(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]|[A-Z]")).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (2 * block_words)))  # a word has a letter and a space at least
     for k in range(blocks):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).toLocalIterator()]
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).toLocalIterator()]
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents that contain no window, with all their columns; texts stay where they are."""
+    """The documents that contain no window, with all their columns; texts stay where they are. Rarity is counted in all
+    documents for every block. The frame is lazy, so the session's Arrow batches stay lowered."""
     from pyspark.sql.functions import pandas_udf
 
+    lower_batches(docs.sparkSession)
+    everything = docs
     for items in _blocks(benchmark, item_col, item_text_col, block_words):
-        shared = _prepared(docs, items, text_col, window)
+        shared = _prepared(everything, items, text_col, window)
 
         @pandas_udf("boolean")
         def hit(texts, shared=shared):
             import pandas as pd
 
             batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["text"])
-            return pd.Series([bool(match(words, *shared.value)[0].any()) for _, _, words in _document_batches([batch])], dtype="bool")
+            return pd.Series([bool(match(words, data, *shared.value)[0].any()) for words, data in _document_batches([batch])], dtype="bool")
 
         docs = docs.where(~hit(F.col(text_col)))
     return docs
@@ -219,8 +257,8 @@ def _one_pass(docs: DataFrame, items: list[tuple], id_col: str, text_col: str, w
         windows, index = shared.value
         for batch in batches:
             n_words, spans, found = [], [], []
-            for _, _, words in _document_batches([batch]):
-                hit, items = match(words, windows, index)
+            for words, data in _document_batches([batch]):
+                hit, items = match(words, data, windows, index)
                 step = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
                 n_words.append(len(words))
                 spans.append([{"start": a, "end": b} for a, b in step.reshape(-1, 2).tolist()])

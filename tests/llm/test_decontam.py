@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from oracle import difference
 
 from rulelake.llm import decontam
@@ -62,3 +63,26 @@ def test_empty_tables(spark):
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     assert difference(decontam.op8_prefix_decontamination(spark, sf), decontam.OP8_SQL, sf) == ""
+
+
+def test_equal_hashes_of_other_words_are_no_hit():
+    """The letters decide, not the hashes."""
+    text, other = b"one two three four five six", b"one two three four five SIV"
+    windows = decontam.cut_windows([("i", text.decode())], 6)
+    wanted = {size: np.unique(s) for size, (_, s) in decontam._window_shingles(windows).items()}
+    index = decontam.prefix_index(windows, {size: np.zeros(len(s), np.int64) for size, s in wanted.items()}, wanted)
+    for data, hits in ((text, 6), (other, 0), (text.upper().replace(b" ", b"--"), 6)):
+        hit, items = decontam.match(windows.words, np.frombuffer(data, np.uint8), windows, index)
+        assert hit.sum() == hits and len(items) == (hits > 0)
+
+
+def test_repeated_and_blank_items_fill_no_block(spark):
+    """Equal texts of many items are dealt over the blocks, equal rows count once, and rows without words take no place."""
+    rows = [(k, "same words in all of these items") for k in range(300)] + [(None, None)] * 500 + [(1, "?!")] * 500 + [(5, "same words in all of these items")] * 500
+    b = spark.createDataFrame(rows, "item_id long, text string")
+    blocks = list(decontam._blocks(b, "item_id", "text", 500))
+    assert len(blocks) > 5 and sum(map(len, blocks)) == 300 and max(map(len, blocks)) < 100
+    docs = spark.createDataFrame([(1, "x same words in all of these items"), (2, "same words")], "doc_id long, text string")
+    got = {r.doc_id: len(r["items"]) for r in decontam.contamination(docs, b, block_words=500).collect()}
+    assert got == {1: 300, 2: 0}
+    assert [r.doc_id for r in decontam.clean_rows(docs, b, block_words=500).collect()] == [2]
