@@ -20,8 +20,11 @@ from rulelake.session import table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold, by a model learned from the labelled ones among them."""
     model = toxicity.toxicity_model(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_toxicity(docs, model, score_col="__toxicity")
-    return scored.where(F.col("__toxicity") < toxicity.THRESHOLD).select(docs.columns)
+    score = "toxicity"
+    while score in {c.lower() for c in docs.columns}:
+        score = f"_{score}"
+    scored = toxicity.score_toxicity(docs, model, score_col=score)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
