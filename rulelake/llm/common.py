@@ -37,8 +37,8 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/rulelake/{name}-{uuid.uuid4().hex}"
 
 
-#: Writer's settings for tables of media: more work for zstd, over pages that hold many rows.
-DENSE = {"parquet.compression.codec.zstd.level": "12", "parquet.page.size": str(8 << 20), "parquet.page.row.count.limit": "1000000"}
+#: Writer's settings for tables of media: more work for zstd, over pages that hold more rows.
+DENSE = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(2 << 20), "parquet.page.row.count.limit": "1000000"}
 
 
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:

@@ -21,13 +21,14 @@ def test_ids_are_those_of_the_unmodified_tokenizer():
 
 
 def test_query_stores_resampled_sound(spark, monkeypatch):
-    frames = []
-    monkeypatch.setattr(telephony, "staged", lambda df, name, staged=telephony.staged: frames.append(staged(df, name)) or frames[-1])
+    frames = {}
+    monkeypatch.setattr(telephony, "staged", lambda df, name, staged=telephony.staged, **options: frames.setdefault(name, staged(df, name, **options)))
     out = telephony.op2_telephony(spark, SF)
-    assert "pcm" not in out.columns and out.count() == frames[-1].count()
-    for row in frames[-1].select("pcm", "feature").limit(5).collect():
-        codec, rate, _, data = telephony.parse_wav(bytes(row.pcm))
-        assert codec == telephony.PCM and rate == telephony.TARGET_RATE and f"n={len(data) // 2};" in row.feature
+    kept = frames["telephony_pcm"].select("doc_id", "pcm").join(out, "doc_id")
+    assert "pcm" not in out.columns and out.count() == kept.count()
+    for row in kept.limit(9).collect():
+        count = sum(len(x) for x in telephony.pcm_segments(bytes(row.pcm)))
+        assert telephony.frame_rate(bytes(row.pcm)) == (telephony.TARGET_RATE, 8000) and f"n={count};" in row.feature
 
 
 def test_tiers_are_merged(spark, monkeypatch):
