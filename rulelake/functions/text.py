@@ -88,6 +88,12 @@ def normalize_target(target: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.replace(F.trim(target), F.lit("\\"), F.lit("/")), r"^(\./)+", ""), r"^/+", "")
 
 
+def asset_like(target: Column) -> Column:
+    """Whether a link target looks like a file that is no note: its last part has an extension other than ``.md``."""
+    path = normalize_target(target)
+    return (path != "") & ~F.endswith(F.lower(path), F.lit(".md")) & F.contains(F.regexp_extract(path, r"([^/]*)$", 1), F.lit("."))
+
+
 def normalize_heading(heading: Column) -> Column:
     """A heading with single spaces and ASCII lower case."""
     return ascii_lower(collapse_space(heading))
@@ -134,16 +140,34 @@ def heading_title(line: Column) -> Column:
 def observed(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     """Occurrences of a pattern, overlapping ones too. A pattern is words divided by ``|``; ``\\b`` around one asks for
     ASCII word bounds."""
+    return F.regexp_count(ascii_lower(text) if ignore_case else text, F.lit(f"(?={_observed_needle(pattern, ignore_case)})")).cast("long")
+
+
+def _observed_needle(pattern: str, ignore_case: bool) -> str:
     alternatives = []
     for part in pattern.split("|"):
         bounded = part.startswith(r"\b") and part.endswith(r"\b") and len(part) > 4
         body = re.escape(part[2:-2] if bounded else part)
         alternatives.append(rf"(?<![A-Za-z0-9_]){body}(?![A-Za-z0-9_])" if bounded else body)
-    haystack = ascii_lower(text) if ignore_case else text
     needle = "|".join(alternatives)
     if ignore_case:
         needle = needle.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)).replace(r"(?<![a-za-z0-9_])", r"(?<![a-z0-9_])").replace(r"(?![a-za-z0-9_])", r"(?![a-z0-9_])")
-    return F.regexp_count(haystack, F.lit(f"(?={needle})")).cast("long")
+    return needle
+
+
+def observed_places(text: Column, pattern: str, ignore_case: bool = True) -> Column:
+    """Where a pattern occurs, overlapping places too: (line, col) from 1 on, columns counted in characters. A pattern is
+    that of ``observed``."""
+    needle, haystack = _observed_needle(pattern, ignore_case), ascii_lower(text) if ignore_case else text
+
+    def in_line(row: Column, number: Column) -> Column:
+        # cut before each occurrence: all pieces begin with one, but for the first where it does not
+        pieces = F.split(row, f"(?={needle})")
+        starts = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), F.array(F.lit(1)), lambda made, piece: F.concat(made, F.array(F.element_at(made, -1) + F.length(piece))))
+        hits = F.when(row.rlike(f"^(?={needle})"), starts).otherwise(F.slice(starts, 2, F.size(starts)))
+        return F.transform(hits, lambda c: F.struct((number + 1).cast("int").alias("line"), c.cast("int").alias("col")))
+
+    return F.flatten(F.transform(lines(haystack), in_line))
 
 
 def term_count(text: Column, term: Column) -> Column:

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import cbor_columns as CB
+from ..session import shared_folder
+
+#: Frontiers that are kept apart before they are written as one.
+UNION_ROUNDS = 16
+
 EDGE_KINDS = ("build_depends", "witness_of", "authority_depends", "mutation_commitment", "cost_displacement")
 RISKS = ("read_only", "local_ephemeral", "local_persistent", "external_reversible", "external_irreversible")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """An eager checkpoint in the session's shared folder (a local one only where none is set)."""
+    """An eager checkpoint in the session's shared folder; a local one only where none is set on one machine."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/rulelake-{uuid.uuid4().hex}")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -43,17 +51,20 @@ def missing_references(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def reachable(roots: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(id, depth) of all nodes that (id) roots reach over (src, dst) edges, cycles included.
 
-    A frontier join per round; nodes that were met are left out, so each node is expanded once.
+    A frontier join per round; nodes that were met are left out, so each node is expanded once. Each round checkpoints its
+    own frontier alone; what was met before is their union.
     """
     edges = cut(edges.select("src", "dst").distinct())
-    frontier = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
-    seen = frontier
+    fronts = [cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))]
     for depth in range(1, max_rounds + 1):
-        step = frontier.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        frontier = cut(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if not frontier.limit(1).count():
+        seen = reduce(DataFrame.union, fronts)
+        step = fronts[-1].join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        front = cut(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        if not front.limit(1).count():
             return seen
-        seen = cut(seen.unionByName(frontier))
+        fronts.append(front)
+        if len(fronts) > UNION_ROUNDS:  # so that plans stay small however deep a graph is
+            fronts = [cut(reduce(DataFrame.union, fronts[:-1])), front]
     raise RuntimeError(f"not all reached in {max_rounds} rounds")
 
 
@@ -207,11 +218,63 @@ def unwitnessed_mutations(edges: DataFrame) -> DataFrame:
 
 def mutation_order(edges: DataFrame) -> DataFrame:
     """Mutations numbered along their timeline."""
-    from pyspark.sql import Window as W
-
     mutations = of_kind(edges, "mutation_commitment")
     return mutations.withColumn("place", F.row_number().over(W.partitionBy("timeline").orderBy("seq", "src", "dst")))
 
 
+def edge_order() -> list[Column]:
+    """The canonical order of edges (timeline, seq, src, dst, kind, detail, scope, witness_ref): by timeline and step, then
+    by what they join and what they are; no witness comes first."""
+    rank = F.array_position(F.array(*[F.lit(k) for k in EDGE_KINDS]), F.col("kind"))
+    return [F.col("timeline"), F.col("seq"), F.col("src"), F.col("dst"), rank, F.coalesce("detail", F.lit("")), F.col("scope"), F.col("witness_ref")]
+
+
+def add_edges(known: DataFrame, more: DataFrame) -> DataFrame:
+    """Edges with those of ``more``; an edge that is there in all its columns is not added again."""
+    return known.unionByName(more.distinct().join(known.distinct(), [known[c].eqNullSafe(more[c]) for c in known.columns], "left_anti"))
+
+
+def checked_edges(edges: DataFrame) -> DataFrame:
+    """Edges as they may be built: a witness link carries no witness, and a mutation of persistent effect or more must carry
+    one; anything else is an error."""
+    rank = F.array_position(F.array(*[F.lit(r) for r in RISKS]), F.col("risk"))
+    fault = F.when((F.col("kind") == "witness_of") & F.col("witness_ref").isNotNull(), "a witness link carries a witness: ").when((F.col("kind") == "mutation_commitment") & (rank > RISKS.index("local_persistent")) & F.col("witness_ref").isNull(), "a mutation needs a witness: ").when(~F.col("kind").isin(*EDGE_KINDS), "no such kind of edge: ")
+    return edges.withColumn("kind", F.when(fault.isNotNull(), F.raise_error(F.concat(fault, F.col("src").cast("string")))).otherwise(F.col("kind")))
+
+
+#: Domain of node ids (fixed value).
+NODE_TAG = "admit_dag_node_v1"
+
+
+def node_ids(nodes: DataFrame, kind_fields: dict[str, str]) -> DataFrame:
+    """Content ids of nodes (type, inputs array of ids, params binary, and the fields of their kind): the digest of the
+    canonical CBOR of tag, kind, sorted inputs and parameters. ``kind_fields`` maps fields of the kind to string columns."""
+    kind = CB.mapping({"type": CB.text(F.col("type"))} | {name: CB.text(F.col(column)) for name, column in kind_fields.items()})
+    said = {"tag": CB.text(F.lit(NODE_TAG)), "kind": kind, "inputs": CB.array(F.array_sort("inputs")), "params": CB.text(F.lower(F.hex("params")))}
+    return nodes.withColumn("node_id", CB.sha256(CB.mapping(said)))
+
+
+def cycle_paths(edges: DataFrame) -> DataFrame:
+    """(component, path) of a cycle in each component that has any: from its smallest node on a cycle along the smallest
+    nodes that stay on cycles. What is left after peeling is walked per weak component, in one task each."""
+    left = edges.join(cycle_residual(edges).select(F.col("id").alias("src")), "src", "left_semi").join(cycle_residual(edges).select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").cast("string"), F.col("dst").cast("string")).distinct()
+    left = cut(left)
+    labels = cut(left.select(F.col("src").alias("id")).union(left.select("dst")).distinct().withColumn("component", F.col("id")))
+    both = cut(left.union(left.select("dst", "src")).toDF("a", "b").distinct())
+    while True:
+        heard = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("heard"))
+        step = cut(labels.join(heard, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("heard", "component")).alias("component")))
+        if not step.where("component < was").limit(1).count():
+            break
+        labels = step.select("id", "component")
+
+    def walk(rows: pa.Table) -> pa.Table:
+        found = first_cycle(sorted(zip(rows.column("src").to_pylist(), rows.column("dst").to_pylist(), strict=True)))
+        return pa.table({"component": rows.column("component")[:1], "path": pa.array([found], pa.list_(pa.string()))})
+
+    grouped = left.join(labels.withColumnRenamed("id", "src"), "src").groupBy("component")
+    return grouped.applyInArrow(walk, "component string, path array<string>")
+
+
 def graph_frame(spark: SparkSession, edges: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(edges, "src string, dst string")

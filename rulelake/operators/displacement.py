@@ -63,8 +63,29 @@ def compare(value: Column, op: str, target: Column, strict_bounds: bool = False)
     return {"eq": value == target, "neq": value != target, "gt": value > target, "gte": value >= target, "lt": value < target, "lte": value <= target}[op]
 
 
-def commit_tests(targets: DataFrame, commits: DataFrame) -> DataFrame:
-    """(diff, has_commit, commit_equals, commit_gt, commit_gte) of (diff, target) rows; comparisons of no commit are null."""
-    joined = targets.join(commits, "diff", "left")
-    value, target = F.col("value"), F.col("target")
-    return joined.select("diff", value.isNotNull().alias("has_commit"), F.coalesce(value == target, F.lit(False)).alias("commit_equals"), compare(value, "gt", target).alias("commit_gt"), compare(value, "gte", target).alias("commit_gte"))
+def has_commit(targets: DataFrame, commits: DataFrame) -> DataFrame:
+    """(diff, has_commit) of (diff) rows."""
+    return targets.join(commits.select("diff", F.lit(True).alias("there")), "diff", "left").select("diff", F.coalesce("there", F.lit(False)).alias("has_commit"))
+
+
+def _committed(targets: DataFrame, commits: DataFrame) -> DataFrame:
+    return targets.join(commits.select("diff", "kind", "value", "unit"), "diff", "left")
+
+
+def commit_equals(targets: DataFrame, commits: DataFrame) -> DataFrame:
+    """(diff, equal) of (diff, target_kind, target, target_unit) rows against commits (diff, kind quantity, text or flag,
+    value, unit): no commit is unequal; a commit of another kind or unit is an error."""
+    joined = _committed(targets, commits)
+    other = (F.col("kind") != F.col("target_kind")) | ~F.col("unit").eqNullSafe(F.col("target_unit"))
+    equal = F.when(F.col("kind").isNull(), F.lit(False)).when(other, F.raise_error(F.concat(F.lit("commit is of another kind: "), F.col("diff").cast("string"))).cast("boolean")).otherwise(F.col("value").cast("string") == F.col("target").cast("string"))
+    number = F.when((F.col("kind") == "quantity") & ~other, F.col("value").cast("double") == F.col("target").cast("double"))
+    return joined.select("diff", F.coalesce(number, equal).alias("equal"))
+
+
+def commit_cmp(targets: DataFrame, commits: DataFrame, op: str, strict_bounds: bool = False) -> DataFrame:
+    """(diff, holds) of (diff, target, target_unit) rows: the quantity committed against the target. No commit, one that is
+    no quantity and one of another unit are errors."""
+    joined = _committed(targets, commits)
+    fault = F.when(F.col("kind").isNull(), "no commit of ").when(F.col("kind") != "quantity", "no quantity is committed of ").when(F.col("unit") != F.col("target_unit"), "the commit counts something else: ")
+    value = F.when(fault.isNotNull(), F.raise_error(F.concat(fault, F.col("diff").cast("string"))).cast("double")).otherwise(F.col("value").cast("double"))
+    return joined.select("diff", compare(value, op, F.col("target").cast("double"), strict_bounds).alias("holds"))

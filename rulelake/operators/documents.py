@@ -106,33 +106,37 @@ def html_links(pages: DataFrame, id_col: str, html: Column) -> DataFrame:
 
 
 def title_index(docs: DataFrame, path_col: str, title_col: str, fold_case: bool) -> DataFrame:
-    """(key, candidates) by title or lower-case title."""
+    """(key, candidates, first) by title or lower-case title: how many documents have it, and the first of them in order."""
     key = F.lower(F.col(title_col)) if fold_case else F.col(title_col)
-    return docs.groupBy(key.alias("key")).agg(F.array_sort(F.collect_set(path_col)).alias("candidates"))
+    rows = docs.select(key.alias("key"), F.col(path_col).alias("path")).where("key != ''").distinct()
+    return rows.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("candidates"), F.min("path").alias("first"))
 
 
 def resolve_links(links: DataFrame, docs: DataFrame, target_col: str = "target", path_col: str = "path", title_col: str = "title") -> DataFrame:
     """Links with resolved path, kind and number of candidates: by path, by path with ``.md``, by title, by lower-case
-    title. Several candidates are ambiguous and end the search, as does a target with a slash that is no path."""
+    title. Several candidates are ambiguous and end the search, as does a target with a slash that is no path.
+
+    Titles come with a count and one path, never with all their documents; those of ambiguous links are
+    ``choose_ambiguous``'s. ``stem`` and ``folded`` say by which title a link was found.
+    """
     paths = docs.select(F.col(path_col).alias("hit")).distinct()
     rows = links.withColumn("norm", T.normalize_target(F.col(target_col)))
     rows = rows.withColumn("with_md", F.when(F.endswith(F.lower("norm"), F.lit(".md")), F.col("norm")).otherwise(F.concat("norm", F.lit(".md"))))
     rows = rows.withColumn("stem", F.when(~F.contains("norm", F.lit("/")) & (F.col("norm") != ""), F.regexp_replace("norm", r"(\.md)*(\.MD)*$", "")))
-    exact = title_index(docs, path_col, title_col, False).select(F.col("key").alias("k1"), F.col("candidates").alias("exact"))
-    folded = title_index(docs, path_col, title_col, True).select(F.col("key").alias("k2"), F.col("candidates").alias("folded"))
+    side = lambda fold, n: title_index(docs, path_col, title_col, fold).select(*[F.col(c).alias(f"{c}{n}") for c in ("key", "candidates", "first")])
     rows = rows.join(paths.withColumnRenamed("hit", "hit1"), F.col("norm") == F.col("hit1"), "left")
     rows = rows.join(paths.withColumnRenamed("hit", "hit2"), F.col("with_md") == F.col("hit2"), "left")
-    rows = rows.join(exact, F.col("stem") == F.col("k1"), "left").join(folded, F.lower("stem") == F.col("k2"), "left")
-    by_title = F.coalesce("exact", "folded")
+    rows = rows.join(side(False, 1), F.col("stem") == F.col("key1"), "left").join(side(True, 2), F.lower("stem") == F.col("key2"), "left")
+    count, first = F.coalesce("candidates1", "candidates2"), F.when(F.col("key1").isNotNull(), F.col("first1")).otherwise(F.col("first2"))
     path = F.coalesce("hit1", "hit2")
     kind = (
-        F.when(F.col("norm") == "", "missing").when(path.isNotNull(), "exact_path").when(F.size(by_title) > 1, "ambiguous")
-        .when(F.col("exact").isNotNull(), "exact_title").when(F.col("folded").isNotNull(), "casefold_title").otherwise("missing")
+        F.when(F.col("norm") == "", "missing").when(path.isNotNull(), "exact_path").when(count > 1, "ambiguous")
+        .when(F.col("key1").isNotNull(), "exact_title").when(F.col("key2").isNotNull(), "casefold_title").otherwise("missing")
     )
-    resolved = F.when(F.col("norm") == "", None).when(path.isNotNull(), path).when(F.size(by_title) == 1, F.element_at(by_title, 1))
-    candidates = F.when((F.col("norm") == "") | (path.isNull() & by_title.isNull()), F.lit(0)).when(path.isNotNull(), F.lit(1)).otherwise(F.size(by_title))
-    out = rows.withColumn("kind", kind).withColumn("resolved", resolved).withColumn("candidates", candidates).withColumn("candidate_paths", F.when(path.isNull(), by_title))
-    return out.drop("norm", "with_md", "stem", "hit1", "hit2", "k1", "k2", "exact", "folded")
+    resolved = F.when(F.col("norm") == "", None).when(path.isNotNull(), path).when(count == 1, first)
+    candidates = F.when((F.col("norm") == "") | (path.isNull() & count.isNull()), F.lit(0)).when(path.isNotNull(), F.lit(1)).otherwise(count)
+    out = rows.withColumn("kind", kind).withColumn("resolved", resolved).withColumn("candidates", candidates).withColumn("folded", F.col("key1").isNull())
+    return out.drop("norm", "with_md", "hit1", "hit2", "key1", "key2", "candidates1", "candidates2", "first1", "first2")
 
 
 NEIGHBOURHOODS = ("/concepts/", "/meta/", "/papers/", "/diagnostics/")
@@ -144,34 +148,47 @@ def longest_prefix(path: Column, prefixes: list[str]) -> Column:
     return F.coalesce(*fits, F.lit(""))
 
 
-def _starts_with(prefix: str):
-    return lambda c: F.startswith(c, F.lit(prefix))
+def choose_ambiguous(links: DataFrame, docs: DataFrame, prefixes: list[str], from_col: str = "from_path", path_col: str = "path", title_col: str = "title") -> DataFrame:
+    """The ambiguous ones of resolved links with the best of their candidates: of the same root, then of the same
+    neighbourhood, then the first in order; without a root none.
 
-
-def choose_ambiguous(from_path: Column, candidates: Column, prefixes: list[str]) -> Column:
-    """The best of ambiguous candidates: same root, then same neighbourhood, then first in order; null without a root."""
-    root = longest_prefix(from_path, prefixes)
-    same = F.filter(candidates, lambda c: F.startswith(c, root))
-    shared = F.lit(False)
-    for prefix in prefixes:
-        shared = shared | (F.size(F.filter(candidates, _starts_with(prefix))) == F.size(candidates))
-    pool = F.when(F.size(same) > 0, same).when(shared, candidates)
+    What decides is the title, the root and the neighbourhood of a link, and each such triple meets the title's documents
+    once; those are aggregated with map-side combining, so that a title of very many documents is never gathered.
+    """
     near = F.lit(None).cast("string")
     for place in reversed(NEIGHBOURHOODS):
-        near = F.when(F.contains(from_path, F.lit(place)), F.lit(place)).otherwise(near)
-    matches = F.filter(pool, lambda c: F.coalesce(F.contains(c, near), F.lit(False)))
-    best = F.when(F.size(pool) == 1, F.element_at(pool, 1)).when(F.size(matches) > 0, F.array_min(matches)).otherwise(F.array_min(pool))
-    return F.when(root != "", best)
+        near = F.when(F.contains(F.col(from_col), F.lit(place)), F.lit(place)).otherwise(near)
+    rows = links.where("kind = 'ambiguous'").withColumn("key", F.when(F.col("folded"), F.lower("stem")).otherwise(F.col("stem")))
+    rows = rows.withColumn("root", longest_prefix(F.col(from_col), prefixes)).withColumn("near", near)
+    asked = rows.select("key", "folded", "root", "near").distinct()
+    titles = lambda fold: docs.select((F.lower(F.col(title_col)) if fold else F.col(title_col)).alias("key"), F.lit(fold).alias("folded"), F.col(path_col).alias("candidate"))
+    met = asked.where("root != ''").join(titles(False).unionByName(titles(True)).distinct(), ["key", "folded"])
+    same, close = F.startswith("candidate", F.col("root")), F.coalesce(F.contains("candidate", F.col("near")), F.lit(False))
+    pick = lambda when: F.min(F.when(when, F.col("candidate")))
+    under = [F.count_if(F.startswith("candidate", F.lit(p))).alias(f"p{k}") for k, p in enumerate(prefixes)]
+    best = met.groupBy("key", "folded", "root", "near").agg(F.count(F.lit(1)).alias("n"), pick(same).alias("s"), pick(same & close).alias("sc"), F.min("candidate").alias("a"), pick(close).alias("ac"), *under)
+    shared = F.lit(False)
+    for k in range(len(prefixes)):
+        shared = shared | (F.col(f"p{k}") == F.col("n"))
+    best = best.select(*[F.col(c).alias(f"b_{c}") for c in ("key", "folded", "root", "near")], F.when(F.col("s").isNotNull(), F.coalesce("sc", "s")).when(shared, F.coalesce("ac", "a")).alias("chosen"))
+    on = (F.col("key") == F.col("b_key")) & (F.col("folded") == F.col("b_folded")) & (F.col("root") == F.col("b_root")) & F.col("near").eqNullSafe(F.col("b_near"))
+    return rows.join(best, on, "left").select(*links.columns, "chosen")
 
 
-def link_stats(resolved: DataFrame, docs: DataFrame, from_col: str, path_col: str) -> DataFrame:
-    """Per document: outgoing links by outcome, and incoming ones."""
+def link_stats(resolved: DataFrame, docs: DataFrame, from_col: str, path_col: str, headings: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Per document: outgoing links by outcome, and incoming ones; with (path, heading) rows also links whose heading is
+    missing, with asset links (from_col, file_kind) also links to files."""
     out = resolved.groupBy(F.col(from_col).alias(path_col)).agg(
         F.count_if(F.col("resolved").isNotNull()).alias("out_links"), F.count_if(F.col("kind") == "missing").alias("missing_out"), F.count_if(F.col("kind") == "ambiguous").alias("ambiguous_out")
     )
     into = resolved.where("resolved is not null").groupBy(F.col("resolved").alias(path_col)).agg(F.count(F.lit(1)).alias("in_links"))
-    joined = docs.select(path_col).join(out, path_col, "left").join(into, path_col, "left")
-    return joined.select(path_col, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("out_links", "missing_out", "ambiguous_out", "in_links")])
+    names, joined = ["out_links", "missing_out", "ambiguous_out", "in_links"], docs.select(path_col).join(out, path_col, "left").join(into, path_col, "left")
+    for name, rows in (("heading_missing_out", headings), ("file_links", files)):
+        if rows is not None:
+            mine = resolve_headings(resolved, rows) if name == "heading_missing_out" else rows.where("file_kind != 'missing'")
+            joined = joined.join(mine.groupBy(F.col(from_col).alias(path_col)).agg(F.count(F.lit(1)).alias(name)), path_col, "left")
+            names.append(name)
+    return joined.select(path_col, *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
 
 
 def resolve_headings(links: DataFrame, headings: DataFrame) -> DataFrame:
@@ -205,21 +222,35 @@ def classify_files(current: DataFrame, cached: DataFrame) -> DataFrame:
     return joined.select("path", change.alias("change"))
 
 
+#: Lists of so many terms at most are broadcast; beyond it the join decides by itself.
+BROADCAST_TERMS = 500_000
+
+
 def term_mentions(docs: DataFrame, id_col: str, text: Column, terms: DataFrame, longest: int) -> DataFrame:
     """(id, target, term, mentions) of single- and multi-word (target, term) rows in mention text.
 
-    Runs of up to ``longest`` words are joined with the terms by value, so no document meets every term. Occurrences of
-    a term do not overlap in practice, as a term that repeats itself within its own length is not a name.
+    Words are kept only where a term begins with them, with the words that follow them; runs are then joined with the
+    terms by value, so no document meets every term. Up to BROADCAST_TERMS terms, which are counted first, the texts'
+    words are not shuffled. Occurrences of a term do not overlap in practice, as a term that repeats itself within its own
+    length is not a name.
     """
+    known = terms.select("target", "term").distinct()
+    sizes = known.select("term", F.size(F.split("term", " ")).alias("size"), F.element_at(F.split("term", " "), 1).alias("first"))
+    few = known.count() <= BROADCAST_TERMS
+    hint = F.broadcast if few else (lambda df: df)
     words = docs.select(F.col(id_col), F.split(T.mention_text(F.coalesce(text, F.lit(""))), " ").alias("w"))
-    run, runs = F.col("w"), [F.col("w")]
-    for n in range(2, longest + 1):
-        shorter = F.slice(run, 1, F.greatest(F.size(run) - 1, F.lit(0)))
-        run = F.zip_with(shorter, F.slice("w", n, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))
-        runs.append(run)
-    exploded = words.select(id_col, F.explode(F.concat(*runs)).alias("term"))
-    hits = exploded.join(terms.select("target", "term"), "term")
-    return hits.groupBy(id_col, "target", "term").agg(F.count(F.lit(1)).alias("mentions"))
+    follow = [F.slice("w", n, F.size("w")).alias(f"w{n}") for n in range(2, longest + 1)]
+    zipped = F.arrays_zip(F.col("w").alias("w1"), *follow) if longest > 1 else F.transform("w", lambda x: F.struct(x.alias("w1")))
+    at = words.select(F.col(id_col), F.explode(zipped).alias("z"))  # neighbours beyond the end are null
+    starts = at.where(F.col("z.w1").isNotNull()).join(hint(sizes.groupBy(F.col("first").alias("word")).agg(F.sort_array(F.collect_set("size")).alias("sizes"))), F.col("z.w1") == F.col("word"))
+    run = F.lit(None).cast("string")
+    for n in range(1, longest + 1):
+        whole = F.concat_ws(" ", *[F.col(f"z.w{k}") for k in range(1, n + 1)])
+        run = F.when((F.col("size") == n) & F.col(f"z.w{n}").isNotNull(), whole).otherwise(run)
+    runs = starts.select(F.col(id_col), "z", F.explode("sizes").alias("size")).select(F.col(id_col), run.alias("term"))
+    counted = runs.where("term is not null").groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("mentions"))
+    hits = counted.join(hint(known), "term")
+    return hits.select(id_col, "target", "term", "mentions")
 
 
 def mention_totals(mentions: DataFrame, id_col: str) -> DataFrame:

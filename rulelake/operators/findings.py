@@ -73,6 +73,14 @@ class PredicateResult:
     triggered: DataFrame | None = None
 
 
+class ProviderError(RuntimeError):
+    """What a provider can't do: its scope, the phase and why."""
+
+    def __init__(self, scope_id: str, phase: str, message: str):
+        super().__init__(f"{scope_id} ({phase}): {message}")
+        self.scope_id, self.phase = scope_id, phase
+
+
 class Provider(ABC):
     """A scope: takes snapshots of its subject as fact tables, and evaluates predicates over facts."""
 
@@ -84,17 +92,49 @@ class Provider(ABC):
         """Predicates by name; each takes the facts and parameters."""
 
     def describe(self) -> dict[str, Any]:
-        return {"scope_id": self.scope_id, "version": self.version, "predicates": sorted(self.predicates())}
+        schemas = self.param_schemas()
+        return {"scope_id": self.scope_id, "version": self.version, "predicates": [{"name": n, "params": schemas.get(n)} for n in sorted(self.predicates())]}
 
     def snapshot(self, spark: SparkSession, source: Any) -> DataFrame:
-        raise NotImplementedError(f"{self.scope_id} takes no snapshots")
+        """Facts of what the scope sees."""
+        raise ProviderError(self.scope_id, "snapshot", "snapshot not supported")
+
+    def plan(self, intent: dict[str, Any], inputs: list[DataFrame]) -> dict[str, Any]:
+        """A plan from an intent and earlier snapshots."""
+        raise ProviderError(self.scope_id, "plan", "plan not supported")
+
+    def execute(self, plan_hash: str) -> dict[str, Any]:
+        """Carry out the plan of a digest."""
+        raise ProviderError(self.scope_id, "execute", "execute not supported")
+
+    def verify(self, artifacts: DataFrame) -> DataFrame:
+        """(kind, sha256, ok) of (kind, sha256, content) rows, whose digests are made anew."""
+        return artifacts.select("kind", "sha256", (F.sha2(F.col("content").cast("binary"), 256) == F.col("sha256")).alias("ok"))
 
     def evaluate(self, name: str, facts: DataFrame, params: dict[str, Any]) -> PredicateResult:
         known = self.predicates()
         if name not in known:
-            raise KeyError(f"{self.scope_id} has no predicate {name!r}")
+            raise ProviderError(self.scope_id, "snapshot", f"predicate {name!r} not supported")
+        self.check_params(name, params)
         return known[name](facts, params)
 
+    def param_schemas(self) -> dict[str, dict[str, Any]]:
+        """JSON schemas of predicates' parameters by name; a predicate without one takes any."""
+        return {}
+
+    def check_params(self, name: str, params: dict[str, Any]) -> None:
+        """Hold parameters against their schema: required ones, unknown ones where no more are allowed, and types."""
+        schema = self.param_schemas().get(name)
+        if schema is None:
+            return
+        kinds = {"integer": int, "string": str, "array": (list, tuple), "boolean": bool, "number": (int, float), "object": dict}
+        known = schema.get("properties", {})
+        faults = [f"{p} is missing" for p in schema.get("required", ()) if p not in params]
+        faults += [f"{p} is unknown" for p in params if p not in known and not schema.get("additionalProperties", True)]
+        faults += [f"{p} is no {known[p]['type']}" for p, v in params.items() if p in known and "type" in known[p] and (not isinstance(v, kinds[known[p]["type"]]) or (known[p]["type"] == "integer" and isinstance(v, bool)))]
+        if faults:
+            raise ProviderError(self.scope_id, "snapshot", f"{name}: {', '.join(faults)}")
+
 
 class ProviderRegistry:
     """Providers by scope; a scope is registered once."""

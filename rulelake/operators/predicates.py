@@ -19,6 +19,14 @@ class TextMetrics(Provider):
     def predicates(self):
         return {"lines_exceed": self._over("lines", "max_lines"), "bytes_exceed": self._over("bytes", "max_bytes"), "line_length_exceed": self._over("max_line_len", "max_len"), "marker_present": self._marker}
 
+    def snapshot(self, spark, source: DataFrame) -> DataFrame:
+        """Facts of (path, text) rows."""
+        return file_metrics(source, F.col("path"), F.col("text"))
+
+    def param_schemas(self):
+        one = lambda name: {"type": "object", "properties": {name: {"type": "integer"}}, "required": [name]}
+        return {"lines_exceed": one("max_lines"), "bytes_exceed": one("max_bytes"), "line_length_exceed": one("max_len")}
+
     @staticmethod
     def _over(column: str, parameter: str):
         def run(facts: DataFrame, params: dict[str, Any]) -> PredicateResult:

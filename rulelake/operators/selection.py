@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import canonical
+from ..functions import cbor_columns as CB
 from ..functions import text as T
+from .dag import cut
 
 MOST_ROWS = 100_000
 #: Rows of links or targets that are scored at once.
@@ -151,9 +154,12 @@ def top_warnings(findings: DataFrame, n: int = 5) -> DataFrame:
 
 
 def combined_snapshot_hash(bundles: DataFrame) -> DataFrame:
-    """One digest of the (scope_id, snapshot_hash) rows of a run, which are a handful."""
-    rows = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "scope_id", "snapshot_hash"))), "\n")
-    return bundles.agg(F.sha2(rows, 256).alias("snapshot_hash"))
+    """One digest of the (scope_id, schema_id, snapshot_hash) rows of a run, one per provider scope: that of the canonical
+    CBOR of ``{"inputs": [...]}`` in order of scope."""
+    one = CB.mapping({name: CB.text(F.col(name)) for name in ("scope_id", "schema_id", "snapshot_hash")})
+    rows = F.array_sort(F.collect_list(F.struct("scope_id", one.alias("cbor"))))
+    inputs = F.aggregate(rows, CB.head(4, F.size(rows)), lambda made, row: F.concat(made, row["cbor"]))
+    return bundles.agg(CB.sha256(CB.mapping({"inputs": inputs})).alias("snapshot_hash"))
 
 
 def since_cutoff(raw: str, now: datetime) -> datetime:
@@ -170,13 +176,26 @@ def duration_ms(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MILLISECOND", start, end)
 
 
+def utc_time(value: Column) -> Column:
+    """Whether a string is a UTC time as witnesses have them: a date, ``T``, a time, ``Z``."""
+    return (F.length(value) >= 20) & F.contains(value, F.lit("T")) & F.endswith(value, F.lit("Z"))
+
+
 def delegation_records(requests: DataFrame) -> DataFrame:
-    """Delegations with sorted distinct scopes and an id made from what they say; malformed ones are an error."""
+    """Delegations (delegator, delegate, scopes, issued_at, expires_at, and constraints as JSON where the column is there)
+    with sorted distinct scopes and an id: the digest of the canonical CBOR of what they say. Malformed ones are an error."""
     scopes = F.array_sort(F.array_distinct("scopes"))
-    said = F.concat_ws("|", "delegator", "delegate", F.array_join(scopes, ","), "issued_at", F.coalesce("expires_at", F.lit("")))
-    empty = (F.size("scopes") == 0) | (F.coalesce("delegate", F.lit("")) == "") | (F.coalesce("delegator", F.lit("")) == "")
-    guarded = F.when(empty, F.raise_error(F.lit("a delegation names who, to whom and for which scopes"))).otherwise(F.sha2(said, 256))
-    return requests.select(guarded.alias("record_id"), "delegator", "delegate", F.array_join(scopes, ",").alias("scopes"), "issued_at", "expires_at")
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    no_scope = F.exists(scopes, lambda s: ~F.startswith(s, F.lit("scope:")) | (F.length(s) <= 6))
+    problem = (
+        F.when(blank(F.col("delegator")), "the issuer is empty").when(blank(F.col("delegate")), "the delegate is empty").when(F.coalesce(F.size("scopes"), F.lit(0)) < 1, "there are no scopes")
+        .when(~F.coalesce(utc_time(F.col("issued_at")), F.lit(False)), "issued_at is no UTC time").when(F.col("expires_at").isNotNull() & ~utc_time(F.col("expires_at")), "expires_at is no UTC time")
+        .when(F.col("expires_at") < F.col("issued_at"), "it expires before it is issued").when(no_scope, "a scope id is malformed")
+    )
+    constraints = canonical.cbor_bytes(F.col("constraints")) if "constraints" in requests.columns else F.lit(CB.NULL)
+    said = {"issuer_id": CB.text(F.col("delegator")), "delegate_id": CB.text(F.col("delegate")), "scope_ids": CB.array(scopes), "issued_at_utc": CB.text(F.col("issued_at")), "expires_at_utc": CB.text(F.col("expires_at")), "constraints": constraints}
+    record = F.when(problem.isNotNull(), F.raise_error(problem)).otherwise(CB.sha256(CB.mapping(said)))
+    return requests.select(record.alias("record_id"), "delegator", "delegate", scopes.alias("scopes"), "issued_at", "expires_at")
 
 
 def tracked_records(rows: DataFrame, path_col: str = "path") -> DataFrame:
@@ -187,10 +206,17 @@ def tracked_records(rows: DataFrame, path_col: str = "path") -> DataFrame:
     return checked.drop("n")
 
 
-def lens_update(routes: DataFrame, lens_hash: str, payload_hash: str) -> DataFrame:
-    """Costs of a lens change by bucket and unit, with the hash of the lens that it derives."""
-    derived = F.sha2(F.concat_ws("|", F.lit(lens_hash), F.lit(payload_hash)), 256)
-    return routes.groupBy("bucket", "unit").agg(F.sum("cost").alias("total")).withColumn("derived_hash", derived)
+def derived_lens_hash(from_hash: Column, kind: Column, payload_ref: Column) -> Column:
+    """The hash of the lens that a meta change derives: that of its JSON in order of keys."""
+    said = F.to_json(F.struct(from_hash.alias("from_lens_hash"), kind.alias("kind"), payload_ref.alias("payload_ref")))
+    return F.sha2(said, 256)
+
+
+def lens_update(routes: DataFrame, lens_hash: str, kind: str, payload_ref: str) -> DataFrame:
+    """Costs of a lens change by bucket and unit, with the hash and id of the lens that it derives."""
+    derived = derived_lens_hash(F.lit(lens_hash), F.lit(kind), F.lit(payload_ref))
+    total = routes.groupBy("bucket", "unit").agg(F.sum("cost").alias("total"))
+    return total.withColumn("derived_hash", derived).withColumn("derived_id", F.concat(F.lit("lens:derived:"), F.substring("derived_hash", 1, 12), F.lit("@0")))
 
 
 def list_scopes(scopes: DataFrame, phase: str | None = None, role: str | None = None) -> DataFrame:
@@ -202,7 +228,23 @@ def list_scopes(scopes: DataFrame, phase: str | None = None, role: str | None =
     return rows.orderBy("scope_id")
 
 
-def merge_columns_report(rows: DataFrame, title: str) -> str:
-    """A short result as a markdown table."""
-    head = f"# {title}\n\n| " + " | ".join(rows.columns) + " |\n|" + " --- |" * len(rows.columns) + "\n"
-    return head + "".join("| " + " | ".join("" if v is None else str(v) for v in row) + " |\n" for row in rows.limit(1000).collect())
+def report_lines(rows: DataFrame, title: str, order: list[Column | str]) -> DataFrame:
+    """(place, line) of a result as a markdown table, all its rows in order: write it with ``write.text`` after a sort by
+    place, however long it is."""
+    head = rows.sparkSession.createDataFrame([(-4, f"# {title}"), (-3, ""), (-2, "| " + " | ".join(rows.columns) + " |"), (-1, "|" + " --- |" * len(rows.columns))], "place long, line string")
+    cell = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in rows.columns]), F.lit(" |"))
+    return head.unionByName(numbered(rows.withColumn("line", line), order).select((F.col("place") - 1).alias("place"), "line"))
+
+
+def numbered(rows: DataFrame, order: list[Column | str]) -> DataFrame:
+    """The rows with their place, from 1 on, in an order over all of them: range partitions are numbered by themselves,
+    each after as many as the ones before it hold."""
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    keys = [f"__k{k}" for k in range(len(order))]
+    placed = cut(rows.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
+    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
+    within = placed.withColumn("__within", F.row_number().over(W.partitionBy("__part").orderBy(*keys)))
+    out = within.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn("place", F.col("__before") + F.col("__within"))
+    return out.drop("__part", "__before", "__within", *keys)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import document_queries, graph_queries, rule_queries, selection_queries
+from . import document_queries, graph_queries, rule_queries, selection_queries, source_queries
 
-QUERIES = {**rule_queries.QUERIES, **document_queries.QUERIES, **graph_queries.QUERIES, **selection_queries.QUERIES}
-ORACLE_SQL = {**rule_queries.ORACLE_SQL, **document_queries.ORACLE_SQL, **graph_queries.ORACLE_SQL, **selection_queries.ORACLE_SQL}
+_MODULES = (rule_queries, document_queries, graph_queries, selection_queries, source_queries)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -107,9 +107,9 @@ def missing_targets(spark, sf_dir):
 
 
 def ambiguous_choice(spark, sf_dir):
-    links = _resolved(spark, sf_dir)[0].where("kind = 'ambiguous'").withColumn("from_path", F.lit("docs/x"))
-    chosen = D.choose_ambiguous(F.col("from_path"), F.col("candidate_paths"), ["docs/", "docs/1"])
-    return links.groupBy("target").agg(F.first(chosen).alias("chosen"))
+    links, docs = _resolved(spark, sf_dir)
+    links = links.withColumn("from_path", F.concat(F.lit("docs/"), F.col("page_id") % 20))
+    return D.choose_ambiguous(links, docs, ["docs/", "docs/1"]).select("page_id", "position", "target", "chosen")
 
 
 PREFIXES = ["http://", "https://", "https://blog.", "https://www.", "http://tionsh.example.net/fr/"]
@@ -141,7 +141,7 @@ def _mentions(spark, sf_dir):
 
 
 def term_mentions(spark, sf_dir):
-    return _mentions(spark, sf_dir).groupBy("doc_id", "target", "term").agg(F.sum("mentions").alias("mentions"))
+    return _mentions(spark, sf_dir)
 
 
 def backlinks(spark, sf_dir):
@@ -275,12 +275,14 @@ _MENTION_SQL = r"""
 WITH items AS (
   SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')), ' ') AS w FROM benchmark
 ), terms AS (
-  SELECT DISTINCT * FROM (SELECT item_id AS target, w[1] AS term FROM items UNION ALL SELECT item_id, w[2] || ' ' || w[3] FROM items WHERE len(w) > 3) WHERE regexp_full_match(term, '[a-z0-9_ ]+')
+  SELECT DISTINCT target, trim(regexp_replace(term, '[^a-z0-9_]+', ' ', 'g')) AS term FROM (SELECT item_id AS target, w[1] AS term FROM items UNION ALL SELECT item_id, w[2] || ' ' || w[3] FROM items WHERE len(w) > 3)
+  WHERE regexp_matches(term, '[a-z0-9_]')
+), lengths AS (
+  SELECT DISTINCT len(string_split(term, ' ')) AS n FROM terms
 ), words AS (
   SELECT doc_id, string_split(trim(regexp_replace(lower(regexp_replace(text, '[^A-Za-z0-9_ \n]', ' ', 'g')), '[^a-z0-9_]+', ' ', 'g')), ' ') AS w FROM documents
 ), runs AS (
-  SELECT doc_id, unnest(w) AS term FROM words
-  UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM words)
+  SELECT doc_id, array_to_string(w[i:i + n - 1], ' ') AS term FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, lengths WHERE len(w) >= n)
 ), mentions AS (
   SELECT doc_id, target, term, count(*) AS mentions FROM runs JOIN terms USING (term) GROUP BY ALL
 )
@@ -315,7 +317,7 @@ ORACLE_SQL = {
     "chunk_markdown_headings": f"""
         WITH raw AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         l AS (SELECT doc_id, CASE WHEN t = '' THEN [] ELSE list_transform({_LINES}, lambda x: regexp_replace(x, '\\r$', '')) END AS a FROM raw),
-        e AS (SELECT doc_id, i, len(a) AS n, CASE WHEN (i - 1) % 7 = 0 THEN '# ' || substr(a[i], 1, 12) WHEN (i - 1) % 3 = 0 THEN '## ' || substr(a[i], 1, 12) ELSE a[i] END AS line
+        e AS (SELECT doc_id, i, len(a) AS n, CASE WHEN (i - 1) % 7 = 0 THEN '# ' || a[i] WHEN (i - 1) % 3 = 0 THEN '## ' || a[i] ELSE a[i] END AS line
               FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM l)),
         h AS (SELECT *, CASE WHEN regexp_matches(line, '^\\s*#{{1,6}}[^#]') AND regexp_matches(regexp_replace(line, '^\\s*#+', ''), '\\S') THEN length(regexp_extract(line, '^\\s*(#+)', 1)) END AS level FROM e),
         s AS (SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY i) AS sec, count(*) FILTER (level = 1) OVER (PARTITION BY doc_id ORDER BY i) AS ones FROM h),
@@ -327,7 +329,7 @@ ORACLE_SQL = {
         SELECT doc_id, sha256(t) AS chunk_sha256, sha256(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS normalized_text_sha256, CAST(strlen(t) AS BIGINT) AS byte_len,
                CAST(CASE WHEN t = '' THEN 0 ELSE len({_LINES}) END AS BIGINT) AS line_count FROM raw""",
     "chunk_token_hashes": """
-        SELECT doc_id, sha256(array_to_string(regexp_extract_all(regexp_replace(text, '[^\\x09\\x0A\\x20-\\x7E]', '', 'g'), '[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]'), chr(10))) AS token_sha256 FROM documents""",
+        SELECT doc_id, sha256(array_to_string(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+|[^\\s\\x0B\\x{85}\\p{Z}\\p{L}\\p{M}\\p{N}_]'), chr(10))) AS token_sha256 FROM documents""",
     "duplicate_groups": """
         SELECT sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS normalized_text_sha256, count(*) AS members, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1""",
     "link_extract": """
@@ -341,7 +343,9 @@ ORACLE_SQL = {
     "top_hubs": _STATS_SQL + "SELECT path, in_links FROM stats ORDER BY in_links DESC, path LIMIT 50",
     "unresolved_summary": _VAULT_SQL + "SELECT kind, count(*) AS n FROM resolved WHERE resolved IS NULL GROUP BY kind",
     "missing_targets": _VAULT_SQL + "SELECT target, count(*) AS n FROM resolved WHERE kind = 'missing' GROUP BY target ORDER BY n DESC, target LIMIT 50",
-    "ambiguous_choice": _VAULT_SQL + "SELECT DISTINCT target, list_min(c) AS chosen FROM resolved WHERE kind = 'ambiguous'",
+    "ambiguous_choice": _VAULT_SQL + """
+        SELECT page_id, position, target, CASE WHEN starts_with(CAST(page_id % 20 AS VARCHAR), '1') THEN coalesce(list_min(list_filter(c, lambda x: starts_with(x, 'docs/1'))), list_min(c)) ELSE list_min(c) END AS chosen
+        FROM resolved WHERE kind = 'ambiguous'""",
     "vault_prefix_longest": f"""
         WITH p AS (SELECT unnest({PREFIXES}) AS p), m AS (SELECT page_id, p FROM pages LEFT JOIN p ON starts_with(url, p))
         SELECT page_id, coalesce(arg_max(p, length(p)), '') AS prefix FROM m GROUP BY page_id""",

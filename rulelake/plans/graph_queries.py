@@ -188,9 +188,14 @@ def retry_backoff(spark, sf_dir):
 
 
 def json_select_path(spark, sf_dir):
-    props = F.parse_json("props")
-    found = table(spark, sf_dir, "events").select("event_id", F.try_variant_get(props, "$.k", "bigint").alias("k"), F.try_variant_get(props, "$.none", "bigint").alias("none"))
-    return found
+    """A key, an item of a list, and paths that select nothing, with code and segment of the fault."""
+    events = table(spark, sf_dir, "events")
+    said = F.concat(F.lit('{"props":'), "props", F.lit(',"list":[{"a b":'), "event_id", F.lit("}]}"))
+    out = events.select("event_id", said.alias("j"))
+    for name, path in (("k", ".props.k"), ("item", '.list[0]["a b"]'), ("missing", ".props.none"), ("past", ".list[1]"), ("kind", ".props[0]"), ("bad", ".list[x]")):
+        out = out.withColumn(name, canonical.selected("j", path))
+    faults = ("missing", "past", "kind", "bad")
+    return out.select("event_id", F.col("k.value").alias("k"), F.col("item.value").alias("item"), *[F.concat_ws(":", f"{c}.error", f"{c}.segment").alias(c) for c in faults])
 
 
 def exact_calc(spark, sf_dir):
@@ -311,7 +316,7 @@ ORACLE_SQL = {
     "run_scoped_ids": "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN sha256('run' || c_nationkey || '|' || sha256(c_name)) ELSE sha256(c_name) END AS id FROM customer",
     "batch_hashes": "SELECT c_custkey % 16 AS batch, count(*) AS items, sha256('nodes|run-1|' || string_agg(CAST(c_custkey AS VARCHAR), '' ORDER BY CAST(c_custkey AS VARCHAR))) AS batch_hash FROM customer GROUP BY 1",
     "retry_backoff": "SELECT r_regionkey, CAST(CASE WHEN r_regionkey = 0 THEN 0 ELSE least(5000, 100 * pow(2, r_regionkey * 2 - 1)) END AS BIGINT) AS delay_ms FROM region",
-    "json_select_path": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, TRY_CAST(json_extract_string(props, '$.none') AS BIGINT) AS none FROM events",
+    "json_select_path": "SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, CAST(event_id AS VARCHAR) AS item, 'missing_key:1' AS missing, 'index_out_of_range:1' AS past, 'type_mismatch:1' AS kind, 'invalid_path:1' AS bad FROM events",
     "exact_calc": """
         WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 3 + l_linenumber * 2 AS n FROM lineitem)
         SELECT l_orderkey, l_linenumber, n // gcd(n, 12) AS num, 12 // gcd(n, 12) AS den, n > 60 AS over FROM x""",

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.dag import cut
+
 RUN = "projection_run_id"
 
 
@@ -48,9 +50,9 @@ class ProjectionStore:
 
 
 def latest_rows(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """One row per key, the last in order."""
-    place = W.partitionBy(*keys).orderBy(order.desc())
-    return rows.withColumn("__place", F.row_number().over(place)).where("__place = 1").drop("__place")
+    """One row per key, the last in order: partial maxima before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("last")).select(*[F.col(c) if c in keys else F.col(f"last.{c}") for c in rows.columns])
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,11 +82,59 @@ def batch_digests(rows: DataFrame, phase: str, run: Column, batch: str, item: st
     return rows.groupBy(batch).agg(F.count(F.lit(1)).alias("items"), digest.alias("batch_hash"))
 
 
-def merge_retry(original: dict, retried_ok: int, still_failed: list, duration_ms: int) -> dict:
-    """A phase's result after a retry of its failed batches."""
-    ok = original["ok"] + retried_ok
-    status = "ok" if not still_failed else "failed" if not ok else "partial"
-    return original | {"ok": ok, "failed_batches": list(still_failed), "status": status, "duration_ms": original["duration_ms"] + duration_ms}
+def accumulate_batches(rows: DataFrame, key: str, order: str, payload: str, most_items: int, most_bytes: int) -> DataFrame:
+    """The rows with the number of their batch within their key, from 0 on. In order, a batch is closed once it holds
+    ``most_items`` rows or ``most_bytes`` bytes of payload. Rows of a key stream through one task, which holds two counters."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def number(batches):
+        import pyarrow as pa
+
+        now, batch, items, size = None, 0, 0, 0
+        for rows_ in batches:
+            made = []
+            for value, raw in zip(rows_.column(key), rows_.column(payload), strict=True):
+                if value != now:
+                    now, batch, items, size = value, 0, 0, 0
+                elif items >= most_items or size >= most_bytes:
+                    batch, items, size = batch + 1, 0, 0
+                items, size = items + 1, size + (len((raw.as_py() or "").encode()) if isinstance(raw.as_py(), str) else len(raw.as_py() or b""))
+                made.append(batch)
+            yield pa.RecordBatch.from_arrays([*rows_.columns, pa.array(made, pa.int64())], [*rows_.schema.names, "batch"])
+
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(number, f"{kinds}, batch long")
+
+
+def phase_results(batches: DataFrame) -> DataFrame:
+    """(phase, total, successful, failed, status) of (phase, batch, ok) rows: complete, partial or failed."""
+    counted = batches.groupBy("phase").agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("successful"), F.count_if(~F.col("ok")).alias("failed"))
+    return counted.withColumn("status", F.when(F.col("failed") == 0, "complete").when(F.col("successful") == 0, "failed").otherwise("partial"))
+
+
+def retry_failed(batches: DataFrame, attempt: Callable[[DataFrame, int], DataFrame], *, most_attempts: int = 3, first: int = 100, factor: float = 2.0, most: int = 5000) -> DataFrame:
+    """Batches (phase, batch, ok, and whatever ``attempt`` needs) after retries of those that failed: (phase, batch, ok,
+    attempts, waited_ms).
+
+    A round hands all failed batches to ``attempt(batches, number)``, which gives (phase, batch, ok) back; each round waits
+    longer than the one before, up to ``most``. What has gone well is never tried again.
+    """
+    state = cut(batches.select("phase", "batch", "ok", F.lit(1).alias("attempts"), F.lit(0).cast("long").alias("waited_ms")))
+    for number in range(2, most_attempts + 1):
+        left = batches.join(state.where("not ok").select("phase", "batch"), ["phase", "batch"], "left_semi")
+        if not left.limit(1).count():
+            break
+        delay = int(min(most, first * factor ** (number - 2)))
+        tried = cut(attempt(left, number).select("phase", "batch", F.col("ok").alias("now_ok")))
+        joined = state.join(tried, ["phase", "batch"], "left")
+        again = F.col("now_ok").isNotNull()
+        state = cut(joined.select("phase", "batch", F.coalesce("now_ok", "ok").alias("ok"), F.when(again, F.lit(number)).otherwise(F.col("attempts")).alias("attempts"), (F.col("waited_ms") + F.when(again, F.lit(delay)).otherwise(F.lit(0))).alias("waited_ms")))
+    return state
+
+
+def identical_run(runs: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """For each wanted (keys) row the newest complete run with the same keys, and whether the run can be skipped."""
+    found = latest_complete_run(runs, keys)
+    return wanted.join(found, keys, "left").withColumn("skip", F.col("run_id").isNotNull())
 
 
 class SavedQueries:

@@ -208,8 +208,8 @@ def protected_branch_flow(spark, sf_dir):
 
 
 def required_path_missing(spark, sf_dir):
-    required = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"))
-    return P.missing_paths(required, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path")))
+    required = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"))
+    return P.missing_paths(required, table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("path")))
 
 
 def commit_lww(spark, sf_dir):
@@ -223,10 +223,15 @@ def meta_conflicts(spark, sf_dir):
 
 
 def commit_predicates(spark, sf_dir):
-    """has_commit, commit_equals and commit_cmp of each order against its items' total quantity."""
+    """has_commit and commit_equals of each order against its items' total quantity, and commit_cmp of those that have one."""
     commits = table(spark, sf_dir, "lineitem").where("l_linenumber > 1").groupBy(F.col("l_orderkey").alias("diff")).agg(F.sum("l_quantity").alias("value"))
-    targets = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("diff"), F.lit(50.0).alias("target"))
-    return D.commit_tests(targets, commits)
+    commits = commits.select("diff", F.lit("quantity").alias("kind"), "value", F.lit("items").alias("unit"))
+    targets = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("diff"), F.lit("quantity").alias("target_kind"), F.lit(50.0).alias("target"), F.lit("items").alias("target_unit"))
+    out = D.has_commit(targets, commits).join(D.commit_equals(targets, commits).withColumnRenamed("equal", "commit_equals"), "diff")
+    there = targets.join(commits.select("diff"), "diff", "left_semi")
+    for name, op, strict in (("commit_gt", "gt", False), ("commit_gte", "gte", False), ("commit_gte_strict", "gte", True), ("commit_lte_strict", "lte", True)):
+        out = out.join(D.commit_cmp(there, commits, op, strict).withColumnRenamed("holds", name), "diff", "left")
+    return out
 
 
 def severity_window(spark, sf_dir):
@@ -336,12 +341,12 @@ ORACLE_SQL = {
         j AS (SELECT doc_id AS path, coalesce(CASE WHEN quality = 1 THEN toxic END, 0) AS line FROM labels)
         SELECT path, line FROM m WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.path = m.path AND j.line = m.line)""",
     "protected_branch_flow": "SELECT o_orderkey AS number, o_orderpriority || '/x' AS head FROM orders WHERE o_orderstatus = 'F' AND NOT (o_orderpriority || '/x' LIKE '1-%' OR o_orderpriority || '/x' LIKE '_-HIGH/%')",
-    "required_path_missing": "SELECT c_custkey AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "required_path_missing": "SELECT p_partkey AS path FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)",
     "commit_lww": "SELECT user_id, event_type, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "meta_conflicts": """
         WITH t AS (SELECT user_id AS id, event_type AS key, CAST(floor(value) AS BIGINT) AS v, lag(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS was FROM events)
         SELECT id, key, count(*) AS conflicts FROM t WHERE was IS NOT NULL AND v <> was GROUP BY ALL""",
     "commit_predicates": """
         WITH c AS (SELECT l_orderkey AS diff, sum(l_quantity) AS v FROM lineitem WHERE l_linenumber > 1 GROUP BY 1)
-        SELECT o_orderkey AS diff, v IS NOT NULL AS has_commit, coalesce(v = 50, false) AS commit_equals, v > 50 AS commit_gt, v >= 50 AS commit_gte FROM orders LEFT JOIN c ON diff = o_orderkey""",
+        SELECT o_orderkey AS diff, v IS NOT NULL AS has_commit, coalesce(v = 50, false) AS commit_equals, v > 50 AS commit_gt, v >= 50 AS commit_gte, v > 50 AS commit_gte_strict, v < 50 AS commit_lte_strict FROM orders LEFT JOIN c ON diff = o_orderkey""",
 }

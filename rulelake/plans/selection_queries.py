@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import documents as D
 from ..operators import selection as S
 from ..session import table
+from . import cbor_sql as C
 
 
 def select_doc_files(spark, sf_dir):
@@ -61,7 +62,7 @@ def ci_top_warnings(spark, sf_dir):
 
 
 def ci_snapshot_hash(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("scope_id"), F.sha2(F.col("n_regionkey").cast("string"), 256).alias("snapshot_hash"))
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("scope:"), "n_name").alias("scope_id"), F.concat(F.lit("facts-bundle/"), "n_regionkey").alias("schema_id"), F.sha2("n_name", 256).alias("snapshot_hash"))
     return S.combined_snapshot_hash(rows)
 
 
@@ -72,13 +73,16 @@ def run_duration(spark, sf_dir):
 
 def delegation_issue(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    rows = orders.select(F.col("o_custkey").cast("string").alias("delegator"), F.col("o_orderkey").cast("string").alias("delegate"), F.array("o_orderpriority", F.lit("base"), F.lit("base")).alias("scopes"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("issued_at"), F.lit(None).cast("string").alias("expires_at"))
-    return S.delegation_records(rows).select("record_id", "delegate", "scopes")
+    scopes = F.array(F.concat(F.lit("scope:"), "o_orderpriority"), F.lit("scope:base"), F.lit("scope:base"))
+    day = lambda d: F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T00:00:00Z"))
+    expires = F.when(F.col("o_orderkey") % 3 == 0, day(F.date_add("o_orderdate", 30)))
+    rows = orders.select(F.concat(F.lit("é"), "o_custkey").alias("delegator"), F.col("o_orderkey").cast("string").alias("delegate"), scopes.alias("scopes"), day("o_orderdate").alias("issued_at"), expires.alias("expires_at"))
+    return S.delegation_records(rows).select("record_id", "delegate", F.array_join("scopes", ",").alias("scopes"))
 
 
 def lens_update_costs(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("bucket"), F.lit("usd").alias("unit"), F.col("l_quantity").alias("cost"))
-    return S.lens_update(rows, "lens", "payload").withColumn("total", F.round("total", 2))
+    return S.lens_update(rows, "a1b2", "interpretation", 'payload:"1"').withColumn("total", F.round("total", 2))
 
 
 def scope_listing(spark, sf_dir):
@@ -133,15 +137,14 @@ ORACLE_SQL = {
     "select_doc_files": "SELECT source || '/' || doc_id AS path, lang FROM documents WHERE starts_with(source || '/' || doc_id, 'src1') OR starts_with(source || '/' || doc_id, 'src20/')",
     "select_unresolved_links": """
         SELECT 'u' || user_id AS from_path, event_id AS line, event_type AS target FROM events
-        WHERE (starts_with('u' || user_id, 'u1') OR starts_with('u' || user_id, 'u22')) AND value > 50 AND event_id % 9 <> 0 AND event_id % 3 = 1 ORDER BY 1, 2, 3 LIMIT 500""",
+        WHERE (starts_with('u' || user_id, 'u1') OR starts_with('u' || user_id, 'u22')) AND value > 50 AND event_id % 9 <> 0""",
     "effective_vault_prefixes": "SELECT 'set' AS kind, CASE WHEN bool_or(starts_with(url, 'http://')) THEN 'http://,zzz/' ELSE '' END AS prefixes FROM pages UNION ALL SELECT 'unset', ''",
     "title_search": f"""
-        WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 1), s AS (SELECT 't' || label || '/' || vec_id AS path, {_COSINE.format("embedding", "q")} AS s FROM embeddings, q WHERE vec_id % 2 = 0)
+        WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 1), s AS (SELECT 't' || label || '/' || vec_id AS path, {_COSINE.format("embedding", "q")} AS s FROM embeddings, q)
         SELECT path, round(s, 6) AS similarity FROM s ORDER BY s DESC, path LIMIT 15""",
     "unresolved_suggestions": f"""
-        WITH e AS (SELECT *, label || array_to_string(list_transform(embedding[3:6], lambda v: CASE WHEN v > 0 THEN '+' ELSE '-' END), '') AS block FROM embeddings),
-        l AS (SELECT * FROM e WHERE embedding[1] > 0), t AS (SELECT * FROM e WHERE embedding[1] <= 0),
-        s AS (SELECT l.vec_id, 'd' || t.vec_id AS candidate, {_COSINE.format("l.embedding", "t.embedding")} AS s FROM l JOIN t ON t.block = l.block WHERE l.embedding[2] <= 0)
+        WITH l AS (SELECT * FROM embeddings WHERE embedding[1] > 0), t AS (SELECT * FROM embeddings WHERE embedding[1] <= 0),
+        s AS (SELECT l.vec_id, 'd' || t.vec_id AS candidate, {_COSINE.format("l.embedding", "t.embedding")} AS s FROM l LEFT JOIN t ON t.label = l.label WHERE l.embedding[2] <= 0)
         SELECT vec_id, candidate, round(s, 6) AS similarity FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, candidate) = 1)
         UNION ALL SELECT vec_id, 'kept' || vec_id, 1.0 FROM l WHERE embedding[2] > 0""",
     "ingest_coverage": """
@@ -151,12 +154,19 @@ ORACLE_SQL = {
         WITH f AS (SELECT l_returnflag AS c, CAST(l_orderkey AS VARCHAR) AS file, l_linenumber AS line FROM lineitem WHERE l_discount > 0.05::DOUBLE)
         SELECT c AS constraint_id, count(*) AS n, min(file) AS file, arg_min(line, (file, line)) AS line, 0 AS col FROM f GROUP BY c""",
     "ci_top_warnings": "SELECT p_brand AS rule_id, count(*) AS n FROM part WHERE p_size > 10 GROUP BY 1 ORDER BY n DESC, rule_id LIMIT 5",
-    "ci_snapshot_hash": "SELECT sha256(string_agg(r, chr(10) ORDER BY r)) AS snapshot_hash FROM (SELECT n_name || '=' || sha256(CAST(n_regionkey AS VARCHAR)) AS r FROM nation)",
+    "ci_snapshot_hash": f"""
+        WITH r AS (SELECT 'scope:' || n_name AS scope, {C.mapping({"scope_id": C.text("'scope:' || n_name"), "schema_id": C.text("'facts-bundle/' || n_regionkey"), "snapshot_hash": C.text("sha256(n_name)")})} AS h FROM nation),
+        a AS (SELECT count(*) AS n, string_agg(h, '' ORDER BY scope) AS h FROM r)
+        SELECT {C.sha256(C.mapping({"inputs": f"({C.head(4, 'n')} || h)"}))} AS snapshot_hash FROM a""",
     "run_duration": "SELECT user_id, CAST((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS BIGINT) AS duration_ms FROM events GROUP BY user_id",
-    "delegation_issue": """
-        WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS a, CAST(o_orderkey AS VARCHAR) AS delegate, array_to_string(list_sort(list_distinct([o_orderpriority, 'base'])), ',') AS scopes, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)
-        SELECT sha256(a || '|' || delegate || '|' || scopes || '|' || day || '|') AS record_id, delegate, scopes FROM r""",
-    "lens_update_costs": "SELECT l_returnflag AS bucket, 'usd' AS unit, round(sum(l_quantity), 2) AS total, sha256('lens|payload') AS derived_hash FROM lineitem GROUP BY 1",
+    "delegation_issue": f"""
+        WITH r AS (SELECT 'é' || o_custkey AS a, CAST(o_orderkey AS VARCHAR) AS delegate, list_sort(['scope:' || o_orderpriority, 'scope:base']) AS scopes, strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z' AS day,
+                          CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') || 'T00:00:00Z' END AS until FROM orders)
+        SELECT {C.sha256(C.mapping({"issuer_id": C.text("a"), "delegate_id": C.text("delegate"), "scope_ids": "'82' || " + C.text("scopes[1]") + " || " + C.text("scopes[2]"), "issued_at_utc": C.text("day"), "expires_at_utc": C.text("until"), "constraints": "'f6'"}))} AS record_id,
+               delegate, array_to_string(scopes, ',') AS scopes FROM r""",
+    "lens_update_costs": """
+        WITH h AS (SELECT sha256('{"from_lens_hash":"a1b2","kind":"interpretation","payload_ref":"payload:\\"1\\""}') AS derived_hash)
+        SELECT l_returnflag AS bucket, 'usd' AS unit, round(sum(l_quantity), 2) AS total, derived_hash, 'lens:derived:' || derived_hash[1:12] || '@0' AS derived_id FROM lineitem, h GROUP BY ALL""",
     "scope_listing": "SELECT 'scope:s' || s_suppkey AS scope_id, 'LIVE' AS phase, 'Source' AS role FROM supplier WHERE s_suppkey % 2 <> 0 AND s_nationkey > 10",
     "incremental_file_changes": """
         SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'added' WHEN o_orderstatus = 'O' THEN 'removed' WHEN o_totalprice > 200000 THEN 'changed' ELSE 'unchanged' END AS change, count(*) AS n

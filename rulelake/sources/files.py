@@ -7,14 +7,15 @@ import json
 import re
 import tomllib
 from typing import Any
-from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.canonical import canonical_json, decode_cbor, encode_cbor
+from ..functions.canonical import canonical_json, decode_cbor, encode_cbor, json_sha256
+from ..operators.dag import cut
 
 # Folders that are never walked into (fixed values); a name that ends with * stands for all that begin so.
 SKIPPED_DIRS = (".git", "target", "out", "node_modules", ".venv", ".mypy_cache", "logs", "surrealdb*")
@@ -24,19 +25,55 @@ def walk(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), with_cont
     """(path, size, mtime, content) of the files under a folder, without skipped folders and ignored paths.
 
     Paths are relative. Spark lists and reads the files, so any file system works and contents stay on the executors;
-    without content only the listing is used.
+    without content only the listing is used. The reader gives no rows for files without bytes; those are listed by the
+    executors, a folder per row, level by level, so that no listing goes through the driver.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    # The reader gives no rows for files without bytes, but lists them.
-    listed = spark.createDataFrame([(unquote(uri),) for uri in files.inputFiles()], "path string")
     plain = lambda df: df.withColumn("path", F.regexp_replace("path", r"^\w+:/*", "/"))
-    empty = plain(listed).join(plain(files.select("path")), "path", "left_anti")
-    files = plain(files).unionByName(empty.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
+    empty = plain(empty_files(spark, root))
+    files = plain(files.select("path", "modificationTime", "length", "content")).unionByName(empty.select("path", "modificationTime", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
     base = re.sub(r"^\w+:/*", "/", root.rstrip("/")) + "/"
     path = F.regexp_replace("path", "^" + re.escape(base), "")
     out = files.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), *(["content"] if with_content else []))
+    return kept_paths(out, ignore)
+
+
+def empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, modificationTime) of the files without bytes under a folder, from listings that executors make."""
+    from pyarrow import fs
+
+    def opened(uri: str):
+        return fs.FileSystem.from_uri(uri) if re.match(r"\w+:/", uri) else (fs.LocalFileSystem(), uri)
+
+    def listed(batches):
+        for batch in batches:
+            rows = []
+            for uri in batch.column(0).to_pylist():
+                system, path = opened(uri)
+                prefix = uri[: len(uri) - len(path)] if uri.endswith(path) else ""
+                for info in system.get_file_info(fs.FileSelector(path)):
+                    folder = info.type == fs.FileType.Directory
+                    if folder or (info.type == fs.FileType.File and not info.size):
+                        rows.append((prefix + info.path, folder, info.mtime))
+            columns = list(zip(*rows, strict=True)) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.timestamp("us", "UTC"))], ["path", "folder", "modificationTime"])
+
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(root)
+    front = spark.createDataFrame([(jvm.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jvm).toString().replace("file:/", "/", 1).replace("//", "/", 1) if root.startswith(("/", "file:")) else root,)], "path string")
+    found = None
+    while True:
+        level = cut(front.repartition(max(1, min(front.count(), 10_000))).mapInArrow(listed, "path string, folder boolean, modificationTime timestamp"))
+        empty = level.where("not folder").select("path", "modificationTime")
+        found = empty if found is None else found.unionByName(empty)
+        front = level.where("folder").select("path")
+        if not front.limit(1).count():
+            return found
+
+
+def kept_paths(files: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose relative path lies in no skipped folder and is not ignored."""
     skipped = "|".join(re.escape(d[:-1]) + "[^/]*" if d.endswith("*") else re.escape(d) for d in SKIPPED_DIRS)
-    out = out.where(~F.col("path").rlike(rf"(^|/)({skipped})/"))
+    out = files.where(~F.col("path").rlike(rf"(^|/)({skipped})/"))
     for pattern in ignore:
         out = out.where(~F.col("path").rlike(ignore_regex(pattern)))
     return out
@@ -61,12 +98,12 @@ def directory_snapshot(files: DataFrame) -> DataFrame:
 
 
 def snapshot_hash(snapshot: DataFrame) -> DataFrame:
-    """One digest of a snapshot, whatever the order of its rows: that of the sorted digests of (path, sha256).
-
-    The digests are 64 characters a file, gathered in one place; for very many files hash per folder first.
-    """
+    """One digest of a snapshot, whatever the order of its rows, and the number of files: rows are digested, then all
+    digests that begin with the same three hexadecimal digits in order, then those 4,096 at most."""
     row = F.sha2(F.concat_ws("\0", "path", "sha256"), 256)
-    return snapshot.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ""), 256).alias("snapshot_hash"), F.count(F.lit(1)).alias("files"))
+    buckets = snapshot.select(row.alias("digest")).groupBy(F.substring("digest", 1, 3).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256).alias("digest"), F.count(F.lit(1)).alias("files"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda b: b["digest"])
+    return buckets.agg(F.sha2(F.array_join(ordered, ""), 256).alias("snapshot_hash"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"))
 
 
 def file_texts(files: DataFrame) -> DataFrame:
@@ -207,14 +244,43 @@ def notes(texts: DataFrame) -> DataFrame:
     return _by_file(texts.where(F.endswith("path", F.lit(".md"))), parse_note, NOTE)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, raw) of text files, lines counted from 1 within each file.
+
+    Files are read in splits. A split's lines are numbered by themselves, and each split begins after as many lines as the
+    splits before it in its file hold, of which there is one row per split.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    counts = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    within = rows.withColumn("place", F.row_number().over(W.partitionBy("file", "block").orderBy("at")))
+    return within.join(F.broadcast(before.select("file", "block", "before")), ["file", "block"]).select("file", (F.col("before") + F.col("place")).alias("line"), F.col("value").alias("raw"))
+
+
+def projected_frontmatter(texts: DataFrame) -> DataFrame:
+    """(path, fm_title, fm_role, fm_type, fm_canonical, has_frontmatter) of (path, text) rows, by expressions over the block
+    alone: single-line values without their quotes, and booleans that are written as such."""
+    block = F.regexp_extract("text", r"(?s)\A\ufeff?---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)", 1)
+    value = lambda key: F.regexp_replace(F.trim(F.regexp_extract("block", rf"(?m)^{key}[ \t]*:[ \t]*(.*?)[ \t]*$", 1)), "^[\"'](.*)[\"']$", "$1")
+    field = lambda key: F.when(value(key) != "", value(key))
+    rows = texts.select("path", block.alias("block"))
+    return rows.select("path", field("title").alias("fm_title"), field("role").alias("fm_role"), field("type").alias("fm_type"), F.when(value("canonical") == "true", True).when(value("canonical") == "false", False).alias("fm_canonical"), (F.col("block") != "").alias("has_frontmatter"))
+
+
+def bundle_digests(texts: DataFrame) -> DataFrame:
+    """The (text, sidecar) rows with the digest of the text's canonical JSON, and whether the sidecar, where there is one,
+    begins with it."""
+    made = texts.withColumn("sha256", json_sha256(F.col("text")))
+    return made.withColumn("sidecar_ok", F.element_at(F.split("sidecar", r"\s+"), 1) == F.col("sha256"))
+
+
 def ledger_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Events of a JSON-lines ledger: (line, event_id, event_type, timestamp, payload, raw). Blank lines count but hold
-    none; a line that is no JSON has no payload. A ledger is one file, read in order as one split."""
-    lines = spark.read.text(path, wholetext=True)
-    rows = lines.select(F.posexplode(F.split("value", "\n")).alias("k", "raw")).where(F.col("raw").rlike(r"\S"))
+    """Events of a JSON-lines ledger, which is one file: (line, event_id, event_type, timestamp, payload, raw). Blank lines
+    count but hold none; a line that is no JSON has no payload."""
+    rows = numbered_lines(spark, path).where(F.col("raw").rlike(r"\S"))
     payload = F.try_parse_json("raw")
     get = lambda key: F.try_variant_get(payload, f"$.{key}", "string")
-    return rows.select((F.col("k") + 1).alias("line"), get("event_id").alias("event_id"), get("event_type").alias("event_type"), get("timestamp").alias("timestamp"), payload.alias("payload"), "raw")
+    return rows.select("line", get("event_id").alias("event_id"), get("event_type").alias("event_type"), get("timestamp").alias("timestamp"), payload.alias("payload"), "raw")
 
 
 def load_bundle(text: str, sidecar: str | None = None) -> tuple[dict, str]:
@@ -268,6 +334,13 @@ class ArtifactStore:
         return self.listing().where(F.startswith("sha256", F.lit(prefix)) & (F.col("extension") == "cbor"))
 
 
+def observations(texts: DataFrame, patterns: dict[str, str], ignore_case: bool = True) -> DataFrame:
+    """(diff, path, line, col) of every occurrence of patterns in (path, text) rows."""
+    found = F.array(*[F.struct(F.lit(d).alias("diff"), T.observed_places(F.col("text"), p, ignore_case).alias("places")) for d, p in sorted(patterns.items())])
+    rows = texts.select("path", F.explode(found).alias("o")).select("path", "o.diff", F.explode("o.places").alias("at"))
+    return rows.select("diff", "path", "at.line", "at.col")
+
+
 def observe(texts: DataFrame, patterns: dict[str, str], ignore_case: bool = True) -> DataFrame:
     """(diff, value, unit, first_path) of patterns counted over (path, text) rows."""
     counted = texts.select("path", F.explode(F.array(*[F.struct(F.lit(d).alias("diff"), T.observed(F.col("text"), p, ignore_case).alias("n")) for d, p in sorted(patterns.items())])).alias("o"))

@@ -117,31 +117,31 @@ WITNESS_FIELDS = (
 )
 
 
-def rust_lints(texts: DataFrame, adapters: tuple[str, ...] = (), protected: str = r"(^|/)(core|engine)/") -> DataFrame:
+def rust_lints(texts: DataFrame, adapters: tuple[str, ...] = (), protected: str = r"(^|/)(core|engine)/", store_paths: str = "projection|store", engine_paths: str = "engine|witness|plan", run_field: str = "projection_run_id") -> DataFrame:
     """Findings of six rules over (path, text) rows: deletes outside vacuum code, writes without a run id, sources of
     nondeterminism in engine code, records that do not describe themselves, batch hashes that depend on an index, and
-    references of protected code to adapters."""
+    references of protected code to adapters. Which paths are code of stores, engines and protected parts, and the field
+    that names a run, are parameters."""
     low = F.lower("path")
-    stores = low.rlike("projection|surreal")
-    engine = low.rlike("engine|court|witness|plan")
+    stores, engine = low.rlike(store_paths), low.rlike(engine_paths)
     rows = texts.select("path", "text", F.posexplode(T.lines(F.coalesce("text", F.lit("")))).alias("k", "code")).withColumn("low", F.lower("code"))
     quoted, comment = F.col("code").rlike("[\"']"), F.col("low").rlike(r"^\s*(//|\*|/\*)")
     hit = lambda rule, on, said: F.when(on, F.struct(F.lit(rule).alias("rule"), F.lit(said).alias("said")))
     checks = [
-        hit("IR-RS-02", stores & ~low.contains("vacuum") & F.col("low").contains("delete ") & quoted & ~F.col("low").rlike("vacuum|justif"), "DELETE detected outside explicit vacuum path"),
-        hit("IR-RS-04", engine & F.col("low").rlike(r"hashmap<|std::collections::hashmap"), "HashMap usage in engine context may introduce nondeterministic order"),
-        hit("IR-RS-04", engine & F.col("low").rlike(r"rand::|thread_rng\("), "randomness used in engine context"),
-        hit("IR-RS-04", engine & F.col("low").rlike(r"utc::now\("), "time source used in engine context"),
-        hit("IR-RS-08", stores & F.col("low").rlike("batch_hash.*[=:]|[=:].*batch_hash") & F.col("low").rlike("batch_index|batch_idx|batch.*index|index.*batch"), "batch_hash appears to depend on batch index"),
+        hit("IR-RS-02", stores & ~low.contains("vacuum") & F.col("low").contains("delete ") & quoted & ~F.col("low").rlike("vacuum|justif"), "rows are deleted outside a vacuum"),
+        hit("IR-RS-04", engine & F.col("low").rlike(r"hashmap<|std::collections::hashmap"), "a hash map's order may reach an engine's output"),
+        hit("IR-RS-04", engine & F.col("low").rlike(r"rand::|thread_rng\("), "an engine draws random numbers"),
+        hit("IR-RS-04", engine & F.col("low").rlike(r"utc::now\("), "an engine reads the clock"),
+        hit("IR-RS-08", stores & F.col("low").rlike("batch_hash.*[=:]|[=:].*batch_hash") & F.col("low").rlike("batch_index|batch_idx|batch.*index|index.*batch"), "a batch's hash depends on its number"),
     ]
     if adapters:
-        checks.append(hit("IR-RS-13", low.rlike(protected) & ~comment & F.col("low").rlike("|".join(rf"\b{a.lower()}\b" for a in adapters)), "adapter coupling in protected module"))
+        checks.append(hit("IR-RS-13", low.rlike(protected) & ~comment & F.col("low").rlike("|".join(rf"\b{a.lower()}\b" for a in adapters)), "protected code refers to an adapter"))
     by_line = rows.select("path", (F.col("k") + 1).alias("line"), F.explode(F.filter(F.array(*checks), lambda c: c.isNotNull())).alias("f"))
-    writes = rows.where(stores & ~comment & quoted & F.col("low").rlike("(insert|update|create|relate|upsert) ") & ~F.lower("text").contains("projection_run_id"))
-    by_file = writes.select("path").distinct().select("path", F.lit(None).cast("int").alias("line"), F.struct(F.lit("IR-RS-03").alias("rule"), F.lit("projection write path missing projection_run_id attribution").alias("said")).alias("f"))
+    writes = rows.where(stores & ~comment & quoted & F.col("low").rlike("(insert|update|create|relate|upsert) ") & ~F.lower("text").contains(run_field))
+    by_file = writes.select("path").distinct().select("path", F.lit(None).cast("int").alias("line"), F.struct(F.lit("IR-RS-03").alias("rule"), F.lit(f"rows are written without {run_field}").alias("said")).alias("f"))
     structs = texts.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)(struct\s+\w+Witness\b[^;{]*\{[^}]*\})"), F.lit(1))).alias("body")).where(F.col("body").rlike(r"\w+\s*:"))
     lacking = F.filter(F.array(*[F.when(~F.col("body").rlike(p), n) for n, p in WITNESS_FIELDS]), lambda n: n.isNotNull())
-    said = F.concat(F.regexp_extract("body", r"struct\s+(\w+)", 1), F.lit(" missing required witness fields: "), F.array_join(lacking, ", "))
+    said = F.concat(F.regexp_extract("body", r"struct\s+(\w+)", 1), F.lit(" does not say: "), F.array_join(lacking, ", "))
     by_struct = structs.where(F.size(lacking) > 0).select("path", F.lit(None).cast("int").alias("line"), F.struct(F.lit("IR-RS-05").alias("rule"), said.alias("said")).alias("f"))
     out = by_line.unionByName(by_file).unionByName(by_struct)
     none = F.lit(None)
