@@ -215,6 +215,13 @@ def documents_to_resolve(changed_keys: DataFrame, cached_links: DataFrame) -> Da
     return cached_links.join(changed_keys.distinct(), "key", "left_semi").select("path").distinct()
 
 
+def incremental_update(current: DataFrame, cached: DataFrame, cached_links: DataFrame, key: Column) -> DataFrame:
+    """(path) of documents whose links must be resolved again: those with a cached link (path, key) to the key of a file that
+    was added, changed or removed."""
+    moved = classify_files(current, cached).where("change != 'unchanged'").select(key.alias("key"))
+    return documents_to_resolve(moved, cached_links)
+
+
 def classify_files(current: DataFrame, cached: DataFrame) -> DataFrame:
     """(path, change) of (path, size, mtime) rows: added, changed, unchanged or removed."""
     joined = current.alias("n").join(cached.alias("o"), "path", "full_outer")

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 FAMILIES = ("admissibility", "cost", "plan", "projection", "ingest", "lens", "meta", "engine", "rust")
 
-#: Event types and the earlier event that each refers to: (type, reference, referenced type).
-REFERENCES = (("admissibility.checked", "cost_declared_event_id", "cost.declared"), ("admissibility.executed", "admissibility_checked_event_id", "admissibility.checked"), ("admissibility.executed", "cost_declared_event_id", "cost.declared"))
-
-
 def family(event_type: Column) -> Column:
     return F.substring_index(event_type, ".", 1)
 
@@ -66,40 +62,6 @@ def evidence_state(events: DataFrame, key: str) -> DataFrame:
     return latest.withColumn("state", state)
 
 
-def verify(events: DataFrame, artifacts: DataFrame, known_types: list[str]) -> DataFrame:
-    """Issues (line, event_id, issue) of a ledger.
-
-    Events have line, event_id, event_type, timestamp, payload_sha256 and computed_sha256 (null where unknown),
-    witness_sha256, witness_bytes and the references of REFERENCES; artifacts have sha256, actual_sha256 and bytes.
-    """
-    base = ["line", "event_id"]
-    issue = lambda df, text: df.select(*base, (F.lit(text) if isinstance(text, str) else text).alias("issue"))
-    found = [
-        issue(events.where("event_id is null"), "event has no id"),
-        issue(events.join(duplicate_ids(events).select("event_id"), "event_id"), "event id is not unique"),
-        issue(events.where(~F.col("event_type").isin(*known_types) | F.col("event_type").isNull()), F.concat(F.lit("unknown event type "), F.coalesce("event_type", F.lit("none")))),
-        issue(events.where("computed_sha256 is not null and computed_sha256 != payload_sha256"), "event hash does not match its payload"),
-        issue(events.where("timestamp is null"), "event has no time"),
-    ]
-    held = events.where("witness_sha256 is not null").join(artifacts, F.col("witness_sha256") == F.col("sha256"), "left")
-    found += [
-        issue(held.where("sha256 is null"), "witness artifact is missing"),
-        issue(held.where("actual_sha256 != sha256"), "witness artifact does not match its name"),
-        issue(held.where("bytes != witness_bytes"), "witness artifact has another size"),
-    ]
-    for kind, reference, target_kind in REFERENCES:
-        mine = events.where(F.col("event_type") == kind)
-        target = events.select(F.col("event_id").alias(reference), F.col("line").alias("target_line"), F.col("event_type").alias("target_type"))
-        joined = mine.join(target, reference, "left")
-        found += [
-            issue(mine.where(F.col(reference).isNull()), f"{kind} has no {reference}"),
-            issue(joined.where(F.col(reference).isNotNull() & F.col("target_line").isNull()), f"{reference} refers to no event"),
-            issue(joined.where(F.col("target_type") != target_kind), f"{reference} refers to an event that is no {target_kind}"),
-            issue(joined.where("target_line >= line"), f"{kind} stands before the event of its {reference}"),
-        ]
-    return reduce(DataFrame.unionByName, found)
-
-
 def lens_delta(before: DataFrame, after: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """(keys, values before and after, change) of rows that differ between two runs."""
     old = before.select(*keys, *[F.col(v).alias(f"{v}_before") for v in values], F.lit(True).alias("in_before"))
@@ -120,12 +82,13 @@ def path_sets(expected: DataFrame, claimed: DataFrame, observed: DataFrame) -> D
 
 
 def delegation_verdicts(requests: DataFrame) -> DataFrame:
-    """(request_id, verdict) by precedence: mismatch, scope, before issue, expired, valid. Times compare as strings."""
+    """(request_id, verdict) of requests (request_id, delegate, claimed_delegate or null, scopes, scope, at, issued_at, expires_at) by
+    precedence; a delegation holds at the moment it expires. Times compare as strings."""
     verdict = (
-        F.when(F.col("delegate") != F.col("claimed_delegate"), "delegate_mismatch")
-        .when(~F.array_contains("scopes", F.col("scope")), "scope_not_granted")
-        .when(F.col("at") < F.col("issued_at"), "before_issue")
-        .when(F.col("expires_at").isNotNull() & (F.col("at") >= F.col("expires_at")), "expired")
+        F.when(F.col("claimed_delegate").isNotNull() & (F.col("delegate") != F.col("claimed_delegate")), "delegate_id_mismatch")
+        .when(~F.array_contains("scopes", F.col("scope")), "scope_not_delegated")
+        .when(F.col("at") < F.col("issued_at"), "verification_before_issue_time")
+        .when(F.col("expires_at").isNotNull() & (F.col("at") > F.col("expires_at")), "delegation_expired")
         .otherwise("valid")
     )
     return requests.select("request_id", verdict.alias("verdict"))

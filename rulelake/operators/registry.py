@@ -81,7 +81,7 @@ def scope_id_fault(scope_id: Column) -> Column:
     """Why a scope id is malformed, or null."""
     return (
         F.when(F.contains(scope_id, F.lit("@")), "contains a version").when(~F.startswith(scope_id, F.lit("scope:")), "has no scope: before it")
-        .when(F.length(scope_id) <= 6, "names nothing").when(~F.substring(scope_id, 7, 2147483647).rlike(r"^[\\p{Ll}._]+$"), "has a character that is not allowed")
+        .when(F.length(scope_id) <= 6, "names nothing").when(~F.substring(scope_id, 7, 2147483647).rlike(r"^[\p{Ll}._]+$"), "has a character that is not allowed")
     )
 
 

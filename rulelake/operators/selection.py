@@ -162,6 +162,17 @@ def combined_snapshot_hash(bundles: DataFrame) -> DataFrame:
     return bundles.agg(CB.sha256(CB.mapping({"inputs": inputs})).alias("snapshot_hash"))
 
 
+def artifact_log(listing: DataFrame, kind: str | None = None, limit: int = 20) -> DataFrame:
+    """Artifacts (kind, sha256, bytes) of a kind, the largest first: a page of them."""
+    rows = listing if kind is None else listing.where(F.col("kind") == kind)
+    return rows.orderBy(F.desc("bytes"), "sha256").limit(limit)
+
+
+def artifacts_by_prefix(listing: DataFrame, prefix: str) -> DataFrame:
+    """(kind, sha256) of the artifacts of any kind whose digest starts so."""
+    return listing.where(F.startswith("sha256", F.lit(prefix)) & (F.col("extension") == "cbor")).select("kind", "sha256").distinct()
+
+
 def since_cutoff(raw: str, now: datetime) -> datetime:
     """The moment that ``3d``, ``12h`` or an RFC 3339 time stands for."""
     match = re.fullmatch(r"(\d+)([smhdw])", raw.strip())

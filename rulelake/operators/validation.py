@@ -1,10 +1,9 @@
-"""Validation suites: typed notes, plans and proposals, registries, scope additions, witnesses."""
+"""Validation suites: typed notes, scope packs, formats of witnesses."""
 
 from __future__ import annotations
 
 import re
 import tomllib
-from collections import Counter
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -124,110 +123,6 @@ def invariant_coverage(notes: DataFrame) -> DataFrame:
     return joined.select("invariant_id", F.coalesce("notes", F.lit(0)).alias("notes"), F.coalesce("concepts", F.lit(0)).alias("concepts"))
 
 
-# Paths that no unattended change may touch (fixed values).
-SECRET_PATH = r"(?i)(^|/)(\.env(\..*)?|id_rsa|id_ed25519|.*\.(pem|key|p12|pfx)|credentials(\..*)?|secrets?(\..*)?)$"
-CONTROL_PATH = r"(^|/)(\.github/workflows/|\.git/|Cargo\.lock$|package-lock\.json$|yarn\.lock$)"
-
-
-def stop_reasons(path: Column) -> Column:
-    """Why a change of a path must stop for a person; empty if it need not."""
-    reasons = F.array(F.when(path.rlike(SECRET_PATH), "secret_like_path"), F.when(path.rlike(CONTROL_PATH), "control_path"), F.when(path.rlike(r"(^|/)\.\.(/|$)|^/"), "outside_repository"))
-    return F.filter(reasons, lambda r: r.isNotNull())
-
-
-def erasure_grade(text: Column) -> Column:
-    """The highest ``grade 0..3`` that a text speaks of."""
-    return F.array_max(F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"\bgrade\s*([0-3])\b"), F.lit(1)), lambda g: g.cast("int")))
-
-
-def check_plan(plan: dict | None, manifest: dict | None, observed: list[str] | None = None) -> list[str]:
-    """Problems of a proposal against its plan: presence, ids, path sets, failures."""
-    if plan is None or manifest is None:
-        return [f"{name} is missing" for name, v in (("plan", plan), ("proposal manifest", manifest)) if v is None]
-    problems = []
-    if manifest.get("plan_id") != plan.get("plan_id"):
-        problems.append("the proposal names another plan")
-    expected, claimed = set(plan.get("expected_changed_paths", ())), set(manifest.get("claimed_changed_paths", ()))
-    seen = claimed if observed is None else set(observed)
-    for said, paths in (("changed but not claimed", seen - claimed), ("claimed but not changed", claimed - seen), ("changed but not planned", seen - expected), ("planned but not changed", expected - seen)):
-        problems += [f"{said}: {p}" for p in sorted(paths)]
-    for path in sorted(seen):
-        if re.search(SECRET_PATH, path) and "secret_like_path" not in manifest.get("stop_reasons", ()):
-            problems.append(f"no stop for {path}")
-    if manifest.get("status") == "failed" and manifest.get("failure_kind") not in ("tool", "test", "policy", "environment"):
-        problems.append("a failure has no kind")
-    return problems
-
-
-def answers(markdown: str) -> dict[str, str]:
-    """Answers of a plan: the text under each second-level heading."""
-    parts = re.split(r"(?m)^##\s+(.+?)\s*$", markdown)
-    return {title: body.strip() for title, body in zip(parts[1::2], parts[2::2], strict=True)}
-
-
-def derive_risks(said: dict[str, str]) -> dict[str, Any]:
-    """The highest grade spoken of, and whether a way back and a check are described."""
-    text = " ".join(said.values()).lower()
-    grades = [int(g) for g in re.findall(r"\bgrade\s*([0-3])\b", text)]
-    return {"max_erasure_grade": max(grades, default=0), "has_rollback": bool(re.search(r"\broll\s?back|revert\b", text)), "has_verification": bool(re.search(r"\btest|verif", text))}
-
-
-SCOPE_ID = re.compile(r"scope:[a-z][a-z0-9_]*(\.[a-z][a-z0-9_]*)+")
-ENCODINGS = ("canonical-cbor", "canonical-json")
-REGISTRY_LISTS = {"lenses": "lens_id", "meta_buckets": "bucket_id", "schemas": "schema_id", "scopes": "scope_id", "scope_packs": "scope_id", "stdlib": "module_id"}
-
-
-def upgrade_registry(raw: dict) -> dict:
-    """A registry of version 0 as one of version 1: every list is there, versions and encodings are stated."""
-    out = {"version": 1} | {name: [dict(x) for x in raw.get(name, ())] for name in REGISTRY_LISTS}
-    for entry in out["schemas"]:
-        entry.setdefault("canonical_encoding", ENCODINGS[0])
-    for name in ("scopes", "scope_packs"):
-        for entry in out[name]:
-            entry.setdefault("version", 1)
-    return out
-
-
-def check_registry(registry: dict, core_buckets: tuple[str, ...] = ()) -> list[str]:
-    """Problems of a registry: duplicates, unknown encodings, missing core buckets, references to nothing."""
-    problems = []
-    for name, key in REGISTRY_LISTS.items():
-        ids = Counter((e[key], e.get("version")) if name in ("scopes", "scope_packs") else e[key] for e in registry.get(name, ()))
-        problems += [f"duplicate {key}: {i[0] if isinstance(i, tuple) else i}" for i, n in ids.items() if n > 1]
-    problems += [f"unknown encoding of {e['schema_id']}" for e in registry.get("schemas", ()) if e.get("canonical_encoding") not in ENCODINGS]
-    have = {e["bucket_id"] for e in registry.get("meta_buckets", ())}
-    problems += [f"missing core bucket: {b}" for b in core_buckets if b not in have]
-    for scope in registry.get("scopes", ()):
-        problems += check_scope(scope, registry, adding=False)
-    return problems
-
-
-def check_scope(scope: dict, registry: dict, adding: bool = True) -> list[str]:
-    """Problems of a scope (to be added): id, snapshot schema, emitted and consumed schemas, dependencies and cycles."""
-    name = scope["scope_id"]
-    schemas = {e["schema_id"] for e in registry.get("schemas", ())}
-    others = {e["scope_id"]: e.get("deps", ()) for e in registry.get("scopes", ())}
-    problems = [] if SCOPE_ID.fullmatch(name) else [f"scope id {name} is malformed"]
-    if adding and name in others:
-        problems.append(f"scope {name} exists")
-    if scope.get("snapshot_schema_id") and scope["snapshot_schema_id"] not in schemas:
-        problems.append(f"{name}: unknown snapshot schema {scope['snapshot_schema_id']}")
-    for side in ("emits", "consumes"):
-        problems += [f"{name} {side} unknown schema {s}" for s in scope.get(side, ()) if s not in schemas]
-    problems += [f"{name} depends on unknown scope {d}" for d in scope.get("deps", ()) if d not in others and d != name]
-    graph = others | {name: scope.get("deps", ())}
-    seen, front = set(), list(graph[name])
-    while front:
-        node = front.pop()
-        if node == name:
-            problems.append(f"{name} depends on itself")
-            break
-        if node not in seen:
-            seen.add(node)
-            front += graph.get(node, ())
-    return problems
-
-
 def merge_scope_packs(known: DataFrame, new: DataFrame) -> DataFrame:
     """Scope packs once per (scope_id, version), the newer entry first."""
     both = known.withColumn("age", F.lit(1)).unionByName(new.withColumn("age", F.lit(0)))
@@ -260,19 +155,3 @@ def plan_hash(message: Column) -> Column:
     """The digest that a commit message's trailer names, if there is exactly one."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(message), F.lit(r"(?m)^plan[- ]?(?:witness|hash)[^:\n]*:\s*(?:sha256:)?([0-9a-f]{64})\s*$"), F.lit(1)))
     return F.when(F.size(found) == 1, F.element_at(found, 1))
-
-
-class Lifecycle:
-    """Declared, checked, executed: what may follow what for one cost, by event id."""
-
-    ORDER = ("declared", "checked", "executed")
-
-    def __init__(self):
-        self.state: dict[str, str] = {}
-
-    def apply(self, cost_id: str, event: str) -> None:
-        now = self.state.get(cost_id)
-        wanted = {"declared": None, "checked": "declared", "executed": "checked"}[event]
-        if now != wanted and not (event == "checked" and now == "checked"):
-            raise ValueError(f"{cost_id} is {now or 'unknown'} and can't be {event}")
-        self.state[cost_id] = event

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import canonical, exact
 from ..functions import text as T
 from ..operators import dag, ledger
 from ..session import table
-from ..streaming import ledger_stream
 from . import projection
 
 
@@ -59,17 +57,6 @@ def first_rule_match_edges(spark, sf_dir):
     return dag.scope_violations(nodes, edges).groupBy("rule", "violation", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-def mutation_timeline_order(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return events.withColumn("place", F.row_number().over(order)).select("user_id", "event_id", "place")
-
-
-def canonical_edge_order(spark, sf_dir):
-    edges = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("src"), F.col("n_nationkey").alias("dst"))
-    return edges.withColumn("place", F.row_number().over(W.orderBy("src", F.desc("dst"))))
-
-
 def link_two_hop(spark, sf_dir):
     edges = _graph(spark, sf_dir)
     a, b = edges.alias("a"), edges.alias("b")
@@ -225,14 +212,6 @@ def canonical_cbor_hash(spark, sf_dir):
     return docs.select("doc_id", canonical.cbor_sha256(said).alias("cbor_sha256"))
 
 
-def stream_dedup_events(spark, sf_dir):
-    return ledger_stream.first_events(table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-def stream_latest_status(spark, sf_dir):
-    return ledger_stream.latest_by_type(table(spark, sf_dir, "events"))
-
-
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not name.startswith("_")}
 
 _EDGES_SQL = """
@@ -280,8 +259,6 @@ ORACLE_SQL = {
               FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst)
         SELECT rule, CASE WHEN rule IS NULL THEN 'undefined' ELSE 'missing_witness' END AS violation, CASE WHEN rule IS NULL THEN 'warning' ELSE 'error' END AS severity, count(*) AS n
         FROM r WHERE rule IS NULL OR (rule IN (1, 2, 3) AND NOT witness) GROUP BY ALL""",
-    "mutation_timeline_order": "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS place FROM events",
-    "canonical_edge_order": "SELECT n_regionkey AS src, n_nationkey AS dst, CAST(row_number() OVER (ORDER BY n_regionkey, n_nationkey DESC) AS INT) AS place FROM nation",
     "link_two_hop": _EDGES_SQL + "SELECT a.src, count(DISTINCT b.dst) AS two_hop FROM edges a JOIN edges b ON a.dst = b.src GROUP BY a.src",
     "ledger_status_latest": _LEDGER_SQL + """
         , f AS (SELECT *, split_part(event_type, '.', 1) AS family FROM e)
@@ -306,8 +283,8 @@ ORACLE_SQL = {
         SELECT kind, count(*) AS n, min(p) AS least, CAST(sum(p) AS BIGINT) AS total FROM d GROUP BY kind""",
     "delegation_verdict": """
         WITH r AS (SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)
-        SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 9 = 0 THEN 'delegate_mismatch' WHEN o_orderkey % 7 = 0 THEN 'scope_not_granted' WHEN day < '1995-01-01' THEN 'before_issue'
-               WHEN o_custkey % 2 = 0 AND day >= '1997-01-01' THEN 'expired' ELSE 'valid' END AS verdict FROM r""",
+        SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 9 = 0 THEN 'delegate_id_mismatch' WHEN o_orderkey % 7 = 0 THEN 'scope_not_delegated' WHEN day < '1995-01-01' THEN 'verification_before_issue_time'
+               WHEN o_custkey % 2 = 0 AND day > '1997-01-01' THEN 'delegation_expired' ELSE 'valid' END AS verdict FROM r""",
     "run_status": _PHASES_SQL + "SELECT run_id, status, phases FROM s",
     "latest_complete_run": "SELECT event_type AS trace, event_id AS run_id FROM events WHERE value > 50 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1",
     "projection_vacuum": _PHASES_SQL + "SELECT phase, count(*) AS rows, count(DISTINCT run_id) AS runs FROM p WHERE run_id NOT IN (SELECT run_id FROM s WHERE status = 'failed') GROUP BY phase",
@@ -321,6 +298,4 @@ ORACLE_SQL = {
         WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 3 + l_linenumber * 2 AS n FROM lineitem)
         SELECT l_orderkey, l_linenumber, n // gcd(n, 12) AS num, 12 // gcd(n, 12) AS den, n > 60 AS over FROM x""",
     "unit_convert": "SELECT p_partkey, CAST(p_size * 254 // gcd(p_size * 254, 10) AS BIGINT) AS num, CAST(10 // gcd(p_size * 254, 10) AS BIGINT) AS den FROM part",
-    "stream_dedup_events": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type",
-    "stream_latest_status": "SELECT event_type, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM events GROUP BY event_type",
 }

@@ -25,6 +25,31 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", slide: str | None =
     return source.groupBy(F.window("ts", size, slide or size), "event_type").agg(F.count(F.lit(1)).alias("n")).select("window.start", "window.end", "event_type", "n")
 
 
+LIFE_STEPS = ("declared", "checked", "executed")
+
+
+def lifecycle_stream(steps: DataFrame) -> DataFrame:
+    """(cost_id, seq, kind, state, accepted) of a stream of steps (cost_id, seq, kind): the state of a cost after each step, and
+    whether the step was in order. One small number is kept per cost; a step that is not the next one changes nothing."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def follow(key, batches, state):
+        reached = state.get[0] if state.exists else 0
+        for rows in batches:
+            rows, said = rows.sort_values("seq"), []
+            for kind in rows["kind"]:
+                rank = LIFE_STEPS.index(kind) + 1 if kind in LIFE_STEPS else 0
+                fits = rank == reached + 1 or (rank == 2 and reached == 2)  # a cost may be checked again
+                reached = rank if fits else reached
+                said.append((LIFE_STEPS[reached - 1] if reached else "none", fits))
+            yield pd.DataFrame({"cost_id": key[0], "seq": rows["seq"].to_numpy(), "kind": rows["kind"].to_numpy(), "state": [a for a, _ in said], "accepted": [b for _, b in said]})
+        state.update((reached,))
+
+    kind = steps.schema["cost_id"].dataType.simpleString()
+    return steps.groupBy("cost_id").applyInPandasWithState(follow, f"cost_id {kind}, seq long, kind string, state string, accepted boolean", "reached int", "append", GroupStateTimeout.NoTimeout)
+
+
 def read_ledger(spark: SparkSession, folder: str, schema) -> DataFrame:
     """A stream of the Parquet files of a folder."""
     return spark.readStream.schema(schema).parquet(folder)
