@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST, LEAST = 2**63 - 1, -(2**63)
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor by a bounded Euclid; 64-bit numbers need fewer than 93 steps."""
-    start = F.struct(F.abs(a).cast("decimal(38,0)").alias("x"), F.abs(b).cast("decimal(38,0)").alias("y"))
-    step = lambda s, _: F.struct(F.when(s["y"] == 0, s["x"]).otherwise(s["y"]).alias("x"), F.when(s["y"] == 0, s["y"]).otherwise((s["x"] % s["y"]).cast("decimal(38,0)")).alias("y"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(93)), start, step, lambda s: s["x"])
+    """Greatest common divisor by a bounded Euclid; 64-bit numbers need fewer than 93 steps. Numbers that fit 63 bits are
+    divided as such, only others as decimals."""
+
+    def euclid(kind: str) -> Column:
+        start = F.struct(F.abs(a).cast(kind).alias("x"), F.abs(b).cast(kind).alias("y"))
+        step = lambda s, _: F.struct(F.when(s["y"] == 0, s["x"]).otherwise(s["y"]).alias("x"), F.when(s["y"] == 0, s["y"]).otherwise((s["x"] % s["y"]).cast(kind)).alias("y"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(93)), start, step, lambda s: s["x"])
+
+    small = (F.abs(a) <= MOST) & (F.abs(b) <= MOST)
+    return F.when(small, euclid("long").cast("decimal(38,0)")).otherwise(euclid("decimal(38,0)"))
 
 
 def rational(num: Column, den: Column) -> Column:
@@ -143,6 +151,72 @@ def compiled(expr: dict, inputs: dict[str, Column]) -> Column:
     return {"add": add, "subtract": subtract, "multiply": multiply, "divide": divide}[op](a, b)
 
 
+def inputs_of(expr: dict) -> list[str]:
+    """Names of the inputs of an expression, each once, in order."""
+    if expr["op"] == "input_ref":
+        return [expr["name"]]
+    return sorted({n for side in ("left", "right", "value") if isinstance(expr.get(side), dict) for n in inputs_of(expr[side])})
+
+
+def plan(expr: dict) -> dict:
+    """A calculation's plan: its expression, its inputs, and the digest of both as canonical JSON."""
+    made = {"expr": expr, "inputs": inputs_of(expr)}
+    return made | {"plan_hash": hashlib.sha256(json.dumps(made, sort_keys=True, separators=(",", ":")).encode()).hexdigest()}
+
+
+SIGNS = {"add": "+", "subtract": "-", "multiply": "*", "divide": "/", "eq": "==", "neq": "!=", "gt": ">", "gte": ">=", "lt": "<", "lte": "<="}
+
+
+def describe(expr: dict) -> str:
+    """An expression as it is usually written."""
+    op = expr["op"]
+    if op == "literal":
+        return f"{expr['value']} {expr['unit']}" if expr.get("unit") else str(expr["value"])
+    if op == "input_ref":
+        return expr["name"]
+    if op == "convert_unit":
+        return f"convert({describe(expr['value'])} to {expr['to']})"
+    return f"({describe(expr['left'])} {SIGNS[expr['cmp'] if op == 'compare' else op]} {describe(expr['right'])})"
+
+
+def traces_of(rows: DataFrame, expr: dict, id_col: str, inputs: list[str]) -> DataFrame:
+    """(id, step, op, value) of an expression for each row: what every operation gave, in order of evaluation. A row without a
+    value ends with a step ``error`` that says why."""
+    import pyarrow as pa
+
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k, key in enumerate(batch.column(0).to_pylist()):
+                trace: list = []
+                try:
+                    evaluate(expr, {n: Amount(Fraction(batch.column(n)[k].as_py())) for n in inputs}, trace=trace)
+                    said = [(op, str(v.value) if isinstance(v, Amount) else str(v).lower()) for op, v in trace]
+                except (CalcError, TypeError) as error:
+                    said = [("error", str(error))]
+                out += [(key, step, *one) for step, one in enumerate(said)]
+            columns = list(zip(*out, strict=True)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())], [id_col, "step", "op", "value"])
+
+    return rows.select(id_col, *inputs).mapInArrow(run, f"`{id_col}` {kind}, step int, op string, value string")
+
+
+def amounts_of(rows: DataFrame, operations: tuple[str, ...]) -> DataFrame:
+    """(op, unit, num, den, error) of whole amounts (a, ua, b, ub) by operations: sums and differences need equal units, a product
+    takes one unit at most, a divisor none. What units refuse has the error ``unit``, and a division by 0 ``zero``."""
+    same, either, op = F.col("ua").eqNullSafe(F.col("ub")), F.coalesce("ua", "ub"), F.col("op")
+    fits = F.when(op.isin("add", "subtract"), same).when(op == "multiply", F.col("ua").isNull() | F.col("ub").isNull()).otherwise(F.col("ub").isNull())
+    error = F.when(~fits, "unit").when((op == "divide") & (F.col("b") == 0), "zero")
+    a, b = F.col("a").cast("decimal(38,0)"), F.col("b").cast("decimal(38,0)")
+    above = F.when(op == "add", a + b).when(op == "subtract", a - b).when(op == "multiply", a * b).otherwise(a)
+    made = rows.withColumn("op", F.explode(F.array(*[F.lit(o) for o in operations]))).withColumn("error", error)
+    made = made.withColumn("value", F.when(F.col("error").isNull(), rational(above, F.when(op == "divide", b).otherwise(F.lit(1)))))
+    unit = F.when(F.col("error").isNull(), F.when(op == "multiply", either).otherwise(F.col("ua")))
+    return made.select("op", unit.alias("unit"), F.col("value.num").cast("long").alias("num"), F.col("value.den").cast("long").alias("den"), "error")
+
+
 def lowest_terms(num: int, den: int) -> tuple[int, int]:
     divisor = math.gcd(num, den) or 1
     return num // divisor, den // divisor

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_CHARS, OVERLAP_CHARS = 2400, 160
@@ -158,6 +158,47 @@ def chunk_files(texts: DataFrame) -> DataFrame:
     return texts.select("path", F.col("text")).mapInArrow(run, CHUNK)
 
 
+def format_of(path: Column) -> Column:
+    """The format of a file by its extension, in lower case; text without one."""
+    extension = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+    return F.when(extension != "", extension).otherwise("txt")
+
+
+def language_of(path: Column) -> Column:
+    """The language of a file by its extension, or null."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), format_of(path))
+
+
+def _mapped(texts: DataFrame, run, schema: str, types: list[pa.DataType]) -> DataFrame:
+    """Rows that ``run(text)`` gives for (path, text) rows, in Arrow batches."""
+    kind = texts.schema["path"].dataType.simpleString()
+    names = ["path", *[part.split()[0] for part in schema.split(", ")]]
+
+    def work(batches):
+        for batch in batches:
+            rows = [(path, *row) for path, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True) for row in run(text or "")]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+            paths = pa.array([p.as_py() for p in columns[0]], batch.schema.field(0).type)
+            yield pa.RecordBatch.from_arrays([paths, *[pa.array(c, t) for c, t in zip(columns[1:], types, strict=True)]], names)
+
+    return texts.select("path", "text").mapInArrow(work, f"path {kind}, {schema}")
+
+
+def normative_rows(texts: DataFrame) -> DataFrame:
+    """(path, place, line) of the lines of (path, text) rows that say what must or must not be."""
+    return _mapped(texts, lambda text: list(enumerate(normative_lines(text))), "place int, line string", [pa.int32(), pa.string()])
+
+
+def described(texts: DataFrame, title: str) -> DataFrame:
+    """(path, summary, section) of (path, text) rows: the first paragraph, and the body of the section of a title."""
+    return _mapped(texts, lambda text: [(summary(text), section(text, title))], "summary string, section string", [pa.string(), pa.string()])
+
+
+def demoted(texts: DataFrame, levels: int) -> DataFrame:
+    """The (path, text) rows with their headings moved down."""
+    return _mapped(texts, lambda text: [(demote_headings(text, levels),)], "text string", [pa.string()])
+
+
 def normative_lines(markdown: str) -> list[str]:
     """Lines that say what must or must not be, without list marks."""
     out = []

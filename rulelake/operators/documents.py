@@ -289,6 +289,15 @@ def primary_spine(counts: DataFrame) -> DataFrame:
     return ranked.select("concept", "spine", "total", F.when(lead == 0, "tied").when(F.col("total") >= 2 * F.coalesce("next", F.lit(0)), "high").otherwise("medium").alias("confidence"))
 
 
+def spine_index(counts: DataFrame) -> DataFrame:
+    """Concepts with their primary spine, the tier of what ties them to it (structural, textual or mixed), how clear its lead
+    is, and a line of an index of markdown."""
+    best = primary_spine(counts).join(counts, ["concept", "spine"])
+    tier = F.when(F.col("structural") == 0, "textual").when(F.col("textual") == 0, "structural").otherwise("mixed")
+    line = F.concat(F.lit("- **"), "concept", F.lit("**: "), "spine", F.lit(" ("), tier, F.lit(", "), "confidence", F.lit(", "), F.col("total").cast("string"), F.lit(")"))
+    return best.select("concept", "spine", tier.alias("tier"), "confidence", line.alias("line"))
+
+
 def nearest(vectors: DataFrame, query: Column, k: int, id_col: str, vector_col: str) -> DataFrame:
     """The k vectors of highest cosine; ties go by id. k is held to 1..50."""
     scored = vectors.select(F.col(id_col), T.cosine(F.col(vector_col), query).alias("similarity"))
