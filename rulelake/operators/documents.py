@@ -52,8 +52,11 @@ def heading_sections(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     The stack of headings is a fold over the row's lines: a heading closes those of its level and below.
     """
     rows = docs.select(F.col(id_col), T.lines_with_ends(F.coalesce(text, F.lit(""))).alias("rows")).where(F.size("rows") > 0)
-    marks = F.transform("rows", lambda r, k: F.struct((k + 1).alias("line"), T.heading_level(F.regexp_replace(r, r"[\r\n]+\z", "")).alias("level"), T.heading_title(F.regexp_replace(r, r"[\r\n]+\z", "")).alias("title")))
-    heads = F.filter(marks, lambda m: m["level"].isNotNull())
+    numbered = F.transform("rows", lambda r, k: F.struct((k + 1).alias("line"), r.alias("r")))
+    signed = F.filter(numbered, lambda m: F.startswith(F.ltrim(m["r"]), F.lit("#")))  # few lines are, and only those are looked into
+    marks = F.transform(signed, lambda m: F.struct(m["line"].alias("line"), T.heading_level(F.regexp_replace(m["r"], r"[\r\n]+\z", "")).alias("level"), T.heading_title(F.regexp_replace(m["r"], r"[\r\n]+\z", "")).alias("title")))
+    rows = rows.withColumn("heads", F.filter(marks, lambda m: m["level"].isNotNull()))
+    heads = F.col("heads")
     empty = F.array().cast("array<struct<level:int,title:string>>")
     start = F.struct(empty.alias("stack"), F.array(F.struct(F.lit(1).alias("line"), F.array().cast("array<string>").alias("path"))).alias("sections"))
 

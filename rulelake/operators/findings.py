@@ -73,6 +73,24 @@ class PredicateResult:
     triggered: DataFrame | None = None
 
 
+@dataclass(frozen=True)
+class RowFinding:
+    """What a predicate finds in a fact: when, and the finding's columns."""
+
+    when: Column
+    rule_id: str
+    path: Column
+    message: Column | str
+    severity: str = "error"
+    line: Column | None = None
+
+    def row(self) -> Column:
+        none = F.lit(None)
+        line, message = none if self.line is None else self.line, F.lit(self.message) if isinstance(self.message, str) else self.message
+        values = (F.lit(self.rule_id), F.lit(self.severity), none.cast("string"), self.path.cast("string"), line.cast("int"), none.cast("int"), message, none.cast("string"))
+        return F.struct(*[v.alias(part.split()[0]) for v, part in zip(values, FINDING_SCHEMA.split(", "), strict=True)])
+
+
 class ProviderError(RuntimeError):
     """What a provider can't do: its scope, the phase and why."""
 
@@ -91,6 +109,11 @@ class Provider(ABC):
     def predicates(self) -> dict[str, Callable[[DataFrame, dict[str, Any]], PredicateResult]]:
         """Predicates by name; each takes the facts and parameters."""
 
+    def row_predicates(self) -> dict[str, Callable[[dict[str, Any]], RowFinding]]:
+        """Those predicates that look at one fact at a time, as what they find in it: any number of them is evaluated in one
+        pass over the facts. Others, and all that are not named here, go through ``predicates``."""
+        return {}
+
     def describe(self) -> dict[str, Any]:
         schemas = self.param_schemas()
         return {"scope_id": self.scope_id, "version": self.version, "predicates": [{"name": n, "params": schemas.get(n)} for n in sorted(self.predicates())]}
@@ -213,14 +236,25 @@ def evaluate_ruleset(spark: SparkSession, ruleset: RuleSet, registry: ProviderRe
     single finding, is as severe as ``fail_on``.
     """
     parts, triggers, heads = [], [], []
+    together: dict[str, list[Column]] = {}
     for number, binding in enumerate(ruleset.selected()):
         params = binding.params | (overlays or {}).get(binding.rule_id, {})
         facts = bundles.get(binding.scope_id, no_findings(spark))
-        result = registry.get(binding.scope_id).evaluate(binding.predicate, facts, params)
+        provider = registry.get(binding.scope_id)
+        if binding.scope_id in bundles and binding.predicate in provider.row_predicates():
+            provider.check_params(binding.predicate, params)
+            found = provider.row_predicates()[binding.predicate](params)
+            together.setdefault(binding.scope_id, []).append(F.when(found.when, F.struct(F.lit(number).alias("binding"), found.row().alias("finding"))))
+            heads.append((number, binding.rule_id, binding.severity, binding.scope_id, binding.predicate))
+            continue
+        result = provider.evaluate(binding.predicate, facts, params)
         parts.append(result.findings.withColumn("binding", F.lit(number)))
         if result.triggered is not None:
             triggers.append(result.triggered.select(F.lit(number).alias("binding"), F.col("triggered").alias("own")))
         heads.append((number, binding.rule_id, binding.severity, binding.scope_id, binding.predicate))
+    for scope_id, found in together.items():  # one pass over the facts of a scope
+        rows = bundles[scope_id].select(F.explode(F.filter(F.array(*found), lambda f: f.isNotNull())).alias("f"))
+        parts.append(rows.select("f.finding.*", F.col("f.binding").alias("binding")))
     schema = "binding int, rule_id string, severity string, scope_id string, predicate string"
     found = union(parts) if parts else no_findings(spark).withColumn("binding", F.lit(0))
     counted = found.groupBy("binding").agg(F.count(F.lit(1)).alias("n"), F.max(severity_rank(F.col("severity"))).alias("worst"))

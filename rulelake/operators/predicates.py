@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .findings import PredicateResult, Provider, findings
+from .findings import PredicateResult, Provider, RowFinding, findings
 
 
 class TextMetrics(Provider):
@@ -17,7 +17,7 @@ class TextMetrics(Provider):
     scope_id = "text.metrics"
 
     def predicates(self):
-        return {"lines_exceed": self._over("lines", "max_lines"), "bytes_exceed": self._over("bytes", "max_bytes"), "line_length_exceed": self._over("max_line_len", "max_len"), "marker_present": self._marker}
+        return {name: self._by_row(name) for name in self.row_predicates()}
 
     def snapshot(self, spark, source: DataFrame) -> DataFrame:
         """Facts of (path, text) rows."""
@@ -27,20 +27,24 @@ class TextMetrics(Provider):
         one = lambda name: {"type": "object", "properties": {name: {"type": "integer"}}, "required": [name]}
         return {"lines_exceed": one("max_lines"), "bytes_exceed": one("max_bytes"), "line_length_exceed": one("max_len")}
 
+    def row_predicates(self):
+        over = lambda column, parameter: lambda params: self._over_row(column, int(params[parameter]))
+        marked = F.concat(F.col("marker_lines").cast("string"), F.lit(" marked lines"))
+        marker = RowFinding(F.col("marker_lines") > 0, "text/marker_present", F.col("path"), marked, "warning")
+        return {"lines_exceed": over("lines", "max_lines"), "bytes_exceed": over("bytes", "max_bytes"), "line_length_exceed": over("max_line_len", "max_len"), "marker_present": lambda params: marker}
+
     @staticmethod
-    def _over(column: str, parameter: str):
+    def _over_row(column: str, limit: int) -> RowFinding:
+        message = F.concat(F.lit(f"{column} "), F.col(column).cast("string"), F.lit(f" exceeds {limit}"))
+        return RowFinding(F.col(column) > limit, f"text/{column}_exceed", F.col("path"), message)
+
+    def _by_row(self, name: str):
         def run(facts: DataFrame, params: dict[str, Any]) -> PredicateResult:
-            limit = int(params[parameter])
-            message = F.concat(F.lit(f"{column} "), F.col(column).cast("string"), F.lit(f" exceeds {limit}"))
-            return PredicateResult(findings(facts.where(F.col(column) > limit), f"text/{column}_exceed", path=F.col("path"), message=message))
+            found = self.row_predicates()[name](params)
+            return PredicateResult(facts.where(found.when).select(found.row().alias("f")).select("f.*"))
 
         return run
 
-    @staticmethod
-    def _marker(facts: DataFrame, params: dict[str, Any]) -> PredicateResult:
-        message = F.concat(F.col("marker_lines").cast("string"), F.lit(" marked lines"))
-        return PredicateResult(findings(facts.where("marker_lines > 0"), "text/marker_present", path=F.col("path"), message=message, severity="warning"))
-
 
 def file_metrics(files: DataFrame, path: Column, text: Column, marker: str = "TODO") -> DataFrame:
     """Line and size metrics of each file, by array functions within the row: no shuffle."""

@@ -8,6 +8,7 @@ from ..functions import canonical, exact
 from ..functions import text as T
 from ..operators import dag, ledger
 from ..session import table
+from . import cbor_sql as C
 from . import projection
 
 
@@ -166,7 +167,7 @@ def run_scoped_ids(spark, sf_dir):
 
 
 def batch_hashes(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").withColumn("batch", F.col("c_custkey") % 16)
+    rows = table(spark, sf_dir, "customer").withColumn("batch", F.floor(F.col("c_custkey") / 64))
     return projection.batch_digests(rows, "nodes", F.lit("run-1"), "batch", "c_custkey")
 
 
@@ -291,9 +292,10 @@ ORACLE_SQL = {
     "projection_latest_rows": "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY ALL",
     "projection_upsert": "SELECT count(*) AS n, count(*) FILTER (o_totalprice > 100000 OR o_totalprice = 0) AS zero FROM orders",
     "run_scoped_ids": "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN sha256('run' || c_nationkey || '|' || sha256(c_name)) ELSE sha256(c_name) END AS id FROM customer",
-    "batch_hashes": "SELECT c_custkey % 16 AS batch, count(*) AS items, sha256('nodes|run-1|' || string_agg(CAST(c_custkey AS VARCHAR), '' ORDER BY CAST(c_custkey AS VARCHAR))) AS batch_hash FROM customer GROUP BY 1",
+    "batch_hashes": "SELECT c_custkey // 64 AS batch, count(*) AS items, sha256('nodes|run-1|' || string_agg(CAST(c_custkey AS VARCHAR), '' ORDER BY CAST(c_custkey AS VARCHAR))) AS batch_hash FROM customer GROUP BY 1",
     "retry_backoff": "SELECT r_regionkey, CAST(CASE WHEN r_regionkey = 0 THEN 0 ELSE least(5000, 100 * pow(2, r_regionkey * 2 - 1)) END AS BIGINT) AS delay_ms FROM region",
     "json_select_path": "SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, CAST(event_id AS VARCHAR) AS item, 'missing_key:1' AS missing, 'index_out_of_range:1' AS past, 'type_mismatch:1' AS kind, 'invalid_path:1' AS bad FROM events",
+    "canonical_cbor_hash": f"SELECT doc_id, {C.sha256(C.mapping({'doc_id': C.integer('doc_id'), 'lang': C.text('lang'), 'source': C.text('source'), 'size': C.integer('n_chars')}))} AS cbor_sha256 FROM documents",
     "exact_calc": """
         WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 3 + l_linenumber * 2 AS n FROM lineitem)
         SELECT l_orderkey, l_linenumber, n // gcd(n, 12) AS num, 12 // gcd(n, 12) AS den, n > 60 AS over FROM x""",

@@ -15,6 +15,7 @@ from ..operators import witnesses as WI
 from ..session import fresh_folder, table
 from ..sources import files as SF
 from ..sources import repositories as SR
+from ..sources import rust_syntax as RS
 from . import cbor_sql as C
 
 
@@ -46,6 +47,13 @@ def gitignore_match(spark, sf_dir):
     return SF.kept_paths(_paths(spark, sf_dir), ("*.tmp", "/lib/outer/", "src/f?.md", "# no pattern", "")).select("path")
 
 
+def git_listed_paths(spark, sf_dir):
+    """Paths of a listing between zero bytes, one listing per language, under a root."""
+    paths = _paths(spark, sf_dir).select((F.col("doc_id") % 3).alias("g"), F.concat(F.lit("repo/"), "path").alias("path"))
+    listings = paths.groupBy("g").agg(F.concat_ws("\0", F.collect_list("path")).cast("binary").alias("content"))  # what git would say, in one text
+    return SF.listed_paths(listings, "repo")
+
+
 def directory_snapshot(spark, sf_dir):
     return SF.directory_snapshot(_paths(spark, sf_dir)).select("path", "sha256", "size")
 
@@ -228,6 +236,17 @@ def rust_item_counts(spark, sf_dir):
     return SR.rust_item_counts(_rust(spark, sf_dir))
 
 
+def rust_ast_summaries(spark, sf_dir):
+    """Top-level items by a scanner that strings, comments and nested items do not mislead."""
+    k = F.col("p_partkey")
+    text = F.concat(F.lit('//! fn no() {}\n#![a]\nuse std::{x, y};\n/* enum /* E */ {} */\nstatic S: &str = "struct X {";\npub fn f'), k, F.lit("<'a>(c: &'a str) { let b = '}'; struct In; }\n"), F.when(k % 2 == 0, F.lit('impl T for S { fn g() { r#"}"#; } }\n')).otherwise(F.lit("mod m { fn h() {} }\nmacro_rules! q { () => {} }\n")), F.when(k % 10 == 9, F.lit("fn broken( {")).otherwise(F.lit("")))
+    return RS.summaries(table(spark, sf_dir, "part").select(k.alias("path"), text.alias("text")))
+
+
+def rust_structure(spark, sf_dir):
+    return RS.structure(_rust(spark, sf_dir)).select("path", "kind", "name", "public", "start_line", "end_line")
+
+
 def rust_unsafe_unjustified(spark, sf_dir):
     texts = _rust(spark, sf_dir)
     return P.unjustified(SR.rust_items(texts).where("kind = 'unsafe_block'").select("path", "line"), SR.safety_comments(texts)).select("path", "line")
@@ -466,6 +485,7 @@ _LEDGER_SQL = "WITH f AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}, '{c}'
 ORACLE_SQL = {
     "walk_skipped_dirs": f"SELECT path, strlen(text)::BIGINT AS size FROM ({_PATHS}) WHERE NOT {_SKIPPED}",
     "gitignore_match": f"SELECT path FROM ({_PATHS}) WHERE NOT {_SKIPPED} AND path NOT LIKE '%.tmp' AND path NOT LIKE 'lib/outer/%' AND path NOT LIKE 'src/f_.md'",
+    "git_listed_paths": f"SELECT path FROM ({_PATHS}) WHERE NOT {_SKIPPED}",
     "directory_snapshot": f"SELECT path, sha256(text) AS sha256, strlen(text)::BIGINT AS size FROM ({_PATHS})",
     "directory_snapshot_hash": f"""
         WITH d AS (SELECT sha256(path || chr(0) || sha256(text)) AS d FROM ({_PATHS})), b AS (SELECT d[1:3] AS b, sha256(string_agg(d, '' ORDER BY d)) AS h, count(*) AS n FROM d GROUP BY 1)
@@ -498,6 +518,11 @@ ORACLE_SQL = {
     "rust_item_counts": """
         WITH p AS (SELECT 'src/m' || p_partkey || '.rs' AS path, p_partkey AS k FROM part)
         SELECT path, kind, CAST(1 AS BIGINT) AS n FROM p, (SELECT unnest(['use', 'struct', 'function', 'unsafe_block', 'impl']) AS kind) UNION ALL SELECT path, 'enum', 1 FROM p WHERE k % 3 = 0""",
+    "rust_ast_summaries": """SELECT p_partkey AS path, CASE WHEN p_partkey % 10 <> 9 THEN '{"counts":{"fn":1' || CASE WHEN p_partkey % 2 = 0 THEN ',"impl":1,"static":1,"use":1}' ELSE ',"macro":1,"mod":1,"static":1,"use":1}' END || ',"summary_type":"rust_ast_item_counts"}' END AS ast_summary FROM part""",
+    "rust_structure": """
+        WITH p AS (SELECT 'src/m' || p_partkey || '.rs' AS path, p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS e FROM part)
+        SELECT path, 'use' AS kind, 'std' AS name, false AS public, CAST(1 AS INT) AS start_line, CAST(1 AS INT) AS end_line FROM p UNION ALL SELECT path, 'struct', 'S' || k, true, 3, 5 FROM p UNION ALL SELECT path, 'enum', 'E', true, 7, 7 FROM p WHERE e = 1
+        UNION ALL SELECT path, 'fn', 'f' || k, true, 7 + e, 10 + e FROM p UNION ALL SELECT path, 'impl', '', false, 12 + e, 12 + e FROM p""",
     "rust_unsafe_unjustified": "SELECT 'src/m' || p_partkey || '.rs' AS path, CAST(CASE WHEN p_partkey % 3 = 0 THEN 10 ELSE 9 END AS INT) AS line FROM part WHERE p_partkey % 2 <> 0",
     "rust_lint_findings": """
         WITH r AS (SELECT p_partkey % 8 AS r FROM part), n AS (SELECT CASE r WHEN 0 THEN 'IR-RS-02' WHEN 1 THEN 'IR-RS-04' WHEN 2 THEN 'IR-RS-04' WHEN 3 THEN 'IR-RS-03' WHEN 4 THEN 'IR-RS-05' WHEN 5 THEN 'IR-RS-04' WHEN 6 THEN 'IR-RS-08' END AS rule_id FROM r)

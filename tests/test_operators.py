@@ -1,3 +1,4 @@
+import hashlib
 import json
 from fractions import Fraction
 
@@ -7,17 +8,21 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rulelake.functions import canonical, exact
+from rulelake.functions import cbor_columns as CB
 from rulelake.functions import text as T
-from rulelake.operators import dag, displacement, documents, ledger, validation
+from rulelake.operators import dag, displacement, documents, ledger, ledger_verify, selection, validation, witnesses
 from rulelake.operators.findings import Binding, PredicateResult, Provider, ProviderRegistry, RuleSet, evaluate_ruleset, findings
 from rulelake.plans import projection
 from rulelake.streaming import ledger_stream
 
 
 def test_canonical_cbor_vectors_and_round_trip():
-    assert canonical.encode_cbor({"a": 1, "b": 2, "longer_key": 3}).hex() == "a3616101616202" + "6a6c6f6e6765725f6b6579" + "03"
-    assert canonical.encode_cbor({"longer_key": 3, "b": 2, "a": 1}) == canonical.encode_cbor({"a": 1, "b": 2, "longer_key": 3})
-    assert canonical.encode_cbor([0, 23, 24, 255, 256, 65536, -1, None, True, "é", b"x"]).hex() == "8b00171818" + "18ff" + "190100" + "1a00010000" + "20f6f5" + "62c3a9" + "4178"
+    # examples of RFC 8949, Appendix A
+    for value, encoded in ((0, "00"), (10, "0a"), (23, "17"), (24, "1818"), (100, "1864"), (1000, "1903e8"), (1000000, "1a000f4240"), (1000000000000, "1b000000e8d4a51000"), (-1, "20"), (-100, "3863"), (-1000, "3903e7"), (False, "f4"), (True, "f5"), (None, "f6"),
+                           (b"\x01\x02\x03\x04", "4401020304"), ("", "60"), ("IETF", "6449455446"), ("\u00fc", "62c3bc"), ("\u6c34", "63e6b0b4"), ([], "80"), ([1, [2, 3], [4, 5]], "8301820203820405"), ({}, "a0"), ({"a": 1, "b": [2, 3]}, "a26161016162820203"),
+                           ({"a": "A", "b": "B", "c": "C", "d": "D", "e": "E"}, "a56161614161626142616361436164614461656145")):
+        assert canonical.encode_cbor(value).hex() == encoded
+    assert canonical.encode_cbor({"zz": 1, "aaa": 2, "b": 3}) == canonical.encode_cbor({"b": 3, "zz": 1, "aaa": 2}) and canonical.encode_cbor({"zz": 1, "b": 2}).hex().startswith("a26162")
     assert canonical.encode_cbor(2.0) == canonical.encode_cbor(2)
     with pytest.raises(canonical.EncodingError):
         canonical.encode_cbor(0.5)
@@ -106,6 +111,63 @@ def test_ruleset_verdicts(spark):
     assert loaded.fail_on == "warning" and loaded.selected()[0].params == {"severity": "info"}
 
 
+def test_commits_are_compared_or_are_errors(spark):
+    commits = spark.createDataFrame([("a", "quantity", "5", "u"), ("b", "text", "x", None), ("c", "flag", "true", None)], "diff string, kind string, value string, unit string")
+    ask = lambda diff, kind, value, unit: spark.createDataFrame([(diff, kind, value, unit)], "diff string, target_kind string, target string, target_unit string")
+    equal = lambda *a: displacement.commit_equals(ask(*a), commits).first().equal
+    assert equal("a", "quantity", "5.0", "u") and not equal("a", "quantity", "6", "u") and equal("b", "text", "x", None) and not equal("z", "text", "x", None)
+    assert displacement.commit_cmp(ask("a", "quantity", "5", "u"), commits, "gte").first().holds and not displacement.commit_cmp(ask("a", "quantity", "5", "u"), commits, "gte", True).first().holds
+    for bad in (("a", "text", "5", None), ("a", "quantity", "5", "v")):
+        with pytest.raises(Exception, match="another kind"):
+            displacement.commit_equals(ask(*bad), commits).collect()
+    for diff, unit, said in (("z", "u", "no commit"), ("b", None, "no quantity"), ("a", "v", "something else")):
+        with pytest.raises(Exception, match=said):
+            displacement.commit_cmp(ask(diff, "quantity", "1", unit), commits, "gt").collect()
+
+
+def test_delegations_are_checked(spark):
+    schema = "delegator string, delegate string, scopes array<string>, issued_at string, expires_at string, constraints string"
+    good = ("a", "b", ["scope:y", "scope:x", "scope:y"], "2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z", '{"z": 1}')
+    row = selection.delegation_records(spark.createDataFrame([good], schema)).first()
+    said = {"issuer_id": "a", "delegate_id": "b", "scope_ids": ["scope:x", "scope:y"], "issued_at_utc": good[3], "expires_at_utc": good[4], "constraints": {"z": 1}}
+    assert row.record_id == hashlib.sha256(canonical.encode_cbor(said)).hexdigest() and row.scopes == ["scope:x", "scope:y"]
+    for at, value, match in ((0, " ", "issuer"), (1, "", "delegate"), (2, [], "no scopes"), (2, ["x"], "malformed"), (3, "2024-01-01", "UTC"), (4, "2023-01-01T00:00:00Z", "expires")):
+        bad = list(good)
+        bad[at] = value
+        with pytest.raises(Exception, match=match):
+            selection.delegation_records(spark.createDataFrame([tuple(bad)], schema)).collect()
+
+
+def test_records_reject_what_comes_twice(spark):
+    files = spark.createDataFrame([("c" * 40, "a", "1" * 40), ("c" * 40, "a", "2" * 40)], "commit string, path string, blob_oid string")
+    heads = spark.createDataFrame([("c" * 40, True, None)], "commit string, is_clean boolean, manifest_sha256 string")
+    modules = spark.createDataFrame([], "commit string, path string, commit_oid string")
+    with pytest.raises(Exception, match="comes twice"):
+        witnesses.snapshot_records(heads, files, modules).collect()
+    value = {"schema_id": "git-snapshot-witness/0", "schema_version": 0, "head_commit_oid": "c" * 40, "is_clean": True, "tracked_files": [{"path": "a", "blob_oid": "1" * 40}], "submodules": None, "working_tree_manifest_sha256": None}
+    assert witnesses.snapshot_records(heads, files.limit(1), modules).first().witness_id == hashlib.sha256(canonical.encode_cbor(value)).hexdigest()
+    with pytest.raises(Exception, match="no name"):
+        witnesses.provenance_bindings(spark.createDataFrame([(" ", "k")], "repository_id string, kind string"), ["kind"]).collect()
+    edges = spark.createDataFrame([("a", "b", "mutation_commitment", "local_persistent", None)], "src string, dst string, kind string, risk string, witness_ref string")
+    with pytest.raises(Exception, match="needs a witness"):
+        dag.checked_edges(edges).collect()
+
+
+def test_numbered_rows_over_many_partitions(spark):
+    rows = spark.range(1000).selectExpr("id", "id % 7 AS a", "CAST(NULL AS INT) AS place_of").repartition(11)
+    got = [r.id for r in selection.numbered(rows, ["a", "id"]).orderBy("place").collect()]
+    assert got == sorted(range(1000), key=lambda k: (k % 7, k))
+    assert selection.numbered(rows.limit(0), ["a"]).collect() == []
+
+
+def test_cbor_columns_are_the_encoder(spark):
+    rows = [(0, "", None, []), (23, "é" * 11, True, ["x"]), (24, "a" * 24, False, ["b"] * 30), (-1, "a" * 255, None, []), (-300, "a" * 256, True, ["é", ""]), (2**31, "a" * 70_000, True, []), (2**40, None, True, None), (None, "x", True, [])]
+    df = spark.createDataFrame(rows, "n long, t string, f boolean, l array<string>")
+    made = df.select(CB.mapping({"number": CB.integer(F.col("n")), "t": CB.text(F.col("t")), "flag": CB.boolean(F.col("f")), "list": CB.array(F.col("l")), "a_very_long_key_that_needs_two_bytes": CB.text(F.lit("v"))}).alias("c")).collect()
+    for row, (n, t, f, l) in zip(made, rows, strict=True):
+        assert bytes(row.c) == canonical.encode_cbor({"number": n, "t": t, "flag": f, "list": l, "a_very_long_key_that_needs_two_bytes": "v"})
+
+
 def test_units_must_agree(spark):
     rules = spark.createDataFrame([("a", "b", 1.0, "u"), ("c", "b", 1.0, "v")], "diff string, bucket string, cost double, unit string")
     allow = lambda *k: spark.createDataFrame([(x, "allow") for x in k], "diff string, kind string")
@@ -114,20 +176,39 @@ def test_units_must_agree(spark):
         displacement.totals(rules, allow("a", "c")).collect()
 
 
-def test_ledger(spark):
-    schema = "line int, event_id string, event_type string, timestamp string, payload_sha256 string, computed_sha256 string, witness_sha256 string, witness_bytes long, cost_declared_event_id string, admissibility_checked_event_id string"
-    good = [(1, "d", "cost.declared", "t", "h", "h", "w", 3, None, None), (2, "c", "admissibility.checked", "t", "h", "h", None, None, "d", None), (3, "x", "admissibility.executed", "t", "h", None, None, None, "d", "c")]
-    artifacts = spark.createDataFrame([("w", "w", 3)], "sha256 string, actual_sha256 string, bytes long")
-    kinds = ["cost.declared", "admissibility.checked", "admissibility.executed"]
-    assert ledger.verify(spark.createDataFrame(good, schema), artifacts, kinds).count() == 0
-    bad = [(1, "c", "admissibility.checked", None, "h", "g", "w", 4, "d", None), (2, "d", "cost.declared", "t", "h", None, "gone", 1, None, None), (3, "d", "odd", "t", "h", None, None, None, None, None), (4, None, "admissibility.executed", "t", "h", None, None, None, "none", "d")]
-    issues = {(r.line, r.issue) for r in ledger.verify(spark.createDataFrame(bad, schema), artifacts, kinds).collect()}
-    for expected in ((1, "event hash does not match its payload"), (1, "event has no time"), (1, "witness artifact has another size"), (1, "admissibility.checked stands before the event of its cost_declared_event_id"), (2, "witness artifact is missing"), (2, "event id is not unique"), (3, "unknown event type odd"), (4, "event has no id"), (4, "cost_declared_event_id refers to no event"), (4, "admissibility_checked_event_id refers to an event that is no admissibility.checked")):
-        assert expected in issues
-    events = spark.createDataFrame(good[:2], schema)
-    assert ledger.append(events, spark.createDataFrame(good[2:], schema)).count() == 3
-    with pytest.raises(Exception, match="in the ledger"):
-        ledger.append(events, spark.createDataFrame(good[:1], schema)).collect()
+def test_ledger_append(spark):
+    rows = lambda *ids: spark.createDataFrame([(i, "a.b") for i in ids], "event_id string, event_type string")
+    assert ledger.append(rows("a", "b"), rows("c")).count() == 3
+    for new in (("a",), ("c", "c")):
+        with pytest.raises(Exception, match="in the ledger"):
+            ledger.append(rows("a", "b"), rows(*new)).collect()
+
+
+def test_ledger_verification_of_odd_lines(spark):
+    """Lines of every kind of event that nothing can be read from, lens activations, plans, lint runs, ingests and engines."""
+    ref = {"kind": "k", "schema_id": "s", "sha256": "x", "size_bytes": 1, "path": "k/y.json"}
+    program = {"module": "m", "scope": "s"}
+    base = {"timestamp": "t", "witness": ref | {"schema_id": "admissibility-witness/2"}, "snapshot_ref": ref, "snapshot_hash": "x", "program": program}
+    bodies = [
+        {"event_type": "cost.declared"}, {"event_type": "lens.activated", "timestamp": "t", "lens_id": "l", "lens_hash": "h", "program": program},
+        {"event_type": "admissibility.checked", "cost_declared_event_id": "none", **base}, {"event_type": "admissibility.checked", "cost_declared_event_id": "none", **base, "lens_id": "l", "lens_hash": "h", "lens_activation_event_id": "gone"},
+        {"event_type": "plan.created", "timestamp": "t", "plan_witness": ref}, {"event_type": "rust.ir_lint.completed", "timestamp": "t", "witness": ref, "scope_id": "s", "passed": True, "files_scanned": 2, "violations": 1},
+        {"event_type": "ingest.run.completed", "timestamp": "t", "ingest_run_id": "r", "config": ref}, {"event_type": "engine.query.registered", "timestamp": "t", "artifact_kind": "q", "artifact": ref}, {"event_type": "projection.run.started", "timestamp": "t"},
+    ]
+    lines = []
+    for k, body in enumerate(bodies, 1):
+        raw = json.dumps(body, separators=(",", ":"))
+        digest = hashlib.sha256(raw.encode()).hexdigest()
+        lines.append((k, f'{{"event_id":"{digest}",{raw[1:]}'))
+    content = json.dumps({"schema_id": "other", "passed": False, "files_scanned": 2, "violations": []})
+    artifacts = spark.createDataFrame([("k", "x", "z", 1, content)], "kind string, sha256 string, actual_sha256 string, bytes long, content string")
+    registries = spark.createDataFrame([], "registry_hash string, schemas array<string>, scopes array<string>")
+    got = {(r.line, r.issue) for r in ledger_verify.verify_ledger(spark.createDataFrame(lines, "line int, raw string"), artifacts, registries).collect()}
+    assert not any(issue == "event_id_mismatch" for _, issue in got)
+    expected = {(1, "unreadable_event"), (3, "cost_event_missing"), (3, "lens_activation_missing"), (4, "cost_event_missing"), (4, "lens_event_missing"), (5, "plan_schema_unknown"), (5, "plan_schema_is_not_its_reference"), (6, "lint_schema_unknown"), (6, "lint_schema_is_not_its_reference"), (6, "lint_passed_differs"), (6, "lint_violations_differ"), (9, "unreadable_event")}
+    assert expected <= got and not {issue for line, issue in got if line == 2}
+    assert {line for line, issue in got if issue == "artifact_hash_mismatch"} == {5, 6, 7, 8} == {line for line, issue in got if issue == "artifact_path_mismatch"}
+    assert ledger_verify.verify_ledger(spark.createDataFrame([], "line int, raw string"), artifacts, registries).collect() == []
 
 
 def test_validation(spark):
@@ -140,24 +221,6 @@ def test_validation(spark):
     rules = {r.rule_id for r in only.where("path in ('c/bad.txt', 'z.md')").collect()}
     assert rules == {"vault/extension-mismatch", "vault/forbidden-location", "vault/enum-mismatch", "vault/list-item-invalid", "vault/type-mismatch", "vault/missing-required-field", "vault/missing-section"}
     assert [r.t for r in notes.select(validation.resolve_type(F.col("path"), types).alias("t")).collect()] == ["concept", "any", "concept", "any"]
-    plan = {"plan_id": "p", "expected_changed_paths": ["a", "b"]}
-    assert validation.check_plan(plan, {"plan_id": "p", "claimed_changed_paths": ["a", "b"]}) == []
-    problems = validation.check_plan(plan, {"plan_id": "q", "claimed_changed_paths": ["a", ".env"], "status": "failed"}, ["a", ".env", "c"])
-    assert "the proposal names another plan" in problems and "changed but not claimed: c" in problems and "planned but not changed: b" in problems and "no stop for .env" in problems and "a failure has no kind" in problems
-    assert validation.check_plan(None, {}) == ["plan is missing"]
-    assert [r.s for r in spark.createDataFrame([("x/.env",), (".github/workflows/c.yml",), ("ok",)], "p string").select(validation.stop_reasons(F.col("p")).alias("s")).collect()] == [["secret_like_path"], ["control_path"], []]
-    registry = validation.upgrade_registry({"schemas": [{"schema_id": "s"}], "scopes": [{"scope_id": "scope:a.b", "deps": ["scope:c.d"]}, {"scope_id": "scope:c.d", "deps": []}]})
-    assert validation.check_registry(registry) == [] and validation.check_registry(registry, ("risk",)) == ["missing core bucket: risk"]
-    assert validation.check_scope({"scope_id": "scope:c.d", "deps": ["scope:a.b"], "emits": ["gone"]}, registry) == ["scope scope:c.d exists", "scope:c.d emits unknown schema gone", "scope:c.d depends on itself"]
-    assert validation.check_scope({"scope_id": "Bad"}, registry)[0].startswith("scope id")
-    said = validation.answers("## One\nerase grade 2\n## Two\nroll back and test")
-    assert validation.derive_risks(said) == {"max_erasure_grade": 2, "has_rollback": True, "has_verification": True}
-    cycle = validation.Lifecycle()
-    cycle.apply("k", "declared")
-    cycle.apply("k", "checked")
-    cycle.apply("k", "executed")
-    with pytest.raises(ValueError):
-        cycle.apply("k", "executed")
     message = spark.createDataFrame([("x\n\nPlan-Hash: sha256:" + "a" * 64,), ("none",)], "m string")
     assert [r.h for r in message.select(validation.plan_hash(F.col("m")).alias("h")).collect()] == ["a" * 64, None]
 
@@ -167,8 +230,8 @@ def test_links_and_headings(spark):
     links = spark.createDataFrame([("v/concepts/x.md", t, h) for t, h in (("v/Two", None), ("./v/Two.md", "Big  Head"), ("Two", "Gone"), ("three", None), ("One", None), ("no/path", None), ("", None), ("Two.md", "big-head"))], "from_path string, target string, heading string")
     got = documents.resolve_links(links, docs)
     assert [(r.target, r.kind) for r in got.collect()] == [(r.target, r.kind) for r in got.collect()] and {(r.target, r.kind) for r in got.collect()} == {("v/Two", "exact_path"), ("./v/Two.md", "exact_path"), ("Two", "exact_title"), ("three", "casefold_title"), ("One", "ambiguous"), ("no/path", "missing"), ("", "missing"), ("Two.md", "exact_title")}
-    chosen = got.where("kind = 'ambiguous'").select(documents.choose_ambiguous(F.col("from_path"), F.col("candidate_paths"), ["v/"]).alias("c")).first().c
-    assert chosen == "v/concepts/One.md"
+    assert [(r.target, r.chosen) for r in documents.choose_ambiguous(got, docs, ["v/"]).collect()] == [("One", "v/concepts/One.md")]
+    assert documents.choose_ambiguous(got, docs, ["w/"]).first().chosen is None
     headings = spark.createDataFrame([("v/Two.md", " big HEAD ")], "path string, heading string")
     assert [r.heading for r in documents.resolve_headings(got, headings).collect()] == ["Gone"]
     assets = documents.resolve_assets(spark.createDataFrame([("v/a.md", "img.png"), ("v/a.md", "v/img.png"), ("v/a.md", "none.png")], "from_path string, target string"), spark.createDataFrame([("v/img.png",)], "path string"), ["v/"])
@@ -203,7 +266,6 @@ def test_projection_store(spark, tmp_path):
     assert store.read("t").count() == 3 and store.read("t", "run2").first().v == "d"
     assert {(r.id, r.v) for r in store.latest("t", ["id"]).collect()} == {(1, "d"), (2, "b")}
     assert store.vacuum(["t"], ["run1", "none"]) == 1 and spark.read.parquet(store.path("t")).count() == 1
-    assert projection.merge_retry({"ok": 1, "duration_ms": 5}, 1, [], 2) == {"ok": 2, "duration_ms": 7, "failed_batches": [], "status": "ok"}
     saved = projection.SavedQueries(spark)
     digest = saved.register("one", "SELECT 1 AS x", tags=("t",))
     assert saved.register("one", "SELECT 1 AS x", tags=("t",)) == digest and saved.run("one").first().x == 1 and saved.listing().first().artifact_sha256 == digest

@@ -1,35 +1,11 @@
-"""Queries over whole tables, where the registered SQL takes a part of them: against SQL and brute force of the whole."""
+"""Queries over whole tables, against brute force."""
 
 import hashlib
 
 import numpy as np
-from oracle import connect, rows_of
 
 from rulelake.operators import selection as S
-from rulelake.plans import catalog, document_queries
-
-SF = "/root/testdata/sf0.001"
-
-
-def agrees(df, sql, sf_dir=SF):
-    result = connect(sf_dir).execute(sql)
-    return rows_of(df.columns, df.collect()) == rows_of([c[0] for c in result.description], result.fetchall())
-
-
-def changed(sql, *swaps):
-    for old, new in swaps:
-        assert old in sql
-        sql = sql.replace(old, new)
-    return sql
-
-
-def test_suggestions_rank_all_targets_of_a_label(spark):
-    """The SQL with the label alone as the block."""
-    signs = " || array_to_string(list_transform(embedding[3:6], lambda v: CASE WHEN v > 0 THEN '+' ELSE '-' END), '')"
-    sql = changed(catalog.ORACLE_SQL["unresolved_suggestions"], (signs, ""))
-    out = catalog.QUERIES["unresolved_suggestions"](spark, SF)
-    assert agrees(out, sql)
-    assert out.count() == connect(SF).execute("SELECT count(*) FROM embeddings WHERE embedding[1] > 0").fetchone()[0]
+from rulelake.plans import document_queries
 
 
 def test_suggestions_by_packs_keep_ties_and_links_without_a_target(spark):
@@ -55,25 +31,6 @@ def test_suggestions_by_packs_keep_ties_and_links_without_a_target(spark):
             assert sorted(map(tuple, S.suggestions(one, two, "id", k, pack).collect()), key=repr) == sorted(want, key=repr)
 
 
-def test_heading_sections_cover_whole_lines(spark):
-    """The SQL without its cut of headings to 12 characters."""
-    sql = changed(catalog.ORACLE_SQL["chunk_markdown_headings"], ("substr(a[i], 1, 12)", "a[i]"))
-    assert agrees(catalog.QUERIES["chunk_markdown_headings"](spark, SF), sql)
-
-
-#: Terms are made ASCII as texts are, and may so be of more than two words.
-ALL_TERMS = (
-    ("SELECT DISTINCT * FROM (", "SELECT DISTINCT target, trim(regexp_replace(term, '[^a-z0-9_]+', ' ', 'g')) AS term FROM ("),
-    ("WHERE regexp_full_match(term, '[a-z0-9_ ]+')", "WHERE regexp_matches(term, '[a-z0-9_]')"),
-    ("w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM words)", "array_to_string(w[i:i + n - 1], ' ') FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, (SELECT unnest(range(2, 7)) AS n))"),
-)
-
-
-def test_mentions_search_all_terms(spark):
-    for name in ("term_mentions", "backlinks"):
-        assert agrees(catalog.QUERIES[name](spark, SF), changed(catalog.ORACLE_SQL[name], *ALL_TERMS))
-
-
 def test_terms_with_other_letters_and_texts_with_code(spark, tmp_path):
     spark.createDataFrame([(1, "Ciónñ x ci n. `ci n` [[ci n]]\n```\nci n\n```\nstteä"), (2, "stte")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, "ciónñ"), (8, "stteä"), (9, "éç")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -86,9 +43,3 @@ def test_token_hashes_cover_all_letters(spark, tmp_path):
     spark.createDataFrame([(k, t) for k, (t, _) in rows.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.token_sha256 for r in document_queries.chunk_token_hashes(spark, str(tmp_path)).collect()}
     assert got == {k: hashlib.sha256("\n".join(words).encode()).hexdigest() for k, (_, words) in rows.items()}
-
-
-def test_selections_are_of_all_rows(spark):
-    """The SQL without remainders of ids and without a limit."""
-    for name, cut in (("select_unresolved_links", " AND event_id % 3 = 1 ORDER BY 1, 2, 3 LIMIT 500"), ("title_search", " WHERE vec_id % 2 = 0")):
-        assert agrees(catalog.QUERIES[name](spark, SF), changed(catalog.ORACLE_SQL[name], (cut, "")))
