@@ -242,15 +242,15 @@ def checked_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumn("kind", F.when(fault.isNotNull(), F.raise_error(F.concat(fault, F.col("src").cast("string")))).otherwise(F.col("kind")))
 
 
-#: Domain of node ids (fixed value).
-NODE_TAG = "admit_dag_node_v1"
+#: Domain of node ids; who must match the ids of another system passes its own.
+NODE_TAG = "dag_node_v1"
 
 
-def node_ids(nodes: DataFrame, kind_fields: dict[str, str]) -> DataFrame:
+def node_ids(nodes: DataFrame, kind_fields: dict[str, str], tag: str = NODE_TAG) -> DataFrame:
     """Content ids of nodes (type, inputs array of ids, params binary, and the fields of their kind): the digest of the
     canonical CBOR of tag, kind, sorted inputs and parameters. ``kind_fields`` maps fields of the kind to string columns."""
     kind = CB.mapping({"type": CB.text(F.col("type"))} | {name: CB.text(F.col(column)) for name, column in kind_fields.items()})
-    said = {"tag": CB.text(F.lit(NODE_TAG)), "kind": kind, "inputs": CB.array(F.array_sort("inputs")), "params": CB.text(F.lower(F.hex("params")))}
+    said = {"tag": CB.text(F.lit(tag)), "kind": kind, "inputs": CB.array(F.array_sort("inputs")), "params": CB.text(F.lower(F.hex("params")))}
     return nodes.withColumn("node_id", CB.sha256(CB.mapping(said)))
 
 

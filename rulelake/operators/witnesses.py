@@ -108,14 +108,30 @@ def provenance_bindings(bindings: DataFrame, keys: list[str], repository: str =
     return rows.withColumn("place", F.row_number().over(W.partitionBy(repository).orderBy(*keys)))
 
 
-#: Domain of ids of links without a target (fixed value).
-UNRESOLVED_TAG = "admit_obsidian_unresolved_v1"
+#: Domains of ids of links; who must match the ids of another system passes its own.
+LINK_TAG, FILE_LINK_TAG, UNRESOLVED_TAG, FACET_TAG = "link_v1", "file_link_v1", "unresolved_link_v1", "has_facet_v1"
 
 
-def unresolved_ids(links: DataFrame, from_col: str = "from_path") -> DataFrame:
+def _said(from_col: str) -> dict[str, Column]:
+    """What every id of a link says: where it stands and how it is written."""
+    return {"from": CB.text(F.col(from_col)), "target": CB.text(F.col("target")), "alias": CB.text(F.col("alias")), "heading": CB.text(F.col("heading")), "embed": CB.boolean(F.col("embed")), "line": CB.integer(F.col("line"))}
+
+
+def unresolved_ids(links: DataFrame, from_col: str = "from_path", tag: str = UNRESOLVED_TAG) -> DataFrame:
     """Links (from, target, alias, heading, embed, line) with the digest of what they say."""
-    said = {"tag": CB.text(F.lit(UNRESOLVED_TAG)), "from": CB.text(F.col(from_col)), "target": CB.text(F.col("target")), "alias": CB.text(F.col("alias")), "heading": CB.text(F.col("heading")), "embed": CB.boolean(F.col("embed")), "line": CB.integer(F.col("line"))}
-    return links.withColumn("unresolved_id", CB.sha256(CB.mapping(said)))
+    return links.withColumn("unresolved_id", CB.sha256(CB.mapping({"tag": CB.text(F.lit(tag))} | _said(from_col))))
+
+
+def link_ids(links: DataFrame, to_col: str, from_col: str = "from_path", to_file: bool = False, tag: str | None = None) -> DataFrame:
+    """Resolved links (with kind) with the digest of the edge that they are, to a document or to a file."""
+    ends = {"to_file_path" if to_file else "to": CB.text(F.col(to_col)), "resolution_kind": CB.text(F.col("kind"))}
+    return links.withColumn("edge_id", CB.sha256(CB.mapping({"tag": CB.text(F.lit(tag or (FILE_LINK_TAG if to_file else LINK_TAG)))} | _said(from_col) | ends)))
+
+
+def facet_ids(facets: DataFrame, path_col: str = "path", facet_col: str = "facet", tag: str = FACET_TAG) -> DataFrame:
+    """(path, facet) rows with the id of the facet and that of the edge between both."""
+    edge = {"tag": CB.text(F.lit(tag)), "doc_path": CB.text(F.col(path_col)), "facet": CB.text(F.col(facet_col))}
+    return facets.withColumn("facet_id", F.sha2(facet_col, 256)).withColumn("edge_id", CB.sha256(CB.mapping(edge)))
 
 
 def events_with_ids(rows: DataFrame, fields: Mapping[str, Column]) -> DataFrame:

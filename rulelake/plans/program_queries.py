@@ -11,6 +11,7 @@ from ..operators import documents as D
 from ..operators import selection as S
 from ..operators import witnesses as WI
 from ..session import table
+from ..sources import files as SF
 from . import cbor_sql as C
 from . import program as P
 from .source_queries import _pick, _sql_pick
@@ -163,6 +164,24 @@ def unresolved_link_ids(spark, sf_dir):
     return WI.unresolved_ids(rows).select("p_partkey", "unresolved_id")
 
 
+def link_edge_ids(spark, sf_dir):
+    """Ids of edges to documents and to files."""
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(k, F.concat(F.lit("d/"), k).alias("from_path"), F.col("p_name").alias("target"), F.col("p_brand").alias("alias"), F.lit(None).cast("string").alias("heading"), F.lit(True).alias("embed"), F.col("p_size").alias("line"), F.lit("exact_path").alias("kind"), F.concat(F.lit("to"), "p_size").alias("to"))
+    docs = WI.link_ids(rows, "to").select("p_partkey", F.lit("doc").alias("what"), "edge_id")
+    return docs.unionByName(WI.link_ids(rows, "to", to_file=True).select("p_partkey", F.lit("file").alias("what"), "edge_id"))
+
+
+def facet_edge_ids(spark, sf_dir):
+    return WI.facet_ids(table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), "doc_id").alias("path"), F.coalesce("source", F.lit("")).alias("facet")))
+
+
+def observed_spans(spark, sf_dir):
+    """Patterns counted over whole documents, each with the place where it occurs first."""
+    texts = table(spark, sf_dir, "documents").select(F.format_string("d%08d", "doc_id").alias("path"), F.regexp_replace("text", r"[^\x09\x0A\x20-\x7E]", "~").alias("text"))
+    return SF.observe(texts, {"the": r"\bthe\b", "aa": "aa", "none": "zzzzzz"})
+
+
 def file_formats(spark, sf_dir):
     path = F.concat(F.lit("a/b."), _pick(("md", "rs", "py", "txt", "ipynb", "JSON", "x"), F.col("p_partkey")))
     return table(spark, sf_dir, "part").select("p_partkey", CH.format_of(path).alias("format"), CH.language_of(path).alias("language"))
@@ -265,6 +284,7 @@ def rerank_missing_vectors(spark, sf_dir):
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not name.startswith("_") and name.islower()}
 
 _SHA = lambda *parts: "sha256(" + " || ".join(parts) + ")"
+_EDGE = {"from": C.text("f"), "target": C.text("t"), "alias": C.text("a"), "heading": "'f6'", "embed": "'f5'", "line": C.integer("line"), "resolution_kind": C.text("'exact_path'")}
 _COSINE = "list_cosine_similarity(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
 _SPINES = """
 WITH c AS (SELECT source AS concept, lang AS spine, count(*) FILTER (n_chars % 2 = 0) AS s, count(*) AS total FROM documents GROUP BY ALL),
@@ -323,7 +343,17 @@ ORACLE_SQL = {
     "term_occurrences": "SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z ]', ' ', 'g'), ' '), lambda w: w = 'the')) AS BIGINT) AS n FROM documents",
     "unresolved_link_ids": f"""
         WITH l AS (SELECT p_partkey AS k, 'd/' || p_partkey AS f, p_name AS t, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS a, CASE WHEN p_partkey % 3 = 0 THEN 'é' END AS h, p_size AS line FROM part)
-        SELECT k AS p_partkey, {C.sha256(C.mapping({"tag": C.text("'admit_obsidian_unresolved_v1'"), "from": C.text("f"), "target": C.text("t"), "alias": C.text("a"), "heading": C.text("h"), "embed": "CASE WHEN k % 5 = 0 THEN 'f5' ELSE 'f4' END", "line": C.integer("line")}))} AS unresolved_id FROM l""",
+        SELECT k AS p_partkey, {C.sha256(C.mapping({"tag": C.text("'unresolved_link_v1'"), "from": C.text("f"), "target": C.text("t"), "alias": C.text("a"), "heading": C.text("h"), "embed": "CASE WHEN k % 5 = 0 THEN 'f5' ELSE 'f4' END", "line": C.integer("line")}))} AS unresolved_id FROM l""",
+    "link_edge_ids": f"""
+        WITH l AS (SELECT p_partkey AS k, 'd/' || p_partkey AS f, p_name AS t, p_brand AS a, p_size AS line, 'to' || p_size AS z FROM part)
+        SELECT k AS p_partkey, 'doc' AS what, {C.sha256(C.mapping(_EDGE | {"tag": C.text("'link_v1'"), "to": C.text("z")}))} AS edge_id FROM l UNION ALL SELECT k, 'file', {C.sha256(C.mapping(_EDGE | {"tag": C.text("'file_link_v1'"), "to_file_path": C.text("z")}))} FROM l""",
+    "facet_edge_ids": f"SELECT 'd/' || doc_id AS path, coalesce(source, '') AS facet, sha256(coalesce(source, '')) AS facet_id, {C.sha256(C.mapping({'tag': C.text(chr(39) + 'has_facet_v1' + chr(39)), 'doc_path': C.text(chr(39) + 'd/' + chr(39) + ' || doc_id'), 'facet': C.text('coalesce(source, ' + chr(39) * 2 + ')')}))} AS edge_id FROM documents",
+    "observed_spans": """
+        WITH t AS (SELECT printf('d%08d', doc_id) AS path, lower(regexp_replace(text, '[^\\x09\\x0A\\x20-\\x7E]', '~', 'g')) AS t FROM documents),
+        l AS (SELECT path, i AS line, l[i] AS s FROM (SELECT path, string_split(t, chr(10)) AS l, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM t)),
+        p AS (SELECT path, line, s, unnest(range(1, length(s) + 1)) AS col FROM l),
+        h AS (SELECT 'aa' AS diff, path, line, col FROM p WHERE s[col:col + 1] = 'aa' UNION ALL SELECT 'the', path, line, col FROM p WHERE s[col:col + 2] = 'the' AND NOT regexp_matches(coalesce(s[col - 1:col - 1], ''), '[a-z0-9_]') AND NOT regexp_matches(s[col + 3:col + 3], '[a-z0-9_]'))
+        SELECT diff, count(*) AS value, 'count' AS unit, min(path) AS first_path, CAST(arg_min(line, (path, line, col)) AS INT) AS first_line, CAST(arg_min(col, (path, line, col)) AS INT) AS first_col FROM h GROUP BY diff UNION ALL SELECT 'none', 0, 'count', NULL, NULL, NULL""",
     "file_formats": f"SELECT p_partkey, {_sql_pick(('md', 'rs', 'py', 'txt', 'ipynb', 'json', 'x'), 'p_partkey')} AS format, CASE p_partkey % 7 WHEN 0 THEN 'markdown' WHEN 1 THEN 'rust' WHEN 2 THEN 'python' WHEN 3 THEN 'text' WHEN 4 THEN 'python' END AS language FROM part",
     "chunk_rust_items": """
         WITH p AS (SELECT 'f' || p_partkey || '.rs' AS path, 'use a;' || chr(10) || chr(10) AS a, 'fn f' || p_partkey || '() {' || chr(10) || '    if x { fn inner() {} }' || chr(10) || '}' || chr(10) AS b, 'pub struct é' || p_partkey || ';' || chr(10) AS c FROM part)

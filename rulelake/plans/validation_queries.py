@@ -635,7 +635,7 @@ ORACLE_SQL = {
         SELECT state, accepted, count(*) AS n FROM s GROUP BY ALL""",
     "dag_node_ids": f"""
         WITH p AS (SELECT p_partkey, 'src/' || p_partkey AS path, sha256(p_name) AS c, list_sort([sha256(p_brand), sha256(p_type)]) AS i, lower(hex(encode('p' || p_size))) AS params FROM part)
-        SELECT p_partkey, {C.sha256(C.mapping({"tag": C.text("'admit_dag_node_v1'"), "kind": C.mapping({"type": C.text("'file_at_path'"), "path": C.text("path"), "content_sha256": C.text("c")}), "inputs": "('82' || " + C.text("i[1]") + " || " + C.text("i[2]") + ")", "params": C.text("params")}))} AS node_id FROM p""",
+        SELECT p_partkey, {C.sha256(C.mapping({"tag": C.text("'dag_node_v1'"), "kind": C.mapping({"type": C.text("'file_at_path'"), "path": C.text("path"), "content_sha256": C.text("c")}), "inputs": "('82' || " + C.text("i[1]") + " || " + C.text("i[2]") + ")", "params": C.text("params")}))} AS node_id FROM p""",
     "dag_ensure_nodes": "SELECT count(*) AS n, count(*) AS ids FROM customer",
     "dag_add_edges": _EDGES + "SELECT kind, count(*) AS n FROM (SELECT DISTINCT * FROM e) GROUP BY kind",
     "dag_edge_views": _EDGES + "SELECT k AS view, count(src) AS edges, count(DISTINCT src) AS sources FROM (SELECT unnest(['build_depends', 'witness_of', 'authority_depends', 'mutation_commitment', 'cost_displacement']) AS k) LEFT JOIN e ON kind = k GROUP BY k",

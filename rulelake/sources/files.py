@@ -351,6 +351,10 @@ def observations(texts: DataFrame, patterns: dict[str, str], ignore_case: bool =
 
 
 def observe(texts: DataFrame, patterns: dict[str, str], ignore_case: bool = True) -> DataFrame:
-    """(diff, value, unit, first_path) of patterns counted over (path, text) rows."""
-    counted = texts.select("path", F.explode(F.array(*[F.struct(F.lit(d).alias("diff"), T.observed(F.col("text"), p, ignore_case).alias("n")) for d, p in sorted(patterns.items())])).alias("o"))
-    return counted.groupBy(F.col("o.diff").alias("diff")).agg(F.sum("o.n").alias("value"), F.lit("count").alias("unit"), F.min(F.when(F.col("o.n") > 0, F.col("path"))).alias("first_path"))
+    """(diff, value, unit, first_path, first_line, first_col) of patterns counted over (path, text) rows, a row per pattern, with
+    the place of its first occurrence in order of paths. Each text gives one count and one place per pattern before the shuffle."""
+    found = F.array(*[F.struct(F.lit(d).alias("diff"), T.observed_places(F.col("text"), p, ignore_case).alias("places")) for d, p in sorted(patterns.items())])
+    rows = texts.select("path", F.explode(found).alias("o")).select("path", "o.diff", F.coalesce(F.size("o.places"), F.lit(0)).alias("n"), F.try_element_at("o.places", F.lit(1)).alias("at"))
+    first = F.min(F.when(F.col("n") > 0, F.struct("path", "at.line", "at.col")))
+    counted = rows.groupBy("diff").agg(F.sum("n").alias("value"), first.alias("first"))
+    return counted.select("diff", "value", F.lit("count").alias("unit"), F.col("first.path").alias("first_path"), F.col("first.line").alias("first_line"), F.col("first.col").alias("first_col"))
