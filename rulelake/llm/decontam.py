@@ -21,7 +21,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np

@@ -120,11 +120,7 @@ class ToxicityModel:
         return float(sigmoid(self.curve[0] * a + self.curve[1] * b + self.curve[2]))
 
 
-def _words_of(text: str) -> list[str]:
-    return fold_text(text).split()
-
-
-@lru_cache(maxsize=1 << 17)
+@lru_cache(maxsize=1 << 14)
 def _terms_of(word: str) -> tuple[str, ...]:
     """A word itself and its beginnings, as terms."""
     return (word + " ", *(word[:k] for k in BEGINNINGS if len(word) > k))
@@ -142,16 +138,16 @@ def _weight(toxic: int, all_toxic: int, clean: int, all_clean: int) -> float:
 
 def learn(sample: list[tuple[str, int]], support: float = SUPPORT, least_weight: float = LEAST_WEIGHT) -> ToxicityModel:
     """A model from (text, label) rows; the built-in one where a class is missing."""
-    sides = {1: [_words_of(t) for t, y in sample if y == 1], 0: [_words_of(t) for t, y in sample if y == 0]}
+    sides = {1: [fold_text(t) for t, y in sample if y == 1], 0: [fold_text(t) for t, y in sample if y == 0]}
     if not sides[0] or not sides[1]:
         return ToxicityModel()
     toxic, clean = Counter(), Counter()
-    for words in sides[1]:
-        toxic.update(_terms(words))
+    for folded in sides[1]:
+        toxic.update(_terms(folded.split()))
     enough = max(3, support * len(sides[1]))
     toxic = Counter({term: n for term, n in toxic.items() if n >= enough})
-    for words in sides[0]:
-        clean.update(_terms(words) & toxic.keys())
+    for folded in sides[0]:
+        clean.update(_terms(folded.split()) & toxic.keys())
     weighed = {term: _weight(n, len(sides[1]), clean[term], len(sides[0])) for term, n in toxic.items()}
     chosen: dict[str, float] = {}
     for term in sorted(weighed, key=lambda t: (len(t), t)):
@@ -165,24 +161,22 @@ def learn(sample: list[tuple[str, int]], support: float = SUPPORT, least_weight:
     model = ToxicityModel(chosen, BASE_EXCEPTIONS)
     model.exceptions = (*BASE_EXCEPTIONS, *_learn_exceptions(model, sides))
     machine = model.automaton()
-    x = np.array([model.folded_features(f" {' '.join(words)} ", machine) for y in (1, 0) for words in sides[y]])
+    x = np.array([model.folded_features(folded, machine) for y in (1, 0) for folded in sides[y]])
     y = np.array([1.0] * len(sides[1]) + [0.0] * len(sides[0]))
     model.curve = tuple(float(v) for v in logistic(x, y, ridge=1.0, intercept=True))
+    _terms_of.cache_clear()
     return model
 
 
-def _learn_exceptions(model: ToxicityModel, sides: dict[int, list[list[str]]]) -> list[str]:
+def _learn_exceptions(model: ToxicityModel, sides: dict[int, list[str]]) -> list[str]:
     """Two-word phrases around a term that clean documents use and toxic ones do not."""
-    counts, carries = {}, {}
+    counts: dict[int, Counter] = {}
+    carries = lru_cache(maxsize=1 << 16)(lambda word: any(term in model.terms for term in _terms_of(word)))
     for y, texts in sides.items():
         counts[y] = Counter()
-        for words in texts:
-            hit = []
-            for k, word in enumerate(words):
-                if (found := carries.get(word)) is None:
-                    found = carries[word] = any(term in model.terms for term in _terms_of(word))
-                if found:
-                    hit.append(k)
+        for folded in texts:
+            words = folded.split()
+            hit = [k for k, word in enumerate(words) if carries(word)]
             counts[y].update({" ".join(words[max(0, a) : a + 2]) for k in hit for a in (k - 1, k)})
     least = max(3, 0.002 * len(sides[0]))
     return sorted(p for p, n in counts[0].items() if n >= least and " " in p and counts[1][p] * 20 < n)
