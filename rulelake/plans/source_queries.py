@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import canonical
-from ..functions import cbor_columns as CB
 from ..functions import text as T
 from ..operators import ledger_verify as LV
 from ..operators import predicates as P
