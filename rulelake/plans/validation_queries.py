@@ -587,7 +587,7 @@ ORACLE_SQL = {
         UNION ALL SELECT 'scope_packs', count(*), count(*) FROM (SELECT DISTINCT id, hash, twice FROM pk)""",
     "registry_migrated": """SELECT * FROM (VALUES ('schemas', 's/1', CAST(1 AS INT), 'canonical-json', CAST(NULL AS VARCHAR)), ('scopes', 'scope:a', 1, NULL, NULL), ('stdlib', 'module:std@1', NULL, NULL, NULL),
         ('meta_buckets', 'bucket:trust_debt', NULL, NULL, 'risk_points'), ('meta_buckets', 'bucket:compatibility_debt', NULL, NULL, 'risk_points'), ('meta_buckets', 'bucket:explanation_debt', NULL, NULL, 'risk_points')) t(kind, id, version, encoding, unit)""",
-    "registry_pack_sync": _REG + ", b AS (SELECT 'scope:c' || s_suppkey AS id FROM supplier) SELECT false AS is_new, count(*) AS n, count(DISTINCT id) AS ids FROM pk WHERE id NOT IN (FROM b) UNION ALL SELECT true, count(*), count(DISTINCT id) FROM b",
+    "registry_pack_sync": _REG + ", b AS (SELECT 'scope:c' || s_suppkey AS id FROM supplier) SELECT false AS is_new, count(*) AS n, count(DISTINCT id) AS ids FROM pk WHERE id NOT IN (FROM b) HAVING count(*) > 0 UNION ALL SELECT true, count(*), count(DISTINCT id) FROM b",
     "scope_addition_checks": _REG + _CYCLES + """
         , k AS (SELECT *, regexp_matches(id, '^scope:p') AS good_id, EXISTS (SELECT 1 FROM sm WHERE sm.id = snap) AND (SELECT bool_and(snapshot) FROM sm WHERE sm.id = snap) AS good_snap, emits IN (SELECT id FROM sm) AS good_emits, dep IN (SELECT id FROM sc) AND id NOT IN (FROM ring) AS good_deps FROM sc),
         c AS (SELECT unnest(['scope_id_format', 'meta_scope_completeness', 'snapshot_schema_exists', 'emits_schemas_exist', 'consumes_schemas_exist', 'dependencies_valid', 'no_duplicate_scope']) AS name, unnest([good_id, true, good_snap, good_emits, true, good_deps, false]) AS passed FROM k)
