@@ -147,8 +147,8 @@ def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     In one order of all shingles, rarest first, two such sets share a shingle among the first n - ceil(t n) + 1 of each.
     The order is by a count of fixed-size bins, so any number of shingles needs the same memory. Components rather than
-    their members meet at a shingle, and only those that met are expanded; pairs are made only where one-bit signatures
-    do not rule the similarity out.
+    their members meet at a shingle. Of those that met only members are expanded that the triangle inequality leaves near
+    enough (``_distances``), and pairs are made only where one-bit signatures do not rule the similarity out.
     """
     wide = nodes.join(sets, "node")
 
@@ -200,14 +200,57 @@ def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     meet = one.join(two, (one.token == two.token) & (F.col("component_a") < F.col("component_b")) & (F.col("many_a") | F.col("many_b") | similar))
     meet = checkpointed(meet.select("component_a", "component_b", "many_a", "many_b", "node_a", "node_b").distinct())
     single = meet.where("not many_a and not many_b").select("node_a", "node_b")
-    # The side of one member is expanded first, so that only what passes the sketch is made.
-    turn = F.col("many_a") & ~F.col("many_b")
-    groups = meet.where("many_a or many_b").select(F.when(turn, F.col("component_b")).otherwise(F.col("component_a")).alias("few"), F.when(turn, F.col("component_a")).otherwise(F.col("component_b")).alias("lots")).distinct()
-    few = groups.join(side(nodes, "a"), F.col("few") == F.col("component_a"))
-    lots = few.join(side(nodes, "b"), (F.col("lots") == F.col("component_b")) & similar).select("node_a", "node_b")
+    groups = meet.where("many_a or many_b").select("component_a", "component_b").distinct()
+    far = _distances(groups, nodes.select("node", "component"), sets)
+    if far is None:
+        lots = single.limit(0)
+    else:
+        apart, away = far
+        # Members far enough from their component's first node to be near one of the other component's, and no others.
+        most, slack = (100 - percent) / 100, 1e-9
+        reach = away.groupBy("component").agg(F.max("away").alias("reach"), F.count(F.lit(1)).alias("size"))
+        open_ = apart.join(side(reach, "a"), "component_a").join(side(reach, "b"), "component_b").where(F.col("apart") <= most + slack + F.col("reach_a") + F.col("reach_b"))
+        # The component of fewer members is expanded, and pairs are made with the other's members only where all tests hold.
+        turn = F.col("size_b") < F.col("size_a")
+        either = lambda this, that: F.when(turn, F.col(this)).otherwise(F.col(that))
+        open_ = open_.select(either("component_b", "component_a").alias("few"), either("component_a", "component_b").alias("lots"), "apart", either("reach_a", "reach_b").alias("reach"))
+        placed = nodes.join(away.drop("component"), "node")
+        few = open_.join(side(placed, "a"), (F.col("few") == F.col("component_a")) & (F.col("away_a") >= F.col("apart") - most - slack - F.col("reach")))
+        near = F.col("away_a") + F.col("away_b") >= F.col("apart") - most - slack
+        lots = few.join(side(placed, "b"), (F.col("lots") == F.col("component_b")) & near & similar).select("node_a", "node_b")
     return single.union(lots).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
+def _distances(groups: DataFrame, nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """How far components that meet are apart, by their first nodes: (component_a, component_b, apart), and how far their members
+    are away from their own first node: (node, component, away), as Jaccard distances of full sets; None without groups.
+
+    Jaccard distance obeys the triangle inequality, so members of two components are no nearer to each other than their first
+    nodes are apart, less what both are away from those. That rules out whole components, or all but their outermost
+    members, at one comparison per member, where pairs of members would be their product.
+    """
+    groups = checkpointed(groups)
+    if not groups.limit(1).count():
+        return None
+    comps = groups.select(F.col("component_a").alias("component")).union(groups.select("component_b")).distinct()
+    members = nodes.join(comps, "component")
+    asked = members.select(F.col("node").alias("a"), F.col("component").alias("b"), F.lit(True).alias("member")).union(groups.select("component_a", "component_b", F.lit(False)))
+
+    def run(batches):
+        for batch in batches:
+            said = []
+            for x, y in zip(batch.column("one"), batch.column("two"), strict=True):
+                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                said.append(1 - shared / max(1, len(one) + len(two) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("member"), pa.array(said, pa.float64())], ["a", "b", "member", "distance"])
+
+    wide = asked.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b")
+    made = checkpointed(wide.select("a", "b", "member", "one", "two").mapInArrow(run, "a long, b long, member boolean, distance double"))
+    apart = made.where("not member").select(F.col("a").alias("component_a"), F.col("b").alias("component_b"), F.col("distance").alias("apart"))
+    return apart, made.where("member").select(F.col("a").alias("node"), F.col("b").alias("component"), F.col("distance").alias("away"))
+
+
 def _most_differing(percent: int) -> int:
     """Bits in which the sketches of a pair at the threshold differ at most, but for a chance of about 3 in 10 million."""
     bits, expected = 64 * SKETCH_WORDS, (100 - percent) / 200

@@ -121,3 +121,24 @@ def test_components_of_a_chain(spark):
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     assert difference(minhash.op5_circulant_minhash(spark, sf), minhash.OP5_SQL, sf) == ""
+
+
+def test_components_meet_by_their_outermost_members(spark, monkeypatch):
+    """Texts that turn into others step by step: few of the members of two components are near enough to link them, and the
+    triangle inequality must leave those."""
+    rng = random.Random(12)
+    ruled_out = []
+    monkeypatch.setattr(minhash, "_distances", lambda *a, made=minhash._distances: ruled_out.append(made(*a)) or ruled_out[-1])
+    table, key = [], 0
+    for family in range(6):
+        size = 120
+        base, other = ([f"f{family}{side}{k}" for k in range(size)] for side in "xy")
+        shared = [f"f{family}shared{k}" for k in range(60)]
+        for step in sorted(rng.choice(range(0, size, 2)) for _ in range(26)):
+            words = shared + other[:step] + base[step:]
+            for _ in range(2):  # a variant of each step, with a word of its own
+                place = rng.randrange(len(words))
+                table.append((key, " ".join([*words[:place], f"own{key}", *words[place + 1 :]])))
+                key += 1
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got(spark, table, bands=24, rows=1)} == brute(table)
+    assert any(r is not None for r in ruled_out)
