@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -14,44 +15,60 @@ from pyspark.sql import functions as F
 MOST, LEAST = 2**63 - 1, -(2**63)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor by a bounded Euclid; 64-bit numbers need fewer than 93 steps. Numbers that fit 63 bits are
-    divided as such, only others as decimals."""
+    """Greatest common divisor by Euclid's steps, of which there are at most five for each digit of the smaller number, and one
+    to put the larger first. Numbers that fit 63 bits are divided as such, only others as decimals."""
 
-    def euclid(kind: str) -> Column:
-        start = F.struct(F.abs(a).cast(kind).alias("x"), F.abs(b).cast(kind).alias("y"))
+    def euclid(p: Column, kind: str) -> Column:
+        start = F.struct(p["x"].cast(kind).alias("x"), p["y"].cast(kind).alias("y"))
         step = lambda s, _: F.struct(F.when(s["y"] == 0, s["x"]).otherwise(s["y"]).alias("x"), F.when(s["y"] == 0, s["y"]).otherwise((s["x"] % s["y"]).cast(kind)).alias("y"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(93)), start, step, lambda s: s["x"])
+        steps = F.sequence(F.lit(1), 5 * F.length(F.least(p["x"], p["y"]).cast("string")) + 1)
+        return F.aggregate(steps, start, step, lambda s: s["x"].cast("decimal(38,0)"))
 
-    small = (F.abs(a) <= MOST) & (F.abs(b) <= MOST)
-    return F.when(small, euclid("long").cast("decimal(38,0)")).otherwise(euclid("decimal(38,0)"))
+    pair = F.struct(F.abs(a).cast("decimal(38,0)").alias("x"), F.abs(b).cast("decimal(38,0)").alias("y"))
+    return _let(pair, lambda p: F.when((p["x"] <= MOST) & (p["y"] <= MOST), euclid(p, "long")).otherwise(euclid(p, "decimal(38,0)")))
 
 
 def rational(num: Column, den: Column) -> Column:
     """Lowest terms with a positive denominator; a zero denominator or an overflow of 64 bits is an error."""
-    num, den = num.cast("decimal(38,0)"), den.cast("decimal(38,0)")
-    sign = F.when(den < 0, F.lit(-1)).otherwise(F.lit(1))
-    divisor = F.when(den == 0, F.raise_error(F.lit("division by zero")).cast("decimal(38,0)")).otherwise(F.greatest(gcd(num, den), F.lit(1).cast("decimal(38,0)")))
-    n, d = (num * sign / divisor).cast("decimal(38,0)"), (den * sign / divisor).cast("decimal(38,0)")
-    fits = (n <= MOST) & (n >= LEAST) & (d <= MOST)
-    guarded = F.when(fits, n).otherwise(F.raise_error(F.lit("number exceeds 64 bits")).cast("decimal(38,0)"))
-    return F.struct(guarded.alias("num"), d.alias("den"))
+    whole = "decimal(38,0)"
+
+    def lowest(p: Column) -> Column:
+        divisor = F.when(p["d"] == 0, F.raise_error(F.lit("division by zero")).cast(whole)).otherwise(F.greatest(gcd(p["n"], p["d"]), F.lit(1).cast(whole)))
+        return F.struct(p["n"].alias("n"), p["d"].alias("d"), divisor.alias("g"), F.when(p["d"] < 0, F.lit(-1)).otherwise(F.lit(1)).alias("sign"))
+
+    def guarded(p: Column) -> Column:
+        fits = (p["num"] <= MOST) & (p["num"] >= LEAST) & (p["den"] <= MOST)
+        return F.struct(F.when(fits, p["num"]).otherwise(F.raise_error(F.lit("number exceeds 64 bits")).cast(whole)).alias("num"), p["den"].alias("den"))
+
+    pair = F.struct(num.cast(whole).alias("n"), den.cast(whole).alias("d"))
+    reduced = lambda p: F.struct((p["n"] * p["sign"] / p["g"]).cast(whole).alias("num"), (p["d"] * p["sign"] / p["g"]).cast(whole).alias("den"))
+    return _let(_let(_let(pair, lowest), reduced), guarded)
+
+
+def _both(a: Column, b: Column, use: Callable[[Column, Column], Column]) -> Column:
+    return _let(F.struct(a.alias("a"), b.alias("b")), lambda p: use(p["a"], p["b"]))
 
 
 def add(a: Column, b: Column) -> Column:
-    return rational(a["num"] * b["den"] + b["num"] * a["den"], a["den"] * b["den"])
+    return _both(a, b, lambda x, y: rational(x["num"] * y["den"] + y["num"] * x["den"], x["den"] * y["den"]))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return rational(a["num"] * b["den"] - b["num"] * a["den"], a["den"] * b["den"])
+    return _both(a, b, lambda x, y: rational(x["num"] * y["den"] - y["num"] * x["den"], x["den"] * y["den"]))
 
 
 def multiply(a: Column, b: Column) -> Column:
-    return rational(a["num"] * b["num"], a["den"] * b["den"])
+    return _both(a, b, lambda x, y: rational(x["num"] * y["num"], x["den"] * y["den"]))
 
 
 def divide(a: Column, b: Column) -> Column:
-    return rational(a["num"] * b["den"], a["den"] * b["num"])
+    return _both(a, b, lambda x, y: rational(x["num"] * y["den"], x["den"] * y["num"]))
 
 
 def compare(a: Column, b: Column) -> Column:

@@ -94,6 +94,11 @@ def cycle_residual(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     raise RuntimeError(f"not all peeled in {max_rounds} rounds")
 
 
+def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges both of whose ends are among (id) nodes."""
+    return edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+
+
 def first_cycle(edges: list[tuple[str, str]]) -> list[str]:
     """The first cycle in node order of a small (residual) edge list, as a closed path; empty without one."""
     after: dict[str, list[str]] = {}
@@ -257,8 +262,7 @@ def node_ids(nodes: DataFrame, kind_fields: dict[str, str], tag: str = NODE_TAG)
 def cycle_paths(edges: DataFrame) -> DataFrame:
     """(component, path) of a cycle in each component that has any: from its smallest node on a cycle along the smallest
     nodes that stay on cycles. What is left after peeling is walked per weak component, in one task each."""
-    left = edges.join(cycle_residual(edges).select(F.col("id").alias("src")), "src", "left_semi").join(cycle_residual(edges).select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").cast("string"), F.col("dst").cast("string")).distinct()
-    left = cut(left)
+    left = cut(within(edges, cycle_residual(edges)).select(F.col("src").cast("string"), F.col("dst").cast("string")).distinct())
     labels = cut(left.select(F.col("src").alias("id")).union(left.select("dst")).distinct().withColumn("component", F.col("id")))
     both = cut(left.union(left.select("dst", "src")).toDF("a", "b").distinct())
     while True:

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dag import cut
+
 REF = "struct<kind:string,schema_id:string,sha256:string,size_bytes:bigint,path:string>"
 EVENT = (
     "struct<event_id:string,event_type:string,timestamp:string,cost_declared_event_id:string,admissibility_checked_event_id:string,snapshot_hash:string,facts_bundle_hash:string,lens_id:string,lens_hash:string,"
@@ -175,7 +177,7 @@ def cross_issues(events: DataFrame) -> DataFrame:
 
 
 def verify_ledger(lines: DataFrame, artifacts: DataFrame, registries: DataFrame) -> DataFrame:
-    """All issues of a ledger."""
-    events = parsed(lines)
+    """All issues of a ledger. Its lines are parsed once."""
+    events = cut(parsed(lines))
     parts = [line_issues(events), artifact_issues(events, artifacts), registry_issues(events, registries), cross_issues(events)]
     return reduce(DataFrame.unionByName, parts)

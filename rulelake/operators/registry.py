@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .dag import cut
+from .dag import cut, cycle_residual, within
 
 ENTRY = (
     "kind string, id string, version int, hash string, unit string, encoding string, schema_kind string, phase string, role string, deterministic boolean, foundational boolean, contract_ref string, "
@@ -86,10 +86,10 @@ def scope_id_fault(scope_id: Column) -> Column:
 
 
 def dependency_cycles(scopes: DataFrame) -> DataFrame:
-    """(id) of scopes that reach themselves over their dependencies: pairs grow by doubling, and a scope that is found on a
-    cycle is expanded no further."""
-    edges = cut(scopes.select("id", F.explode("deps").alias("dep")).distinct())
-    reach = edges
+    """(id) of scopes that reach themselves over their dependencies. What lies on no cycle and between none is peeled off first;
+    in the rest pairs grow by doubling, and a scope that is found on a cycle is expanded no further."""
+    edges = scopes.select(F.col("id").alias("src"), F.explode("deps").alias("dst")).distinct()
+    reach = cut(within(edges, cycle_residual(edges)).select(F.col("src").alias("id"), F.col("dst").alias("dep")).distinct())
     while True:
         further = reach.where("id != dep").join(reach.where("id != dep").select(F.col("id").alias("dep"), F.col("dep").alias("next")), "dep").select("id", F.col("next").alias("dep"))
         grown = cut(reach.union(further).distinct())

@@ -8,6 +8,15 @@ from rulelake.plans import catalog
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """Tables of a few hundred rows need no more; other tests and the larger tables take many."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_agrees_with_sql(spark, name):
     assert difference(catalog.QUERIES[name](spark, SF), catalog.ORACLE_SQL[name], SF) == ""

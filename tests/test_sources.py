@@ -4,7 +4,8 @@ import pytest
 
 from rulelake.operators import chunkers as ch
 from rulelake.operators import predicates as P
-from rulelake.sources import files, repositories
+from rulelake.operators.findings import ProviderError
+from rulelake.sources import files, repositories, rust_syntax
 
 CARGO = """
 [package]
@@ -87,7 +88,7 @@ def test_git_status(spark):
     assert of("sensitive_path_touched", globs=["*.env", "src/*"]) == {"fresh/.env", "src/staged.rs"}
     assert provider.evaluate("dirty_state", facts, {}).triggered.first().triggered
     assert not provider.evaluate("dirty_state", facts.limit(0), {}).triggered.first().triggered
-    with pytest.raises(KeyError):
+    with pytest.raises(ProviderError, match="not supported"):
         provider.evaluate("no_such", facts, {})
 
 
@@ -124,6 +125,71 @@ def test_rust_sources(spark):
     assert rules == {("IR-RS-04", "src/witness.rs"), ("IR-RS-05", "src/witness.rs"), ("IR-RS-02", "db/projection.rs"), ("IR-RS-03", "db/projection.rs")}
 
 
+def test_rust_scanner():
+    source = """//! fn no() {}
+#![allow(x)]
+use std::{a, b}; /* fn no() { /* nested */ } */
+pub(crate) const X: [u8; { 2 }] = [1, 2];
+static mut S: &str = "fn fake() {";
+pub async unsafe extern "C" fn f<'a>(x: &'a str) where T: X { let s = r#"}"#; let d = '}'; let e = b'\\''; }
+#[derive(A)]
+pub struct P(u8, u8);
+struct U;
+union Un { a: u8 }
+trait T: X { fn g(); }
+trait Al = X + Y;
+impl<T> X for Q { fn h() {} }
+extern crate z;
+extern "C" { fn k(); }
+macro_rules! mm { () => {}; }
+my_macro!(a, b);
+const fn cf() {}
+"""
+    got = [(i.kind, i.name, i.public, i.start_line) for i in rust_syntax.items(source)]
+    assert got == [
+        ("use", "std", False, 2), ("const", "X", True, 4), ("static", "S", False, 5), ("fn", "f", True, 6), ("struct", "P", True, 7), ("struct", "U", False, 9), ("union", "Un", False, 10), ("trait", "T", False, 11),
+        ("trait_alias", "Al", False, 12), ("impl", "", False, 13), ("extern_crate", "z", False, 14), ("foreign_mod", "", False, 15), ("macro", "mm", False, 16), ("macro", "my_macro", False, 17), ("fn", "cf", False, 18),
+    ]
+    for broken in ("fn f( {", "/* open", 'let s = r#"open', "fn f() { ] }", "#[", "pub"):
+        assert rust_syntax.summary(broken) is None or json.loads(rust_syntax.summary(broken))["counts"] == {}
+    assert rust_syntax.items("") == [] and json.loads(rust_syntax.summary("use a;"))["counts"] == {"use": 1}
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    """A file that is read in many splits, with lines of very different lengths, and files beside it."""
+    lines = [f"{k} " + "x" * (k * 37 % 900) for k in range(3000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.txt").write_text("one\n\nthree")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        rows = files.numbered_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        got = {r.file.rsplit("/", 1)[-1]: [] for r in rows.select("file").distinct().collect()}
+        for r in rows.orderBy("file", "line").collect():
+            got[r.file.rsplit("/", 1)[-1]].append((r.line, r.raw))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got["a.txt"] == list(enumerate(lines, 1)) and got["b.txt"] == [(1, "one"), (2, ""), (3, "three")]
+
+
+def test_empty_files_and_listings(spark, tmp_path):
+    for name in ("a/b/c/empty", "a/full", "logs/empty", "top"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x" if name == "a/full" else "")
+    assert {(r.path, r.size) for r in files.walk(spark, str(tmp_path)).collect()} == {("a/b/c/empty", 0), ("a/full", 1), ("top", 0)}
+    listing = spark.createDataFrame([(bytearray(b"r/a\0r/target/x\0other/b\0r/\xff\xfe\0r/a\0"),)], "content binary")
+    assert [r.path for r in files.listed_paths(listing, "r").collect()] == ["a"]
+
+
+def test_projected_frontmatter(spark):
+    texts = {"a": "\ufeff---\r\ntitle:  'It is'  \r\nrole: x\r\ncanonical: true\r\n---\r\nbody", "b": "---\ntype: \"t\"\ncanonical: no\n---", "c": "no block\n---\ntype: t\n---\n", "d": None}
+    rows = files.projected_frontmatter(spark.createDataFrame(list(texts.items()), "path string, text string")).collect()
+    got = {r.path: tuple(r)[1:] for r in rows}
+    assert got["a"] == ("It is", "x", None, True, True) and got["b"] == (None, None, "t", None, True) and got["c"] == (None, None, None, None, False) and got["d"][:4] == (None,) * 4
+
+
 def test_notes_bundles_artifacts_and_ledger(spark, tmp_path):
     text = "---\nrole: concept\naliases: [One, \"Two\"]\nfacets:\n  - f1\n  - f2\ncanonical: true\n---\n# Real title #\nbody"
     note = files.notes(spark.createDataFrame([("c/irr.md", text), ("x.txt", "no"), ("plain.md", "no fields")], "path string, text string")).orderBy("path").collect()
