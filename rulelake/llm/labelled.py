@@ -27,7 +27,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, *, id_col: s
     for value in (0, 1):
         part = known.where(F.col("label") == value).orderBy("rank", "id").limit(rows_per_class)
         chosen = part if chosen is None else chosen.union(part)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").orderBy("rank", "id", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.dropDuplicates(["id", "label", "text"]).orderBy("rank", "id", "text")  # a row that is repeated any number of times comes once
     sample, seen, total = [], set(), 0
     for row in rows.select("text", "label").toLocalIterator():
         text = row["text"] or ""

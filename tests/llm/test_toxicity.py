@@ -51,6 +51,8 @@ def test_sample_is_bounded_and_leaves_the_held_out_fold(spark):
     assert sorted(y for _, y in sample) == [0] * 50 + [1] * 50
     assert all(zlib.crc32(text[1:].encode()) % 5 for text, _ in sample)
     assert sample == training_sample(docs, labels, "toxic", rows_per_class=50)
+    again = docs.unionByName(docs.where("doc_id in (7, 8)").crossJoin(spark.range(500).select(F.lit(1).alias("n"))).drop("n"))
+    assert sample == training_sample(again, labels, "toxic", rows_per_class=50)
     assert training_sample(docs, labels.limit(0), "toxic") == []
 
 
