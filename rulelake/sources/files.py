@@ -82,7 +82,7 @@ def kept_paths(files: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
 def listed_paths(listings: DataFrame, root: str = "") -> DataFrame:
     """(path) of (content) rows that hold what ``git ls-files -co --exclude-standard -z`` says: paths between zero bytes, under a
     root and relative to it, in no skipped folder; paths that are no UTF-8 are left out."""
-    rows = listings.select(F.explode(F.split(F.col("content").cast("string"), "\0")).alias("path")).where("path != '' and is_valid_utf8(path)")
+    rows = listings.select(F.explode(F.split(F.col("content").cast("string"), "\0")).alias("path")).where((F.col("path") != "") & ~F.contains("path", F.lit("\ufffd")))
     if root:
         rows = rows.where(F.startswith("path", F.lit(f"{root}/"))).select(F.substring("path", len(root) + 2, 2**31 - 1).alias("path"))
     return kept_paths(rows.select(T.normalize_path(F.col("path")).alias("path")).distinct())
