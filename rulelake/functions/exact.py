@@ -12,12 +12,9 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST, LEAST = 2**63 - 1, -(2**63)
-
+from .text import let
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value made once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+MOST, LEAST = 2**63 - 1, -(2**63)
 
 
 def gcd(a: Column, b: Column) -> Column:
@@ -31,7 +28,7 @@ def gcd(a: Column, b: Column) -> Column:
         return F.aggregate(steps, start, step, lambda s: s["x"].cast("decimal(38,0)"))
 
     pair = F.struct(F.abs(a).cast("decimal(38,0)").alias("x"), F.abs(b).cast("decimal(38,0)").alias("y"))
-    return _let(pair, lambda p: F.when((p["x"] <= MOST) & (p["y"] <= MOST), euclid(p, "long")).otherwise(euclid(p, "decimal(38,0)")))
+    return let(pair, lambda p: F.when((p["x"] <= MOST) & (p["y"] <= MOST), euclid(p, "long")).otherwise(euclid(p, "decimal(38,0)")))
 
 
 def rational(num: Column, den: Column) -> Column:
@@ -48,11 +45,11 @@ def rational(num: Column, den: Column) -> Column:
 
     pair = F.struct(num.cast(whole).alias("n"), den.cast(whole).alias("d"))
     reduced = lambda p: F.struct((p["n"] * p["sign"] / p["g"]).cast(whole).alias("num"), (p["d"] * p["sign"] / p["g"]).cast(whole).alias("den"))
-    return _let(_let(_let(pair, lowest), reduced), guarded)
+    return let(let(let(pair, lowest), reduced), guarded)
 
 
 def _both(a: Column, b: Column, use: Callable[[Column, Column], Column]) -> Column:
-    return _let(F.struct(a.alias("a"), b.alias("b")), lambda p: use(p["a"], p["b"]))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: use(p["a"], p["b"]))
 
 
 def add(a: Column, b: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,16 +27,22 @@ def lines_with_ends(text: Column) -> Column:
     return F.filter(pieces, lambda p: p != "")
 
 
-def line_metrics(text: Column, marker: str) -> dict[str, Column]:
-    """Size in bytes, lines, lines with ink, longest line in characters, and lines that hold the marker."""
-    rows = lines(text)
-    return {
-        "bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"),
-        "lines": F.size(rows).cast("long"),
-        "nonempty_lines": F.size(F.filter(rows, lambda r: r.rlike(r"\S"))).cast("long"),
-        "max_line_len": F.coalesce(F.array_max(F.transform(rows, lambda r: F.length(r))), F.lit(0)).cast("long"),
-        "marker_lines": F.size(F.filter(rows, lambda r: F.contains(r, F.lit(marker)))).cast("long"),
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def line_metrics(text: Column, marker: str) -> Column:
+    """A struct of size in bytes, lines, lines with ink, longest line in characters, and lines that hold the marker; the text is
+    cut into lines once."""
+    metrics = lambda rows: {
+        "bytes": F.coalesce(F.octet_length(text), F.lit(0)),
+        "lines": F.size(rows),
+        "nonempty_lines": F.size(F.filter(rows, lambda r: r.rlike(r"\S"))),
+        "max_line_len": F.coalesce(F.array_max(F.transform(rows, lambda r: F.length(r))), F.lit(0)),
+        "marker_lines": F.size(F.filter(rows, lambda r: F.contains(r, F.lit(marker)))),
     }
+    return let(lines(text), lambda rows: F.struct(*[c.cast("long").alias(n) for n, c in metrics(rows).items()]))
 
 
 def collapse_space(text: Column) -> Column:

@@ -48,7 +48,7 @@ class TextMetrics(Provider):
 
 def file_metrics(files: DataFrame, path: Column, text: Column, marker: str = "TODO") -> DataFrame:
     """Line and size metrics of each file, by array functions within the row: no shuffle."""
-    return files.select(path.cast("string").alias("path"), *[c.alias(n) for n, c in T.line_metrics(F.coalesce(text, F.lit("")), marker).items()])
+    return files.select(path.cast("string").alias("path"), T.line_metrics(F.coalesce(text, F.lit("")), marker).alias("m")).select("path", "m.*")
 
 
 #: Manifests and the lock files that go with them.
