@@ -250,7 +250,7 @@ def concept_book(spark, sf_dir):
 
     notes = {name: f"# In\nsee [[{rows[k - 1][1] if k else name}|before]] and [[none]]" for k, name in rows}
     edges = [(rows[k - 1][1], name) for k, name in rows if k]
-    book = CH.concept_book(notes, edges, [rows[2][1]], topological_order)
+    book = CH.concept_book(notes, edges, [name for k, name in rows if k == 2], topological_order)
     return spark.createDataFrame(list(enumerate(book.split("\n"))), "place int, line string")
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.dag import cut
 
@@ -22,16 +23,21 @@ class ProjectionStore:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._kinds: dict[str, StructType] = {}  # of what was written here, as a table without rows has no files to tell
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def write(self, name: str, rows: DataFrame, run_id: str) -> None:
+        self._kinds[name] = rows.schema
         out = rows.withColumn(RUN, F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         out.partitionBy(RUN).parquet(self.path(name))
 
     def read(self, name: str, run_id: str | None = None) -> DataFrame:
-        rows = self.spark.read.parquet(self.path(name)).withColumn(RUN, F.col(RUN).cast("string"))
+        reader = self.spark.read
+        if name in self._kinds:
+            reader = reader.schema(StructType([*self._kinds[name].fields, StructField(RUN, StringType())]))
+        rows = reader.parquet(self.path(name)).withColumn(RUN, F.col(RUN).cast("string"))
         return rows.where(F.col(RUN) == run_id) if run_id else rows
 
     def latest(self, name: str, keys: list[str]) -> DataFrame:

@@ -31,7 +31,8 @@ def title_search(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     query = vectors.where("vec_id = 1").select(F.col("embedding").alias("q"))
     titles = vectors.select(F.concat(F.lit("t"), "label", F.lit("/"), "vec_id").alias("path"), F.lit("m1").alias("model"), F.size("embedding").alias("dim"), "embedding").crossJoin(F.broadcast(query))
-    dim = titles.select("dim").first()[0]
+    first = titles.select("dim").first()
+    dim = first[0] if first else 0
     return S.search_titles(titles, F.col("q"), prefix="t", model="m1", dim=dim, k=15).select("path", F.round("similarity", 6).alias("similarity"))
 
 

@@ -308,6 +308,7 @@ class ArtifactStore:
         self.spark, self.root = spark, root.rstrip("/")
         self._hadoop = spark._jvm.org.apache.hadoop.fs
         self._fs = self._hadoop.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._hadoop.Path(self.root))
 
     def put(self, kind: str, value: Any) -> str:
         data = encode_cbor(value)
