@@ -26,42 +26,47 @@ PLAN = (
 MANIFEST = "struct<schema_id:string,manifest_id:string,plan_id:string,base_sha:string,head_sha:string,changed_paths:array<string>,commands_run:array<string>,test_results:array<struct<command:string,status:string>>>"
 
 
-def sections(texts: DataFrame, key: str = "plan") -> DataFrame:
-    """(key, section, lines) of plan texts (key, text): what stands under headings ``### n. title``, in order of lines."""
-    rows = texts.select(key, T.lines(F.coalesce("text", F.lit(""))).alias("rows"))
-    number = lambda line: F.regexp_extract(F.trim(line), r"^\ufeff?###+\s*(\d+)\s*\.", 1).try_cast("int")
-    heads = F.filter(F.transform("rows", lambda line, k: F.struct((k + 1).alias("at"), number(line).alias("section"))), lambda h: h["section"].isNotNull())
-    rows = rows.withColumn("heads", heads)
-    following = F.concat(F.slice(F.col("heads.at"), 2, F.size("heads")), F.array(F.size("rows") + 1))
-    spans = F.arrays_zip(F.col("heads.at").alias("at"), F.slice(following, 1, F.size("heads")).alias("next"), F.col("heads.section").alias("section"))
-    out = rows.select(key, "rows", F.explode(spans).alias("s"))
-    return out.where(F.col("s.section").between(1, len(PROMPTS))).select(key, F.col("s.section").alias("section"), F.slice("rows", F.col("s.at") + 1, F.col("s.next") - F.col("s.at") - 1).alias("lines"))
+def _number(line: Column) -> Column:
+    """The number in a heading of a section; null for any other line."""
+    return F.when(F.contains(line, F.lit("###")), F.regexp_extract(F.trim(line), r"^\ufeff?###+\s*(\d+)\s*\.", 1).try_cast("int"))
+
+
+def sections(text: Column) -> Column:
+    """(section, answer) of a plan text: what is answered under headings ``### n. title``, in order of lines. Lines, headings
+    and parts are each made once."""
+
+    def under(rows: Column, heads: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(heads, k + 1)["at"], F.size(rows) + 1)
+        made = F.transform(heads, lambda h, k: F.struct(h["section"].alias("section"), answer_text(F.slice(rows, h["at"] + 1, end(k) - h["at"] - 1)).alias("answer")))
+        return F.filter(made, lambda m: m["section"].between(1, len(PROMPTS)))
+
+    heads = lambda rows: F.filter(F.transform(rows, lambda line, k: F.struct((k + 1).alias("at"), _number(line).alias("section"))), lambda h: h["section"].isNotNull())
+    return T.let(T.lines(F.coalesce(text, F.lit(""))), lambda rows: T.let(heads(rows), lambda found: under(rows, found)))
 
 
 def answer_text(lines: Column) -> Column:
     """A section's answer: what follows a line ``answer:`` (or all of it), up to a rule, without comments, prompt ids and
     guidance; text after ``answer:`` on its line is the whole answer. Null where nothing is left."""
-    low = F.transform(lines, lambda line: T.ascii_lower(F.trim(line)))
-    at = F.array_position(F.transform(low, lambda line: line.isin("answer:", "**answer:**", "answer") | F.startswith(line, F.lit("answer:"))), True)
-    mark = F.when(at > 0, F.element_at(lines, at.cast("int")))
-    inline = F.trim(F.regexp_extract(F.trim(mark), r"(?i)^answer:(.*)$", 1))
-    rest = F.slice(lines, at.cast("int") + 1, F.size(lines))
-    rule = F.array_position(F.transform(rest, lambda line: F.trim(line)), "---").cast("int")
-    kept = F.filter(F.when(rule > 0, F.slice(rest, 1, rule - 1)).otherwise(rest), lambda line: ~F.trim(line).rlike(r"(?i)^(<!--.*-->|prompt id:.*|guidance:.*)$"))
-    body = F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", "")
-    answer = F.when((at > 0) & (inline != ""), inline).otherwise(body)
-    return F.when(answer != "", answer)
+    marks = lambda line: line.isin("answer:", "**answer:**", "answer") | F.startswith(line, F.lit("answer:"))
+    place = lambda rows: F.array_position(F.transform(rows, lambda line: T.let(T.ascii_lower(F.trim(line)), marks)), True).cast("int")
+    inline = lambda rows, at: F.when(at > 0, F.trim(F.regexp_extract(F.trim(F.get(rows, at - 1)), r"(?i)^answer:(.*)$", 1))).otherwise(F.lit(""))
+    until = lambda rest: T.let(F.array_position(F.transform(rest, lambda line: F.trim(line)), "---").cast("int"), lambda rule: F.when(rule > 0, F.slice(rest, 1, rule - 1)).otherwise(rest))
+    kept = lambda rest: F.filter(until(rest), lambda line: ~F.trim(line).rlike(r"(?i)^(<!--.*-->|prompt id:.*|guidance:.*)$"))
+    body = lambda rows, at: F.regexp_replace(F.array_join(T.let(F.slice(rows, at + 1, F.size(rows)), kept), "\n"), r"^\s+|\s+$", "")
+    answer = lambda rows, at: T.let(inline(rows, at), lambda said: F.when(said != "", said).otherwise(body(rows, at)))
+    return T.let(lines, lambda rows: T.let(place(rows), lambda at: T.let(answer(rows, at), lambda said: F.when(said != "", said))))
 
 
 def answers(texts: DataFrame, key: str = "plan") -> DataFrame:
     """(key, prompt_id, answer, problem) of plan texts, a row per prompt: a section that is missing, empty or there twice has
-    a problem instead of an answer."""
-    made = sections(texts, key).withColumn("answer", answer_text(F.col("lines"))).groupBy(key, "section").agg(F.count(F.lit(1)).alias("n"), F.max("answer").alias("answer"))
-    prompts = F.explode(F.array(*[F.struct(F.lit(k + 1).alias("section"), F.lit(p).alias("prompt_id")) for k, p in enumerate(PROMPTS)]))
-    wanted = texts.select(key, prompts.alias("p")).select(key, "p.section", "p.prompt_id")
-    joined = wanted.join(made, [key, "section"], "left")
-    problem = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "duplicate").when(F.col("answer").isNull(), "empty")
-    return joined.select(key, "prompt_id", F.when(problem.isNull(), F.col("answer")).alias("answer"), problem.alias("problem"))
+    a problem instead of an answer. Sections are told apart within the row, so that only they are shuffled, once."""
+    found = texts.select(key, sections(F.col("text")).alias("found")).groupBy(key).agg(F.count(F.lit(1)).alias("texts"), F.flatten(F.collect_list("found")).alias("found"))
+    said = lambda n: F.transform(F.filter("found", lambda m: m["section"] == n), lambda m: m["answer"])
+    prompts = F.array(*[F.struct(F.lit(p).alias("prompt_id"), said(k + 1).alias("said")) for k, p in enumerate(PROMPTS)])
+    rows = found.select(key, F.explode_outer(F.flatten(F.array_repeat(prompts, F.col("texts").cast("int")))).alias("p")).select(key, "p.prompt_id", "p.said")
+    answer = F.get("said", F.lit(0))
+    problem = F.when(F.size("said") == 0, "missing").when(F.size("said") > 1, "duplicate").when(answer.isNull(), "empty")
+    return rows.select(key, "prompt_id", F.when(problem.isNull(), answer).alias("answer"), problem.alias("problem"))
 
 
 def derived_risks(said: DataFrame, key: str = "plan") -> DataFrame:

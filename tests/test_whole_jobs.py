@@ -5,7 +5,9 @@ import hashlib
 import numpy as np
 
 from rulelake.operators import selection as S
+from rulelake.operators import plans as PL
 from rulelake.plans import document_queries
+from rulelake.streaming import ledger_stream
 
 
 def test_suggestions_by_packs_keep_ties_and_links_without_a_target(spark):
@@ -43,3 +45,14 @@ def test_token_hashes_cover_all_letters(spark, tmp_path):
     spark.createDataFrame([(k, t) for k, (t, _) in rows.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.token_sha256 for r in document_queries.chunk_token_hashes(spark, str(tmp_path)).collect()}
     assert got == {k: hashlib.sha256("\n".join(words).encode()).hexdigest() for k, (_, words) in rows.items()}
+
+
+def test_answers_of_plans_are_told_apart_within_the_row(spark):
+    texts = [(1, "### 1. A\nanswer:\nx\n---\ny\n### 2. B\nAnswer: here\n### 2. C\nno\n## 3. D\nz\n### 99. E\nq"), (2, None), (3, "### 4. F\r\n\r\nAnswer\r\n<!-- c -->\r\n a b \r\n### 5. G\nanswer:  \n  \n"), (4, "### 1. A\nx"), (4, "### 1. A\ny\n### 6. H\nz")]
+    out = PL.answers(spark.createDataFrame(texts, "plan long, text string"))
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    got = {(r["plan"], r.prompt_id): (r.answer, r.problem) for r in rows if r.problem != "missing"}
+    assert len(rows) == 5 * len(PL.PROMPTS)
+    p = PL.PROMPTS
+    assert got == {(1, p[0]): ("x", None), (1, p[1]): (None, "duplicate"), (3, p[3]): ("a b", None), (3, p[4]): (None, "empty"), (4, p[0]): (None, "duplicate"), (4, p[5]): ("z", None)}
