@@ -1,8 +1,10 @@
 """Queries over whole tables, against brute force."""
 
 import hashlib
+import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from rulelake.operators import selection as S
 from rulelake.operators import plans as PL
@@ -56,3 +58,12 @@ def test_answers_of_plans_are_told_apart_within_the_row(spark):
     assert len(rows) == 5 * len(PL.PROMPTS)
     p = PL.PROMPTS
     assert got == {(1, p[0]): ("x", None), (1, p[1]): (None, "duplicate"), (3, p[3]): ("a b", None), (3, p[4]): (None, "empty"), (4, p[0]): (None, "duplicate"), (4, p[5]): ("z", None)}
+
+
+def test_risks_of_many_plans(spark):
+    """Long plans, whose answers are each read once."""
+    text = "".join(f"### {n}. T\nanswer:\n" + "line of words\n" * 150 + "grade 2 governance\n" for n in range(1, 13))
+    plans = spark.range(400).selectExpr("id AS plan").withColumn("text", F.lit(text)).repartition(8, "plan")
+    began = time.time()
+    got = {(r.erasure_grade, r.risk_label, r.invariants, r["count"]) for r in PL.derived_risks(PL.answers(plans)).groupBy("erasure_grade", "risk_label", "invariants").count().collect()}
+    assert got == {(2, "mutation_non_destructive", "governance", 400)} and time.time() - began < 60
