@@ -417,9 +417,9 @@ def stream_lifecycle(spark, sf_dir):
     """Costs' states kept by a stream: the furthest step per cost, and steps that came too early."""
     folder, out = fresh_folder(spark, "life-in"), fresh_folder(spark, "life-out")
     steps = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("cost_id"), F.col("l_linenumber").cast("long").alias("seq"), F.element_at(F.array(F.lit("declared"), F.lit("checked"), F.lit("executed")), F.col("l_linenumber")).alias("kind")).distinct()
-    steps.repartition(3, "cost_id").sortWithinPartitions("cost_id", "seq").write.parquet(folder)
+    steps.write.parquet(folder)
     stream = spark.readStream.schema(steps.schema).parquet(folder)
-    ledger_stream.lifecycle_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_folder(spark, "life-cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    ledger_stream.keep_lifecycles(stream, out, fresh_folder(spark, "life-state"), fresh_folder(spark, "life-cp")).awaitTermination()
     last = projection.latest_rows(spark.read.parquet(out), ["cost_id"], F.col("seq"))
     return last.groupBy("state", "accepted").agg(F.count(F.lit(1)).alias("n"))
 

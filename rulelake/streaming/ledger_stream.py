@@ -28,26 +28,41 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", slide: str | None =
 LIFE_STEPS = ("declared", "checked", "executed")
 
 
-def lifecycle_stream(steps: DataFrame) -> DataFrame:
-    """(cost_id, seq, kind, state, accepted) of a stream of steps (cost_id, seq, kind): the state of a cost after each step, and
-    whether the step was in order. One small number is kept per cost; a step that is not the next one changes nothing."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def follow(key, batches, state):
-        reached = state.get[0] if state.exists else 0
-        for rows in batches:
-            rows, said = rows.sort_values("seq"), []
-            for kind in rows["kind"]:
-                rank = LIFE_STEPS.index(kind) + 1 if kind in LIFE_STEPS else 0
-                fits = rank == reached + 1 or (rank == 2 and reached == 2)  # a cost may be checked again
-                reached = rank if fits else reached
-                said.append((LIFE_STEPS[reached - 1] if reached else "none", fits))
-            yield pd.DataFrame({"cost_id": key[0], "seq": rows["seq"].to_numpy(), "kind": rows["kind"].to_numpy(), "state": [a for a, _ in said], "accepted": [b for _, b in said]})
-        state.update((reached,))
-
-    kind = steps.schema["cost_id"].dataType.simpleString()
-    return steps.groupBy("cost_id").applyInPandasWithState(follow, f"cost_id {kind}, seq long, kind string, state string, accepted boolean", "reached int", "append", GroupStateTimeout.NoTimeout)
+def followed(steps: DataFrame, known: DataFrame) -> DataFrame:
+    """(cost_id, reached, said) of steps (cost_id, seq, kind) that come after those that ``known`` (cost_id, reached) stands for:
+    how far a cost is now, and after each step. A step that is not the next one changes nothing; a cost may be checked again."""
+    kind = "array<struct<seq:bigint,kind:string,reached:int,accepted:boolean>>"
+
+    def step(so_far, s):
+        rank = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in LIFE_STEPS]), s["kind"]), F.lit(0)).cast("int")
+        fits = ((rank == so_far["reached"] + 1) | ((rank == 2) & (so_far["reached"] == 2)))
+        reached = F.when(fits, rank).otherwise(so_far["reached"])
+        said = F.struct(s["seq"].cast("long").alias("seq"), s["kind"].alias("kind"), reached.alias("reached"), fits.alias("accepted"))
+        return F.struct(reached.alias("reached"), F.concat(so_far["said"], F.array(said)).alias("said"))
+
+    new = steps.groupBy("cost_id").agg(F.array_sort(F.collect_list(F.struct("seq", "kind"))).alias("steps"))
+    begin = F.struct(F.coalesce("reached", F.lit(0)).alias("reached"), F.array().cast(kind).alias("said"))
+    end = new.join(known.hint("merge"), "cost_id", "left").select("cost_id", F.aggregate("steps", begin, step).alias("end"))
+    return end.select("cost_id", "end.reached", "end.said")
+
+
+def keep_lifecycles(steps: DataFrame, out: str, state: str, checkpoint: str) -> StreamingQuery:
+    """Follow a stream of steps (cost_id, seq, kind): Parquet rows (cost_id, seq, kind, state, accepted) in ``out``, the state of
+    a cost after each step and whether the step was in order. One small number per cost is kept in ``state``; as it never
+    falls, each batch adds the costs that it touched, and a batch that is run again replaces its own files."""
+    spark = steps.sparkSession
+    kind = f"cost_id {steps.schema['cost_id'].dataType.simpleString()}, reached int"
+    spark.createDataFrame([], kind).write.mode("ignore").parquet(f"{state}/batch=-1")
+
+    def keep(rows, batch):
+        known = rows.sparkSession.read.schema(f"{kind}, batch long").parquet(state).where(F.col("batch") < batch).groupBy("cost_id").agg(F.max("reached").alias("reached"))
+        folder = f"{state}/batch={batch}"
+        followed(rows, known).write.mode("overwrite").parquet(folder)
+        said = rows.sparkSession.read.parquet(folder).select("cost_id", F.explode("said").alias("s"))
+        name = F.when(F.col("s.reached") > 0, F.element_at(F.array(*[F.lit(x) for x in LIFE_STEPS]), F.col("s.reached"))).otherwise("none")
+        said.select("cost_id", "s.seq", "s.kind", name.alias("state"), "s.accepted").write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    return steps.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_ledger(spark: SparkSession, folder: str, schema) -> DataFrame:

@@ -67,3 +67,22 @@ def test_risks_of_many_plans(spark):
     began = time.time()
     got = {(r.erasure_grade, r.risk_label, r.invariants, r["count"]) for r in PL.derived_risks(PL.answers(plans)).groupBy("erasure_grade", "risk_label", "invariants").count().collect()}
     assert got == {(2, "mutation_non_destructive", "governance", 400)} and time.time() - began < 60
+
+
+def test_lifecycles_over_batches(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    kinds = ["declared", "checked", "executed", "odd", None]
+    steps = [(int(rng.integers(0, 60)), n, kinds[min(4, int(rng.integers(0, 9)) // 2)]) for n in range(600)]
+    kind = "cost_id long, seq long, kind string"
+    for part in (steps[:350], steps[350:]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        ledger_stream.keep_lifecycles(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state", f"{tmp_path}/cp").awaitTermination()
+    reached, want = {}, set()
+    for cost, seq, name in steps:
+        was, rank = reached.get(cost, 0), kinds.index(name) + 1 if name in kinds[:3] else 0
+        fits = rank == was + 1 or rank == was == 2
+        reached[cost] = rank if fits else was
+        want.add((cost, seq, name, (["none"] + kinds)[reached[cost]], fits))
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert {tuple(r) for r in out.select("cost_id", "seq", "kind", "state", "accepted").collect()} == want and out.count() == len(steps)
+    assert {r.batch for r in out.select("batch").distinct().collect()} == {0, 1}
