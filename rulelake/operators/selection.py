@@ -36,20 +36,22 @@ def effective_prefixes(docs: DataFrame, prefixes: list[str], path_col: str = "pa
     return [p for p in prefixes if p] if fits else [""]
 
 
-def select_documents(docs: DataFrame, prefixes: list[str], path_col: str = "path", limit: int = MOST_ROWS) -> DataFrame:
-    """Documents under any of the prefixes, in order of path."""
-    return docs.where(has_prefix(F.col(path_col), prefixes)).orderBy(path_col).limit(limit)
+def select_documents(docs: DataFrame, prefixes: list[str], path_col: str = "path", limit: int | None = MOST_ROWS) -> DataFrame:
+    """Documents under any of the prefixes, in order of path; all of them without a limit."""
+    rows = docs.where(has_prefix(F.col(path_col), prefixes)).orderBy(path_col)
+    return rows if limit is None else rows.limit(limit)
 
 
-def select_unresolved(links: DataFrame, prefixes: list[str], kinds: list[str], run: str | None = None, limit: int = MOST_ROWS) -> DataFrame:
+def select_unresolved(links: DataFrame, prefixes: list[str], kinds: list[str], run: str | None = None, limit: int | None = MOST_ROWS) -> DataFrame:
     """Unresolved links (from_path, line, target, kind, run_id) under prefixes and of kinds; rows without keys are left out.
 
-    The limit is held to 1..100000.
+    A limit is held to 1..100000; without one all rows come.
     """
     rows = links.where(has_prefix(F.col("from_path"), prefixes) & F.col("kind").isin(*kinds) & (F.coalesce("from_path", F.lit("")) != "") & (F.coalesce("target", F.lit("")) != ""))
     if run is not None:
         rows = rows.where(F.col("run_id") == run)
-    return rows.orderBy("from_path", "line", "target").limit(min(MOST_ROWS, max(1, limit)))
+    rows = rows.orderBy("from_path", "line", "target")
+    return rows if limit is None else rows.limit(min(MOST_ROWS, max(1, limit)))
 
 
 def search_titles(titles: DataFrame, query: Column, *, prefix: str, model: str, dim: int, k: int) -> DataFrame:

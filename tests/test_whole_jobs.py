@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rulelake.operators import selection as S
 from rulelake.operators import plans as PL
-from rulelake.plans import document_queries
+from rulelake.plans import document_queries, selection_queries
 from rulelake.streaming import ledger_stream
 
 
@@ -49,6 +49,11 @@ def test_token_hashes_cover_all_letters(spark, tmp_path):
     assert got == {k: hashlib.sha256("\n".join(words).encode()).hexdigest() for k, (_, words) in rows.items()}
 
 
+def test_selections_of_documents_have_no_cap(spark, tmp_path):
+    spark.range(100_050).selectExpr("id AS doc_id", "'src1' AS source", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    assert selection_queries.select_doc_files(spark, str(tmp_path)).count() == 100_050
+
+
 def test_answers_of_plans_are_told_apart_within_the_row(spark):
     texts = [(1, "### 1. A\nanswer:\nx\n---\ny\n### 2. B\nAnswer: here\n### 2. C\nno\n## 3. D\nz\n### 99. E\nq"), (2, None), (3, "### 4. F\r\n\r\nAnswer\r\n<!-- c -->\r\n a b \r\n### 5. G\nanswer:  \n  \n"), (4, "### 1. A\nx"), (4, "### 1. A\ny\n### 6. H\nz")]
     out = PL.answers(spark.createDataFrame(texts, "plan long, text string"))
