@@ -5,7 +5,9 @@ actual_sha256, bytes, content), registries rows (registry_hash, schemas, scopes)
 event_type, issue, detail). An event's id is the digest of its own line without the id.
 
 Every check is a filter of one row or an equi-join by id or digest, so a ledger of any length is verified in a fixed
-number of shuffles. Where an id stands on several lines, its last line is the one that others refer to.
+number of shuffles. Where an id stands on several lines, its last line is the one that others refer to. Events and
+artifacts are joined by sorted partitions: sizes guessed for a few columns of them are far too small, and a broadcast of
+such a side would go through the driver.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dag import cut
+from ..session import fresh_folder
 
 REF = "struct<kind:string,schema_id:string,sha256:string,size_bytes:bigint,path:string>"
 EVENT = (
@@ -66,9 +68,10 @@ def _any(kinds) -> Column:
 
 def parsed(lines: DataFrame) -> DataFrame:
     """Lines with id, type, the event, and the digest of the line without its id; a line that is no JSON has no event."""
-    value = F.try_parse_json("raw")
+    value = F.col("value")
     body = F.regexp_replace("raw", r'"event_id":"(?:[^"\\]|\\.)*",?', "")
     get = lambda key: F.try_variant_get(value, f"$.{key}", "string")
+    lines = lines.select("line", "raw", F.try_parse_json("raw").alias("value"))  # once for all that is taken from it
     return lines.select("line", get("event_id").alias("event_id"), get("event_type").alias("event_type"), value.isNotNull().alias("is_json"), F.from_json("raw", EVENT).alias("e"), F.sha2(body, 256).alias("computed_id"))
 
 
@@ -84,6 +87,8 @@ def line_issues(events: DataFrame) -> DataFrame:
     known = _any(REQUIRED)
     lacking = lambda kind: F.array_join(F.filter(F.array(*[F.when(e(f).isNull(), F.lit(f)) for f in REQUIRED[kind]]), lambda f: f.isNotNull()), ",")
     missing = reduce(lambda made, kind: F.when(of_type(kind), lacking(kind)).otherwise(made), REQUIRED, F.lit(""))
+    events = events.withColumn("missing", missing)  # once for all checks
+    missing = F.col("missing")
     sound = known & (missing == "")
     deciding = _any((COST, CHECKED, EXECUTED))
     bound = (e("lens_id").isNull() | e("lens_hash").isNull() | e("lens_activation_event_id").isNull()) & (e("witness.schema_id") == LENS_WITNESS)
@@ -113,7 +118,7 @@ def _references(events: DataFrame, by_type: dict[str, tuple[str, ...]]) -> DataF
 
 def artifact_issues(events: DataFrame, artifacts: DataFrame) -> DataFrame:
     """References whose artifact is missing, is another one, or says something else than the event."""
-    held = artifacts.select(F.col("kind").alias("a_kind"), F.col("sha256").alias("a_sha"), "actual_sha256", F.col("bytes").alias("a_bytes"), "content")
+    held = artifacts.select(F.col("kind").alias("a_kind"), F.col("sha256").alias("a_sha"), "actual_sha256", F.col("bytes").alias("a_bytes"), "content").hint("merge")
     rows = _references(events, HELD).join(held, (F.col("ref.kind") == F.col("a_kind")) & (F.col("ref.sha256") == F.col("a_sha")), "left")
     said = lambda path, kind="string": F.get_json_object("content", f"$.{path}").cast(kind)
     here, witness = F.col("a_sha").isNotNull(), F.col("label") == "witness"
@@ -150,20 +155,20 @@ def registry_issues(events: DataFrame, registries: DataFrame) -> DataFrame:
 def cross_issues(events: DataFrame) -> DataFrame:
     """Repeated ids, and references between events: what is missing, stands later, or says something else."""
     named = events.where("event_id is not null")
-    places = named.groupBy("event_id").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"))
+    places = named.groupBy("event_id").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line")).hint("merge")
     twice = named.join(places, "event_id").where("line > first_line").select(*BASE, F.lit("duplicate_event_id").alias("issue"), F.lit(None).cast("string").alias("detail"))
     last = lambda kind: named.where(F.col("event_type") == kind).groupBy("event_id").agg(F.max_by("e", "line").alias("e"))
-    lines = places.select("event_id", F.col("last_line").alias("line"))
+    lines = places.select("event_id", F.col("last_line").alias("line")).hint("merge")
     out = [twice]
     for kind, links in ((CHECKED, (("cost", COST, "cost_declared_event_id"), ("lens", LENS, "lens_activation_event_id"))), (EXECUTED, (("check", CHECKED, "admissibility_checked_event_id"), ("cost", COST, "cost_declared_event_id")))):
         mine = last(kind).join(lines, "event_id").withColumn("event_type", F.lit(kind))
         for name, target, field in links:
             wanted = mine.where(F.col("e.witness.schema_id") == LENS_WITNESS).where(F.col(f"e.{field}").isNotNull()) if name == "lens" else mine
             known = last(target).select(F.col("event_id").alias("t_id"), F.col("e").alias("t")) if name == "lens" or SHARED.get(kind) and (kind, name) in ((CHECKED, "cost"), (EXECUTED, "check")) else None
-            rows = wanted.join(lines.select(F.col("event_id").alias("l_id"), F.col("line").alias("l_line")), F.col(f"e.{field}") == F.col("l_id"), "left")
+            rows = wanted.join(lines.select(F.col("event_id").alias("l_id"), F.col("line").alias("l_line")).hint("merge"), F.col(f"e.{field}") == F.col("l_id"), "left")
             checks = [(F.col("l_line").isNull(), f"{name}_event_missing", F.col(f"e.{field}")), (F.col("l_line") >= F.col("line"), f"{name}_event_stands_later", F.col(f"e.{field}"))]
             if known is not None:
-                rows = rows.join(known, F.col(f"e.{field}") == F.col("t_id"), "left")
+                rows = rows.join(known.hint("merge"), F.col(f"e.{field}") == F.col("t_id"), "left")
                 there = F.col("t_id").isNotNull()
                 if name == "lens":
                     checks = [(~there, "lens_event_missing", F.col(f"e.{field}")), (there & (F.col("l_line") >= F.col("line")), "lens_event_stands_later", F.col(f"e.{field}"))]
@@ -176,8 +181,27 @@ def cross_issues(events: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def verify_ledger(lines: DataFrame, artifacts: DataFrame, registries: DataFrame) -> DataFrame:
-    """All issues of a ledger. Its lines are parsed once."""
-    events = cut(parsed(lines))
+def kept_events(lines: DataFrame) -> DataFrame:
+    """The lines parsed once, in Parquet, of which each check reads the columns that it needs."""
+    events = parsed(lines)
+    folder = fresh_folder(lines.sparkSession, "ledger")
+    events.write.option("compression", "zstd").parquet(folder)
+    return lines.sparkSession.read.schema(events.schema).parquet(folder)
+
+
+def event_issues(events: DataFrame, artifacts: DataFrame, registries: DataFrame) -> DataFrame:
+    """All issues of parsed events."""
     parts = [line_issues(events), artifact_issues(events, artifacts), registry_issues(events, registries), cross_issues(events)]
     return reduce(DataFrame.unionByName, parts)
+
+
+def verify_ledger(lines: DataFrame, artifacts: DataFrame, registries: DataFrame) -> DataFrame:
+    """All issues of a ledger. Its lines are parsed once."""
+    return event_issues(kept_events(lines), artifacts, registries)
+
+
+def sound_events(lines: DataFrame, artifacts: DataFrame, registries: DataFrame) -> DataFrame:
+    """Parsed events of the lines that nothing is wrong with."""
+    events = kept_events(lines)
+    bad = event_issues(events, artifacts, registries).select("line").distinct()
+    return events.join(bad.hint("merge"), "line", "left_anti")

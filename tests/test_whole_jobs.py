@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rulelake.operators import selection as S
+from rulelake.operators import ledger_verify as LV
 from rulelake.operators import plans as PL
 from rulelake.plans import document_queries, selection_queries
 from rulelake.streaming import ledger_stream
@@ -96,3 +97,12 @@ def test_lifecycles_over_batches(spark, tmp_path):
     out = spark.read.parquet(f"{tmp_path}/out")
     assert {tuple(r) for r in out.select("cost_id", "seq", "kind", "state", "accepted").collect()} == want and out.count() == len(steps)
     assert {r.batch for r in out.select("batch").distinct().collect()} == {0, 1}
+
+
+def test_events_and_artifacts_are_not_sent_through_the_driver(spark):
+    lines = spark.createDataFrame([(1, '{"event_id":"a","event_type":"cost.declared"}')], "line long, raw string")
+    artifacts = spark.createDataFrame([], "kind string, sha256 string, actual_sha256 string, bytes long, content string")
+    events = LV.kept_events(lines)
+    for found in (LV.cross_issues(events), LV.artifact_issues(events, artifacts)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.issue for r in LV.line_issues(events).collect()} == {"unreadable_event"}
