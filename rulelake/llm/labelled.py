@@ -1,7 +1,9 @@
-"""Bounded training samples of labelled documents, and small model fits on the driver."""
+"""Bounded training samples of labelled documents, and small model fits by Newton's method."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,12 +55,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float, intercept: bool, rounds
     penalty = np.full(x.shape[1], ridge)
     if intercept:
         penalty[-1] = 1e-6
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
+
+    def sums(w):
         p = sigmoid(x @ w)
-        gradient = x.T @ (p - y) + penalty * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(curve, gradient)
+        return x.T @ (p - y), (x * (p * (1 - p))[:, None]).T @ x
+
+    return newton(sums, penalty, rounds)
+
+
+def newton(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], penalty: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Weights where a loss with a ridge penalty is least; ``sums`` gives the loss's gradient and curvature at weights."""
+    w = np.zeros(len(penalty))
+    for _ in range(rounds):
+        gradient, curve = sums(w)
+        step = np.linalg.solve(curve + np.diag(penalty), gradient + penalty * w)
         w -= step * min(1.0, 4.0 / (np.linalg.norm(step) + 1e-12))
         if np.linalg.norm(step) < 1e-8:
             break

@@ -1,3 +1,4 @@
+import functools
 import os
 import subprocess
 import sys
@@ -132,3 +133,63 @@ print(len(text) >> 20, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - bef
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": ":".join(sys.path)})
     size, more = map(int, out.stdout.split())
     assert size >= 20 and more < 260
+
+
+def test_all_labelled_rows_are_learned_from(spark, monkeypatch):
+    """More rows of a class than a sample once held, and another class that comes to several blocks."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["the", "sea", "and", "9", "Sky", "$"], 3 + k % 9)) + f" {k}" for k in range(5400)]
+    quality = [int(k % 60 != 0) for k in range(5400)]
+    docs = spark.createDataFrame([*enumerate(texts), (6000, texts[1])], "doc_id long, text string")
+    labels = spark.createDataFrame([*enumerate(quality), (6000, 1), (6001, 0)], "doc_id long, quality int")
+    train = [k for k in range(5400) if zlib.crc32(str(k).encode()) % 5]
+    x, y = np.array([bt.features(texts[k]) for k in train]), np.array([quality[k] for k in train])
+    assert np.count_nonzero(y) > 4000
+    frames = {}
+    monkeypatch.setattr(bt, "staged", lambda df, name, staged=bt.staged, **options: frames.setdefault(name, staged(df, name, **options)))
+    model = bt.quality_model(docs, labels)
+    assert np.allclose(model.mean, x[y == 1].mean(0)) and np.allclose(model.spread, x[y == 1].std(0) + 0.02)
+    # every row is counted in one block, and the weights are where all blocks' preferences pull as much as the penalty
+    pull, counted = bt.RIDGE * model.weights, np.zeros(2, int)
+    blocks = frames["quality_blocks"].collect()
+    assert len(blocks) == blocks[0]["of"] == -(-np.count_nonzero(y) // bt.BLOCK_ROWS)
+    for row in blocks:
+        better, worse = (np.frombuffer(row[name], "<f8").reshape(-1, len(bt.FEATURES)) for name in ("better", "worse"))
+        own = [np.frombuffer(row[name], bool) for name in ("worse_own", "better_own")]
+        counted += [np.count_nonzero(v) for v in own]
+        block = bt.Block(better, worse, own[1], own[0], row["block"], row["of"])
+        first, second = block.drawn(bt.PAIRS, bt.SEED)
+        assert set(first) == set(range(len(better))) and set(second) == set(range(len(worse))) and len(worse) >= 8
+        d = model.scaled(better)[first] - model.scaled(worse)[second]
+        pull += 2 * d.T @ (1 / (1 + np.exp(-(d @ model.weights))) - 1)
+    assert counted.tolist() == [np.count_nonzero(y == 0), np.count_nonzero(y == 1)] and np.abs(pull).max() < 1e-5
+    labelled = [*enumerate(quality), (6000, 1), (6001, 0)]  # the last has no document, and the one before a text that is known
+    share = np.mean([v == 0 for k, v in labelled if zlib.crc32(str(k).encode()) % 5])
+    assert abs(np.log(bt.CUT / (1 - bt.CUT)) - model.shift - plain_cut(model.raw(x), y, share)) < 1e-9
+
+
+def plain_cut(scores, y, share):
+    weight = np.where(y == 0, share / np.sum(y == 0), (1 - share) / np.sum(y == 1))
+    kinds = np.unique(scores)
+    below = np.cumsum([weight[scores == s].sum() for s in kinds])
+    k = min(int(np.searchsorted(below, share - 1e-9)), len(kinds) - 1)
+    beside = k + 1 if k + 1 < len(kinds) else max(0, k - 1)
+    return (kinds[k] + kinds[beside]) / 2
+
+
+@given(st.lists(st.tuples(st.integers(-40, 40), st.booleans()), min_size=1, max_size=60), st.floats(0, 1), st.integers(1, 5))
+def test_cut_is_the_exact_quantile(rows, share, parts):
+    """Over blocks, with equal scores and scores that lie near each other."""
+    x = np.zeros((len(rows) + 2, len(bt.FEATURES)))
+    x[:, 0] = [*(v / 7 if v % 3 else v * 1e-9 for v, _ in rows), 0.5, 0.25]
+    y = np.array([*(int(v) for _, v in rows), 0, 1])
+    weights = np.zeros(len(bt.FEATURES))
+    weights[0] = 0.7
+    model = bt.QualityModel(np.zeros(len(weights)), np.ones(len(weights)), weights, 0.0)
+    blocks = []
+    for k in range(parts):
+        a, b = x[k::parts][y[k::parts] == 1], x[k::parts][y[k::parts] == 0]
+        blocks.append(bt.Block(a, b, np.ones(len(a), bool), np.ones(len(b), bool), k, parts))
+    passes = lambda part, joined: functools.reduce(joined, map(part, blocks))
+    got = bt._cut(passes, model, share, int(np.sum(y == 0)), int(np.sum(y == 1)))
+    assert abs(got - plain_cut(model.raw(x), y, share)) < 1e-12
